@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, packing, token_counts
+from . import line_dedup, mixing, packing, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -26,6 +26,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(tuned(spark), sf_dir, "documents"), distance=3, size=3, seed=42)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), least=10)
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), word_vocabulary(), limit=2048)
 
@@ -33,9 +42,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
 ORACLES = {
+    "op6_line_dedup": line_dedup.ORACLE,
     "op1_mixing": mixing.oracle(),
 }
