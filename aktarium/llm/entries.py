@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, mixing, packing, simhash, token_counts
+from . import line_dedup, media, mixing, packing, pii, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -35,16 +35,27 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.to_media(table(tuned(spark), sf_dir, "documents"))
+    return media.read_media(stored).drop("error")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), word_vocabulary(), limit=2048)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(tuned(spark), sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_line_dedup": op6_line_dedup,
+    "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
 }
 
 ORACLES = {
