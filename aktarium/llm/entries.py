@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, media, mixing, packing, pii, simhash, token_counts
+from . import line_dedup, media, mixing, packing, pii, quality, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -22,6 +22,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, size=P + "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_model(docs, table(spark, sf_dir, "labels"), label="quality")
+    scored = quality.score_documents(docs, model, threshold=0.7)
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
@@ -50,6 +57,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_line_dedup": op6_line_dedup,
