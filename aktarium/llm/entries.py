@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, media, mixing, packing, pii, quality, simhash, token_counts
+from . import line_dedup, media, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -55,6 +55,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(tuned(spark), sf_dir, "documents")))
 
 
+def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = one_bit_ann.build_index(table(spark, sf_dir, "embeddings"))
+    return one_bit_ann.search(index, index.filter(F.col("id") % 20 == 0), k=20)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -64,9 +69,11 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
+    "op10_one_bit_ann": op10_one_bit_ann,
 }
 
 ORACLES = {
+    "op10_one_bit_ann": one_bit_ann.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op1_mixing": mixing.oracle(),
 }
