@@ -1,9 +1,9 @@
 """Token ids and token counts of a tokenizers file whose pre-tokens never span white space.
 
-Two facts carry the speed. First, such a tokenizer treats the pieces between two spaces (or line ends) independently, so
-that a piece seen before needs no second encoding. Secondly, the words that encode alone as one token can be proven once,
-offline: each vocabulary string that is a plain word is encoded, and kept if exactly its own id comes back. A text's
-pieces are then looked up; only what isn't found is merged by the library, many pieces in one call.
+Two facts carry the speed. First, a text's pre-tokens are independent, so that one seen before needs no second encoding,
+and new ones can be encoded together, separated by spaces. Secondly, the words that encode alone as one token can be
+proven once, offline: each vocabulary string that is a plain word is encoded, and kept if exactly its own id comes back.
+A text's pre-tokens are then looked up; only what isn't found is merged by the library, many in one call.
 """
 
 from __future__ import annotations
@@ -12,15 +12,22 @@ import functools
 import json
 import os
 import re
-import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces remembered by one worker; older ones are forgotten all at once. It bounds memory, not results.
-REMEMBERED = 400_000
-#: The white space that separates pieces here. Others stay inside a piece, where the library sees them.
-_LINE_ENDS = str.maketrans("\n\r\t", "   ")
+#: Pre-tokens remembered by one worker; then all are forgotten at once. It bounds memory, not results.
+REMEMBERED = 700_000
+#: Characters handled at once, so that one call's lists stay small however long the texts are.
+_SLICE = 1_000_000
+
+# Texts of these characters alone are split here: ASCII without other controls, and Latin letters whose lower case is one
+# letter. Others, and texts with a special token's mark, go to the library as they are.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f"
+_OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]|<\|").search
+# The file's own split, for such texts in lower case.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENS = re.compile(_SPLIT.replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9").replace(r"\p{L}", _LETTERS)).findall
 _PLAIN = re.compile(r"[a-z]+").fullmatch
 
 
@@ -38,8 +45,8 @@ class Vocabulary:
         kinds = {str(n.get("type")) for n in (rules["normalizer"] or {}).get("normalizers", [rules["normalizer"] or {}])}
         self.lowers = "Lowercase" in kinds
         self.end = rules["model"].get("end_of_word_suffix") or ""
-        if not (self.end and self.lowers and rules["pre_tokenizer"]["type"] == "Sequence"):
-            raise ValueError(f"{path}: white space must separate words, word ends be marked and case be folded")
+        if not (self.end and self.lowers and _SPLIT in json.dumps(rules["pre_tokenizer"]).replace(r"\\", "\\")):
+            raise ValueError(f"{path}: its split or case folding isn't the one written here, or word ends aren't marked")
         self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith(self.end)
@@ -53,85 +60,73 @@ class Vocabulary:
     def encode(self, piece: str) -> list[int]:
         return self.library.encode(piece, add_special_tokens=False).ids
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of plain lower-case words, encoded as one text and cut where a token ends a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return [np.array(self.encode(w), "<u4") for w in words]
-        return np.split(ids, cuts[:-1])
+    def encode_all(self, pre_tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens one after the other, and where each one's end: a token that ends a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(pre_tokens)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(pre_tokens) or ends[-1] != len(ids):
+            each = [self.encode(p) for p in pre_tokens]
+            ids, ends = np.array([i for x in each for i in x], "<u4"), np.cumsum([len(x) for x in each])
+        return ids, ends
+
+
+def _bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    flat, stops = ids.tobytes(), (4 * ends).tolist()
+    return [flat[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905  one start more than ends
+
+
+def _lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    return np.diff(ends, prepend=0).tolist()
 
 
 class _Known(dict):
-    """piece -> value, where `of_ids` makes a value from ids and values add up by `+`."""
+    """pre-token -> value, where `values` makes a list of them from ids and their ends. Preset with proven whole tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, of_ids: Callable[[Iterable[int]], object]):
-        self.vocabulary, self.of_ids = vocabulary, of_ids
-        self.start = {w: of_ids([i]) for w, i in vocabulary.whole_tokens().items()} | {"": of_ids([])}
+    def __init__(self, vocabulary: Vocabulary, values: Callable[[np.ndarray, np.ndarray], list]):
+        self.vocabulary, self.values_of = vocabulary, values
+        words = vocabulary.whole_tokens()
+        self.start = dict(zip(words, values(np.array(list(words.values()), "<u4"), np.arange(1, len(words) + 1)), strict=True))
         self.update(self.start)
-        # A comma or a full stop after a letter is a pre-token of its own, as it's the last of its piece.
-        self.marks = {c: of_ids(vocabulary.encode(c)) for c in ".,"}
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make room if needed, then encode all pieces that aren't known in one call."""
+    def learn(self, pre_tokens: set[str]) -> None:
+        """Make room if needed, then encode all that isn't known in one call."""
         if len(self) > REMEMBERED + len(self.start):
             self.clear()
             self.update(self.start)
-        bases = {w for p in pieces if p not in self and (w := _base(p)) not in self and _PLAIN(w)}
-        if bases:
-            words = list(bases)
-            self.update((w, self.of_ids(ids)) for w, ids in zip(words, self.vocabulary.encode_words(words), strict=True))
-
-    def __missing__(self, piece: str):
-        base = _base(piece)
-        if base != piece and _PLAIN(base):
-            value = self[base]
-            return value + self.marks[piece[-1]] if len(base) != len(piece) else value
-        value = self[piece] = self.of_ids(self.vocabulary.encode(piece))
-        return value
-
-
-def _base(piece: str) -> str:
-    """The piece in lower case without a last comma or full stop that follows an ASCII letter; others as they are."""
-    if piece.isascii():
-        piece = piece.lower()
-        if piece[-1:] in (".", ",") and "a" <= piece[-2:-1] <= "z":
-            return piece[:-1]
-    return piece
-
-
-def _pieces(text: str) -> list[str]:
-    return text.translate(_LINE_ENDS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-
-
-def _pack(ids: Iterable[int]) -> bytes:
-    return ids.astype("<u4").tobytes() if isinstance(ids, np.ndarray) else struct.pack(f"<{len(ids)}I", *ids)
+        if new := list(pre_tokens.difference(self)):
+            self.update(zip(new, self.values_of(*self.vocabulary.encode_all(new)), strict=True))
 
 
 @functools.cache
 def _ids_of(path: str) -> _Known:
-    return _Known(Vocabulary(path), _pack)
+    return _Known(Vocabulary(path), _bytes)
 
 
 @functools.cache
 def _counts_of(path: str) -> _Known:
-    return _Known(Vocabulary(path), len)
-
-
-#: Characters handled at once, so that one call's lists stay small however long the texts are.
-_SLICE = 2_000_000
+    return _Known(Vocabulary(path), _lengths)
 
 
 def _each(known: _Known, texts: list[str | None], fold: Callable) -> list:
-    """fold(values of the pieces) for each text."""
-    out, todo, size = [], [], 0
+    """fold(values of the pre-tokens) for each text."""
+    out, todo, seen, size = [], [], set(), 0
     for k, text in enumerate(texts):
-        todo.append(_pieces(text or ""))
-        size += len(text or "")
+        text = text or ""
+        if _OTHER(text):
+            todo.append(None)
+        else:
+            todo.append(_PRE_TOKENS(text.lower()))
+            seen.update(todo[-1])
+        size += len(text)
         if size > _SLICE or k == len(texts) - 1:
-            known.learn({p for pieces in todo for p in pieces})
-            out += [fold(map(known.__getitem__, pieces)) for pieces in todo]
-            todo, size = [], 0
+            known.learn(seen)
+            for pre_tokens in todo:
+                if pre_tokens is None:
+                    ids = np.array(known.vocabulary.encode(texts[len(out)]), "<u4")
+                    out += known.values_of(ids, np.array([len(ids)]))
+                else:
+                    out.append(fold(map(known.__getitem__, pre_tokens)))
+            todo, seen, size = [], set(), 0
     return out
 
 
