@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, media, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
+from . import licenses, line_dedup, media, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -33,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(tuned(spark), sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(tuned(spark), sf_dir, "documents"), distance=3, size=3, seed=42)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_media": op7_media,
