@@ -109,7 +109,7 @@ def suspects(keys: DataFrame, n_keys: int) -> DataFrame:
     return keys.mapInArrow(test, keys.schema)
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", n_lines_col: str = "n_lines", n_dropped_col: str = "n_dropped") -> DataFrame:
     """All rows and columns of `docs`, the text without lines that an earlier document has, and `n_lines`, `n_dropped`.
 
     Keys (see `line_keys`) of at least `least` code points that two or more documents hold lose all their lines except in
@@ -119,10 +119,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
 
     Null and empty texts are one empty line; where nothing is dropped the text stays as it is, null included. Rows with
     one id count as one document, and so do all rows without an id, which comes after all others. An empty table gives no row.
-    Input columns named n_lines or n_dropped are replaced.
+    Input columns with the names of the two counts are replaced.
     """
     spark, gone, doc = tuned(docs.sparkSession), P + "gone", P + "doc"
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(n_lines_col, n_dropped_col)
     numbered = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
 
     def keys_of(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,10 +154,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
                 n_dropped[-1] = len(lines) - len(kept)
                 texts[row] = "\n".join(kept) if len(kept) < len(lines) else texts[row]
         columns = [pa.array(texts, pa.string()) if k == text_at else b.column(k) for k in range(len(names))]
-        return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+        return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, n_lines_col, n_dropped_col])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return in_batches(joined.select(*(F.col(f"`{c}`") for c in names), gone), rewrite, f"{kinds}, n_lines long, n_dropped long")
+    return in_batches(joined.select(*(F.col(f"`{c}`") for c in names), gone), rewrite, f"{kinds}, `{n_lines_col}` long, `{n_dropped_col}` long")
 
 
 ORACLE = r"""

@@ -173,18 +173,18 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", most:
     return Model(np.frombuffer(bytes(found.weights), np.float32), found.bias) if found else Model(np.zeros(1 << BITS, np.float32), 0.0)
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """All columns of `docs`, and `score` and `predicted` (1 if the score is `threshold` at least). Names that clash are replaced.
 
     The model (2^BITS weights) is broadcast. Null and empty texts have the score of the bias. Rows are independent: no
     shuffle, repeated rows and null ids stay, an empty table gives no row.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(score_col, predicted_col)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter((score(shared.value, t.as_py()) for t in b.column(text_col)), np.float64, b.num_rows)
-        return pa.record_batch([*b.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+        return pa.record_batch([*b.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, score_col, predicted_col])
 
-    return in_batches(docs, each, f"{kinds}, score double, predicted int")
+    return in_batches(docs, each, f"{kinds}, `{score_col}` double, `{predicted_col}` int")
