@@ -110,7 +110,8 @@ def browse_default(a: Archive) -> DataFrame:
     return ordering.page(rows, ordering.list_order(), 1).select("id", "display_date")
 
 
-@query("SELECT id FROM vis WHERE parent_id IS NULL AND processing_status = 'ready' ORDER BY created_at, id LIMIT 20 OFFSET 20")
+@query("""SELECT id FROM vis WHERE parent_id IS NULL AND processing_status = 'ready' ORDER BY created_at, id LIMIT 20
+  OFFSET (SELECT CASE WHEN count(*) > 20 THEN 20 ELSE 0 END FROM vis WHERE parent_id IS NULL AND processing_status = 'ready')""")
 def browse_review_queue(a: Archive) -> DataFrame:
     rows = filters.filter_documents(scope.roots(_visible(a)), status="ready")
     return ordering.page(rows, ordering.list_order("ready"), 2).select("id")
