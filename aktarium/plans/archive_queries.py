@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as fd
+from ..functions import language as fg
+from ..functions import letters as fl
 from ..functions import references as fr
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import aggregates, bindings, checks, chunking, classify, filters, graph, ingest, mail, ordering, pages, retrieval, scope, stale, tree
+from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, pages, repairs, retrieval, scope, stale, tree
 from ..operators import references as refs
+from ..sources import readers
 from .archive import DOCUMENT, SUPERUSER, TODAY, USER, Archive, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -914,3 +917,93 @@ def stream_ingest_dedup(a: Archive) -> DataFrame:
     """Files of a stream that are new: the batch form of what each micro-batch does (streaming/ingest_stream)."""
     new, _ = ingest.dedup(ingest.described(_files(a)), a.spark.createDataFrame([], "sha256 string"))
     return ingest.new_documents(new, "folder")
+
+
+# Details and repairs
+
+
+@query("""SELECT v.id, c.email AS contact_email, p.title AS parent_title, CAST((SELECT count(DISTINCT name) FROM dtag WHERE document_id = v.id) AS BIGINT) AS n_tags,
+  array_to_string(list_sort((SELECT list(DISTINCT cas.name) FROM dcas JOIN cas ON cas.id = dcas.case_id WHERE document_id = v.id)), ',') AS cases
+  FROM vis v LEFT JOIN con c ON c.name = v.correspondent LEFT JOIN doc p ON p.id = v.parent_id""")
+def document_rows(a: Archive) -> DataFrame:
+    visible = _visible(a)
+    parents = a.documents.select("id", "title")
+    shown = details.document_rows(visible, a.contacts, a.document_tag, a.document_case, a.cases).drop("parent_title")
+    named = shown.join(parents.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title")), "parent_id", "left")
+    return named.select("id", "contact_email", "parent_title", F.size("tags").cast("long").alias("n_tags"), F.array_join("cases", ",").alias("cases"))
+
+
+@query("SELECT name, is_self FROM con ORDER BY is_self DESC, name LIMIT 7")
+def prompt_contacts(a: Archive) -> DataFrame:
+    return details.contacts_for_prompt(a.contacts, 7).select("name", "is_self")
+
+
+@query("""SELECT id FROM vis WHERE id <> 38 AND id NOT IN (SELECT CASE WHEN x = 38 THEN y ELSE x END FROM lnk WHERE x = 38 OR y = 38)
+  ORDER BY coalesce(document_date, CAST(created_at AS DATE)) DESC, created_at DESC, id LIMIT 50""")
+def link_picker(a: Archive) -> DataFrame:
+    return details.link_candidates(_visible(a), _links(a), _FOCUS, 50).select("id")
+
+
+@query("SELECT id FROM com WHERE author_id = 3")
+def own_comments(a: Archive) -> DataFrame:
+    return details.own_comments(a.comments, USER).select("id")
+
+
+@query("""SELECT id, CASE WHEN follow_up_date <= DATE '2024-06-12' AND remind AND reminded_at IS NULL THEN TIMESTAMP '2024-06-12 07:00:00' ELSE reminded_at END AS reminded_at FROM com""")
+def mark_reminded(a: Archive) -> DataFrame:
+    return details.mark_reminded(a.comments, filters.follow_ups(a.comments, "pending", TODAY), f"{TODAY} 07:00:00").select("id", "reminded_at")
+
+
+@query("SELECT id, CASE WHEN id % 21 = 1 THEN NULL ELSE parent_id END AS parent_id FROM doc")
+def detach_children(a: Archive) -> DataFrame:
+    ids = a.documents.filter("id % 21 = 1").select("id")
+    return details.detach_children(a.documents, a.document_department, ids)[0].select("id", "parent_id")
+
+
+@query("""SELECT id, title || CASE WHEN document_date IS NOT NULL THEN ' (' || document_date || ')' ELSE '' END || chr(10) || '- Art: ' || lang || chr(10) || '- Von: ' || correspondent AS block FROM doc""")
+def prompt_blocks(a: Archive) -> DataFrame:
+    facts = F.create_map(F.lit("Von"), F.col("correspondent"), F.lit("Art"), F.col("lang"), F.lit("leer"), F.lit(""))
+    return a.documents.select("id", details.prompt_block(F.col("title"), F.col("document_date"), F.lit(" "), facts).alias("block"))
+
+
+@query("SELECT DISTINCT document_id, name, dimension FROM dtag WHERE dimension = 'lang' OR document_id % 2 = 1")
+def repair_tags(a: Archive) -> DataFrame:
+    crammed = a.document_tag.filter("dimension = 'lang'").select("document_id", F.concat_ws(":", "dimension", "name").alias("name"), F.lit("").alias("dimension"))
+    return repairs.split_crammed_tags(crammed.unionByName(a.document_tag.filter("document_id % 2 = 1")))
+
+
+@query("SELECT id, CASE WHEN processing_status = 'analyzing' THEN CASE WHEN id % 10 = 0 THEN 'failed' ELSE 'reviewed' END WHEN processing_status = 'ready' THEN 'reviewed' ELSE processing_status END AS processing_status FROM doc")
+def repair_statuses(a: Archive) -> DataFrame:
+    return repairs.confirm_all_ready(repairs.finish_stuck_analyses(a.documents)).select("id", "processing_status")
+
+
+@query("SELECT id, CASE WHEN document_date IS NOT NULL AND id % 2 = 0 THEN 'modell' WHEN id % 4 = 1 THEN 'manuell' END AS date_source FROM doc")
+def repair_dates(a: Archive) -> DataFrame:
+    i = F.col("id")
+    told = F.when(i % 2 == 0, F.col("document_date").cast("string")).otherwise("2000-01-01")
+    docs = a.documents.withColumns({"key_facts": F.create_map(F.lit("document_date"), told), "date_source": F.when(i % 4 == 1, "manuell")})
+    return repairs.mark_machine_dates(docs).select("id", "date_source")
+
+
+@query("SELECT id, title AS body, 'Jane' AS signature FROM doc")
+def strip_closings(a: Archive) -> DataFrame:
+    letter = F.concat(F.col("title"), F.when(F.col("id") % 2 == 0, "\n\nMit freundlichen Grüßen,\nJane\n").otherwise("\nGruß Jane,\n"))
+    body = fl.strip_closing(letter, F.lit("Gruß Jane"))
+    return a.documents.select("id", body.alias("body"), fl.strip_first_closing(F.lit("Viele Grüße\n\nJane")).alias("signature"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN '' WHEN document_date IS NULL THEN 'bis 01.02.2024' WHEN id % 2 = 0 THEN strftime(document_date, '%d.%m.%Y') || ' – 01.02.2024' ELSE 'ab ' || strftime(document_date, '%d.%m.%Y') END AS label FROM doc""")
+def period_labels(a: Archive) -> DataFrame:
+    end = F.when((F.col("id") % 2 == 0) & (F.col("id") % 3 != 0), F.lit("2024-02-01").cast("date"))
+    return a.documents.select("id", fd.period_label(F.col("document_date"), end).alias("label"))
+
+
+@query()
+def detect_language(a: Archive) -> DataFrame:
+    return a.documents.select("id", "lang", fg.detect_language(F.col("text_content")).alias("found"))
+
+
+@query("SELECT '/in/' || lpad(CAST(id AS VARCHAR), 9, '0') || '.txt' AS path, length(text_content) AS n FROM doc")
+def read_texts(a: Archive) -> DataFrame:
+    texts = readers.read_texts(_files(a).withColumn("mime_type", F.lit("text/plain")))
+    return texts.select("path", F.length("text").cast("long").alias("n"))
