@@ -29,11 +29,11 @@ _TAIL = re.compile(r"[^\w]*\Z")
 class Fit(NamedTuple):
     """Rates and penalties of the updates."""
 
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 1e-4
     l2: float = 1e-3
-    epochs: int = 4
+    epochs: int = 6
 
 
 class Model(NamedTuple):
