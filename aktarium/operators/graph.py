@@ -73,9 +73,9 @@ def document_neighbourhood(
 def documents_of(node: str, ids: DataFrame, visible: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The newest visible documents of a case, tag or contact: (node, document_id, truncated)."""
     mine = visible.join(ids.select(F.col("document_id").alias("id")), "id", "left_semi")
-    n = mine.agg(F.count(F.lit(1)).alias("n"))
-    kept = top(mine, default_order(), limit, rank="place")
-    return kept.join(F.broadcast(n)).select(F.lit(node).alias("node"), F.col("id").alias("document_id"), "place", (F.col("n") > limit).alias("truncated"))
+    # One more than is shown tells whether some are left out.
+    kept = top(mine, default_order(), limit + 1, rank="place").withColumn("last", F.max("place").over(Window.partitionBy()))
+    return kept.filter(F.col("place") <= limit).select(F.lit(node).alias("node"), F.col("id").alias("document_id"), "place", (F.col("last") > limit).alias("truncated"))
 
 
 def search_nodes(parts: dict[str, DataFrame], term: str, limit: int = 6) -> DataFrame:

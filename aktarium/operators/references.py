@@ -34,13 +34,12 @@ def holding(references: DataFrame, visible: DataFrame, kind: str, key: str) -> D
     return visible.join(found, "id", "left_semi")
 
 
-def shared_pairs(references: DataFrame, most: int = 1000) -> DataFrame:
-    """Pairs (a < b) of documents that share a reference, with the first they share; values of over `most` documents (a
-    label, not a number) are left to `shared_groups`, which lists them per document."""
+def shared_keys(references: DataFrame) -> DataFrame:
+    """(type, value_normalized, document_id, n_documents) of the references that two documents or more hold: one row for
+    each holder, not one for each pair of them."""
     held = references.select("document_id", *KEY).distinct()
-    usual = held.join(held.groupBy(*KEY).count().filter(F.col("count").between(2, most)).drop("count"), KEY, "left_semi")
-    pairs = usual.select(*KEY, F.col("document_id").alias("a")).join(usual.select(*KEY, F.col("document_id").alias("b")), KEY).filter("a < b")
-    return first_of_each(pairs, ["a", "b"], [F.col(c).asc() for c in KEY])
+    counts = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_documents")).filter("n_documents > 1")
+    return held.join(counts, KEY)
 
 
 def learn(existing: DataFrame, references: DataFrame, targets: DataFrame, scope: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def descendants(docs: DataFrame, top: int, most_levels: int = 100) -> DataFrame:
     """(id, level) of all below `top`, level by level, each id once and never `top` itself; a cycle ends the walk.
@@ -12,10 +14,10 @@ def descendants(docs: DataFrame, top: int, most_levels: int = 100) -> DataFrame:
     Each level is one join with the (id, parent_id) pairs; levels are few, and the walk stops at the first empty one.
     """
     pairs = docs.select("id", "parent_id").filter("parent_id IS NOT NULL")
-    seen = level = pairs.filter((F.col("parent_id") == top) & (F.col("id") != top)).select("id", F.lit(1).cast("long").alias("level")).distinct()
+    seen = level = stored(pairs.filter((F.col("parent_id") == top) & (F.col("id") != top)).select("id", F.lit(1).cast("long").alias("level")).distinct())
     for n in range(2, most_levels):
         below = pairs.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").filter(F.col("id") != top)
-        level = below.select("id", F.lit(n).cast("long").alias("level")).distinct().join(seen.select("id"), "id", "left_anti")
+        level = stored(below.select("id", F.lit(n).cast("long").alias("level")).distinct().join(seen.select("id"), "id", "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -23,7 +25,8 @@ def descendants(docs: DataFrame, top: int, most_levels: int = 100) -> DataFrame:
 
 
 def root_of(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
-    """(id, root_id, depth) of every document, by pointer doubling: each round doubles the height that is covered.
+    """(id, root_id, depth) of every document, by pointer doubling: each round doubles the height that is covered, and is
+    written out, so that the next one doesn't repeat it.
 
     A document in or below a cycle has root_id null; a parent that is missing makes its child a root. `most_rounds` rounds
     cover a height of 2 ** most_rounds; a deeper chain also has root_id null.
@@ -32,12 +35,14 @@ def root_of(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
     known = ids.select(F.col("id").alias("parent_id"))
     at = ids.join(known, "parent_id", "left_semi").select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"))
     at = at.unionByName(ids.join(at.select("id"), "id", "left_anti").select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("depth")))
+    at = stored(at)
     for _ in range(most_rounds):
         step = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = at.join(step, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        if now.join(at.select("id", F.col("up").alias("before")), "id").filter("up <> before").isEmpty():
+        moved = F.col("next") != F.col("up")
+        now = stored(at.join(step, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), moved.alias("moved")))
+        at = now.drop("moved")
+        if now.filter("moved").isEmpty():
             break
-        at = now
     roots = ids.filter("parent_id IS NULL").select("id").unionByName(ids.filter("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select("id"))
     sure = at.join(roots.select(F.col("id").alias("up")), "up", "left_semi").select("id", F.col("up").alias("root_id"), "depth")
     return ids.select("id").join(sure, "id", "left")

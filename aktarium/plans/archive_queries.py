@@ -217,13 +217,11 @@ def doc_mean_vector(a: Archive) -> DataFrame:
     return rows.select("document_id", (F.col("p") + 1).cast("long").alias("at"), F.round("x", 6).alias("x"))
 
 
-@query("""SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS score
-  FROM chk x JOIN chk y ON x.document_id = y.document_id AND x.id < y.id""")
-def pairwise_similarity(a: Archive) -> DataFrame:
-    x = a.chunks.select("document_id", F.col("id").alias("a"), F.col("embedding").alias("u"))
-    y = a.chunks.select("document_id", F.col("id").alias("b"), F.col("embedding").alias("v"))
-    pairs = x.join(y, "document_id").filter("a < b")
-    return pairs.select("a", "b", F.round(fv.score(fv.cosine_distance(F.col("u"), F.col("v"))), 6).alias("score"))
+@query("""SELECT c.id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), m.mean), 6) AS score FROM chk c JOIN (SELECT document_id, list(x ORDER BY i) AS mean FROM
+  (SELECT document_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM chk, range(1, 65) r(i) GROUP BY document_id, i) GROUP BY document_id) m USING (document_id)""")
+def chunk_to_document_similarity(a: Archive) -> DataFrame:
+    pairs = a.chunks.join(fv.mean_vectors(a.chunks, "document_id"), "document_id")
+    return pairs.select("id", F.round(fv.score(fv.cosine_distance(F.col("embedding"), F.col("mean"))), 6).alias("score"))
 
 
 @query("SELECT id, length(text_content) % 7 + 1 AS x FROM doc")
@@ -413,9 +411,9 @@ def documents_with_reference(a: Archive) -> DataFrame:
     return refs.holding(a.references, _visible(a), "rechnungsnummer", "7/24").select("id")
 
 
-@query("""SELECT a.document_id AS a, b.document_id AS b, a.type, a.value_normalized FROM ref a JOIN ref b USING (type, value_normalized) WHERE a.document_id < b.document_id""")
-def shared_reference_pairs(a: Archive) -> DataFrame:
-    return refs.shared_pairs(a.references)
+@query("SELECT type, value_normalized, document_id, n_documents FROM (SELECT *, count(*) OVER (PARTITION BY type, value_normalized) AS n_documents FROM ref) WHERE n_documents > 1")
+def shared_reference_keys(a: Archive) -> DataFrame:
+    return refs.shared_keys(a.references)
 
 
 _ASSIGNED = "(SELECT document_id, case_id AS owner_id FROM dcas WHERE document_id % 3 = 0)"
