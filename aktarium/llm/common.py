@@ -48,14 +48,15 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str)
 
 
 def in_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`mapInArrow` with a function of one batch."""
+    """`mapInArrow` with a function of one batch. Columns travel under plain names, as mapInArrow can't take any name."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := each(b)) is not None and out.num_rows:
+            if b.num_rows and (out := each(b.rename_columns(names))) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 
 
 def word_count(text: Column) -> Column:

@@ -23,7 +23,11 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     clashing = {c: F.lit(k) for k, c in enumerate(("id", "score", "size", "rank", "n", "h", "g", "doc", "fp", "key", "label", "copies", "length", "start", "n_lines", "predicted", "found"))}
-    return df.withColumns(clashing)
+    others = {
+        "a.b": F.lit("dot"), "s": F.struct(F.lit(1).alias("x"), F.array(F.lit("y")).alias("z")), "m": F.create_map(F.lit("k"), F.lit(None).cast("double")),
+        "t": F.lit("2024-01-01 00:00:00").cast("timestamp"), "u": F.lit("2024-01-01").cast("timestamp_ntz"), "d": F.lit("1.25").cast("decimal(10,2)"), "raw": F.lit(b"\x00\xff"), "day": F.lit("2024-01-01").cast("date"),
+    }
+    return df.withColumns(clashing | others)
 
 
 @pytest.fixture(scope="session")
