@@ -45,7 +45,7 @@ def similar_documents(
     kin = kin.unionByName(descendants(docs, document).select("id"))
     candidates = visible.join(kin, "id", "left_anti").filter(~F.col("id").isin(*exclude) if exclude else F.lit(True))
     models = own.select("embedding_model", "embedding_model_version").distinct()
-    comparable = chunks.join(F.broadcast(models), ["embedding_model", "embedding_model_version"], "left_semi")
+    comparable = chunks.join(models, ["embedding_model", "embedding_model_version"], "left_semi")
     near = _ranked(comparable, candidates, mean["mean"]).filter(F.col("distance") <= 1 - min_score)
     best = best_per_document(near.orderBy("distance", "id").limit(cap), limit)
     return best.select("document_id", F.col("id").alias("chunk_id"), (1 - F.col("distance")).alias("score"))

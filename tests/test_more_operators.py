@@ -105,3 +105,56 @@ def test_readers(spark):
     got = {r.path: (r.text, r.error) for r in readers.read_texts(df).collect()}
     assert got["a"] == ("gr�ü", None) and got["b"] == ("Hallo\tDu\n\nEnde", None) and got["c"] == ("Hi", None) and got["f"] == ("", None)
     assert got["d"][0] is None and "BadZipFile" in got["d"][1] and got["e"] == (None, "no reader for application/pdf")
+
+
+def test_attachments(spark):
+    from aktarium.operators import mail
+
+    kinds = "mail_id long, content_type string, content_id string, inline boolean, size long, width int, height int"
+    cases = [
+        (1, "image/png", "", True, 90_000, 900, 900), (2, "image/png", "<a@b>", False, 90_000, 900, 900), (3, "IMAGE/PNG", None, None, 100, 900, 900),
+        (4, "application/pdf", "", True, 10, None, None), (5, "image/jpeg", "x", False, 90_000, 100, 900), (6, "image/jpeg", "x", False, 90_000, None, None), (7, None, None, None, 1, None, None),
+    ]
+    a = spark.createDataFrame(cases, kinds)
+    bodies = spark.createDataFrame([(2, "<img src='cid:a@b'>"), (5, None)], "mail_id long, html string")
+    got = lambda **k: [r.reason for r in mail.attachment_reasons(a, bodies, **k).orderBy("mail_id").collect()]
+    assert got() == ["inline", "inline", "small", None, "small_side", None, None]
+    assert got(enabled=False) == [None] * 7
+
+
+def test_machine_references_beside_manual_ones(spark):
+    from aktarium.operators import references
+
+    old = spark.createDataFrame([(1, "iban", "M", "manuell"), (1, "iban", "OLD", "ki")], "document_id long, type string, value_normalized string, source string")
+    found = spark.createDataFrame([(1, "iban", "M", 0), (1, "iban", "B", 1), (1, "iban", "B", 2), (1, "iban", "", 3), (1, "iban", "C", 4), (1, "iban", "D", 5)], "document_id long, type string, value_normalized string, position int")
+    assert rows(references.replace_machine_references(old, found, most=2)) == [(1, "iban", "B", "ki"), (1, "iban", "C", "ki"), (1, "iban", "M", "manuell")]
+
+
+def test_mails_are_taken_once(spark):
+    docs = spark.createDataFrame([(1, None, '{"message_id": "<known>"}'), (2, 1, '{"message_id": "<child>"}'), (3, None, None)], "id long, parent_id long, metadata string")
+    mails = spark.createDataFrame([("a", "<known>", "h1"), ("b", "<child>", "h2"), ("c", "<new>", "h3"), ("d", "<new>", "h4"), ("e", "", "h5"), ("f", "", "h5"), ("g", None, "h6")], "path string, message_id string, sha256 string")
+    assert sorted(r.path for r in ingest.new_mails(mails, docs).collect()) == ["b", "c", "e", "g"]
+
+
+def test_task_windows(spark):
+    from aktarium.operators import filters, ordering
+
+    t = [(1, "offen", date(2024, 6, 11)), (2, "erledigt", date(2024, 6, 11)), (3, "erledigt", date(2024, 6, 19)), (4, "offen", date(2024, 6, 20)), (5, "offen", None), (6, "offen", date(2024, 6, 12))]
+    tasks = spark.createDataFrame([(*x, datetime(2024, 1, 1)) for x in t], "id long, status string, due_date date, created_at timestamp_ntz")
+    ids = lambda w: sorted(r.id for r in filters.due_tasks(tasks, w, "2024-06-12").collect())
+    assert (ids("overdue"), ids("week"), ids("none")) == ([1], [3, 6], [5])
+    assert [r.id for r in tasks.orderBy(*ordering.task_order()).collect()][-1] == 5
+
+
+def test_uploads(spark):
+    f = [("/a.pdf", "a.pdf", "h1", 5), ("/b.exe", "b.exe", "h2", 5), ("/c.pdf", "c.pdf", "h1", 5), ("/d.txt", "d.txt", "h3", 26 << 20), ("/e.txt", "e.txt", "known", 5)]
+    files = spark.createDataFrame(f, "path string, name string, sha256 string, size long")
+    got = rows(ingest.upload_status(files, spark.createDataFrame([("known",)], "sha256 string")).select("path", "status"))
+    assert got == [("/a.pdf", "ok"), ("/b.exe", "extension"), ("/c.pdf", "duplicate"), ("/d.txt", "too_large"), ("/e.txt", "duplicate")]
+
+
+def test_comment_lines(spark):
+    c = [(k, 1, f"text {k}", 7 if k < 5 else 8, date(2024, 6, 12) if k == 0 else None, datetime(2024, 1, 1 + k)) for k in range(6)]
+    comments = spark.createDataFrame(c, "id long, document_id long, body string, author_id long, follow_up_date date, created_at timestamp_ntz")
+    lines = [r.line for r in stale.comment_context(comments, "2024-06-12", most=2).orderBy("place").collect()]
+    assert lines == ["2024-01-01 | user 7 | today 2024-06-12 | text 0", "2024-01-05 | user 7 | text 4", "2024-01-06 | user 8 | text 5"]
