@@ -143,7 +143,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     found = suspected.withColumn("salt", salt).join(salted, ["h", "g", "salt"]).filter("doc > first")
     drops = found.groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias(gone))
-    joined = numbered.join(drops.withColumnRenamed("doc", doc), doc, "left").drop(doc)
+    # Drop lists are hashed: in each partition they're far smaller than the texts, which then needn't be sorted.
+    joined = numbered.join(drops.withColumnRenamed("doc", doc).hint("shuffle_hash"), doc, "left").drop(doc)
     text_at, names = docs.columns.index(text_col), docs.columns
 
     def rewrite(b: pa.RecordBatch) -> pa.RecordBatch:
