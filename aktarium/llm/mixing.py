@@ -53,8 +53,9 @@ def mix(
     max_repeat: int = 3,
     total: int | None = None,
     seed: int = 42,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken, and columns to `keep`.
 
     A document's expected copies are its source's target / source_size. Systematic sampling: these are summed along the
     source's documents, one random offset per source is added, and a document is emitted once for each integer that its
@@ -62,7 +63,7 @@ def mix(
     document at most. Copies never exceed `max_repeat`, reruns agree (the offset is drawn from `seed` and the source).
 
     `size` is a column of whole numbers; null counts as 0. Null sources are one source, the last. Repeated rows and ties
-    are sampled as separate documents, null ids included; documents of size 0 may be drawn but take nothing. Sources
+    are sampled as separate documents, null ids included (equal sizes go by id, then by the columns to keep); documents of size 0 may be drawn but take nothing. Sources
     of size 0 have target 0 and no copies. An empty table gives no row. Other columns aren't read. Only these narrow
     columns are shuffled, and a source may hold any share of the rows: see `ranked`.
     """
@@ -73,10 +74,11 @@ def mix(
             F.col(source).alias(source),
             F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"),
             F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1")).alias(key),
+            *keep,
         )
     )
     targets = source_targets(sized, source, "size", weights, max_repeat, total)
-    placed = ranked(sized.select(key, "size", doc_id), [key], ["size", doc_id], at)
+    placed = ranked(sized.select(key, "size", doc_id, *keep), [key], ["size", doc_id, *keep], at)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 5), 16, 10).cast("double") / _STEPS
     passed = lambda n: F.floor(n * F.col(P + "each") + F.col(P + "drawn"))
@@ -86,7 +88,7 @@ def mix(
         .withColumn(P + "each", each)
         .withColumn(P + "drawn", drawn)
         .withColumn("copies", copies)
-        .select(doc_id, source, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(doc_id, source, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
     )
 
 
