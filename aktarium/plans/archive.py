@@ -151,7 +151,7 @@ class Archive:
     @cached_property
     def tasks(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self._table("orders").filter("o_orderkey < 2000").select(
+        return self._table("orders").select(
             k.alias("id"), F.concat(F.lit("Aufgabe "), k.cast("string")).alias("title"), F.when(k % 3 == 0, "erledigt").otherwise("offen").alias("status"),
             F.when(k % 6 != 0, F.date_add(F.lit("2024-06-01").cast("date"), (k % 40).cast("int"))).alias("due_date"), (k % 17).alias("owner_id"),
             F.when(k % 2 == 0, "private").otherwise("department").alias("visibility"),
@@ -184,7 +184,7 @@ class Archive:
         """Stored results of cases: when they were made, and of which documents."""
         i = F.col("id")
         made = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-        basis = self.document_case.filter((F.col("document_id") % 3 != 0) & (F.col("case_id") % 2 == 0) & (F.col("document_id") < 500))
+        basis = self.document_case.filter((F.col("document_id") % 3 != 0) & (F.col("case_id") % 2 == 0))
         lists = basis.groupBy(F.col("case_id").alias("id")).agg(F.sort_array(F.collect_set("document_id")).alias("considered"))
         return self.cases.select("id").join(lists, "id", "left").select(i.alias("case_id"), made.alias("generated_at"), F.coalesce("considered", F.array().cast("array<long>")).alias("considered"))
 
@@ -249,7 +249,7 @@ doc AS (
     CASE WHEN o_orderkey % 6 <> 0 THEN DATE '2024-06-01' + CAST(o_orderkey % 40 AS INTEGER) END AS due_date, o_orderkey % 17 AS owner_id,
     CASE WHEN o_orderkey % 2 = 0 THEN 'private' ELSE 'department' END AS visibility,
     TIMESTAMP '2024-03-01 00:00:00' + to_minutes(o_orderkey) AS created_at
-  FROM orders WHERE o_orderkey < 2000
+  FROM orders
 ), tsug AS (
   SELECT id, id % 200 AS document_id, lang || ':' || correspondent AS name, '' AS dimension, (id % 10) / 10 AS confidence, ['pending','accepted','rejected'][id % 3 + 1] AS status FROM doc
 ), csug AS (
@@ -257,7 +257,7 @@ doc AS (
 ), run AS (
   SELECT cas.id AS case_id, TIMESTAMP '2024-01-20 00:00:00' AS generated_at, coalesce(b.considered, []) AS considered
   FROM cas LEFT JOIN (SELECT case_id, list(DISTINCT document_id ORDER BY document_id) AS considered FROM dcas
-    WHERE document_id % 3 <> 0 AND case_id % 2 = 0 AND document_id < 500 GROUP BY case_id) b ON b.case_id = cas.id
+    WHERE document_id % 3 <> 0 AND case_id % 2 = 0 GROUP BY case_id) b ON b.case_id = cas.id
 ), vis AS (
   SELECT d.* FROM doc d WHERE (d.visibility = 'private' AND d.owner_id = 3)
     OR (d.visibility = 'department' AND EXISTS (SELECT 1 FROM ddep b JOIN udep u USING (department_id) WHERE b.document_id = d.id AND u.user_id = 3))

@@ -378,10 +378,10 @@ def reminders_by_author(a: Archive) -> DataFrame:
     return mails.select("author_id", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0))["follow_up_date"].alias("first"))
 
 
-@query("SELECT id % 10 AS id, DATE '2024-06-12' + CAST(id % 10 AS INTEGER) AS due_date FROM cas WHERE id < 10 AND id % 2 = 0 UNION ALL SELECT id, NULL FROM cas WHERE id < 10 AND id % 2 = 1")
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN DATE '2024-06-12' + CAST(id AS INTEGER) END AS due_date FROM cas")
 def template_tasks(a: Archive) -> DataFrame:
     i = F.col("id")
-    templates = a.cases.filter("id < 10").select(F.concat(F.lit("T"), i.cast("string")).alias("default_title"), F.when(i % 2 == 0, i).alias("default_due_offset_days"), F.lit("private").alias("visibility"))
+    templates = a.cases.select(F.concat(F.lit("T"), i.cast("string")).alias("default_title"), F.when(i % 2 == 0, i).alias("default_due_offset_days"), F.lit("private").alias("visibility"))
     tasks = bindings.task_from_template(templates, TODAY, USER)
     return tasks.select(F.substring("title", 2, 9).cast("long").alias("id"), "due_date")
 
@@ -562,13 +562,17 @@ def tag_split(a: Archive) -> DataFrame:
     return a.documents.select("id", name.alias("name"), dimension.alias("dimension"))
 
 
-@query("""SELECT id, array_to_string(list_filter(list_transform(list_distinct(list_transform(n, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: x), lambda x: NOT list_contains(k, x)), ',') IS NOT NULL AS ok,
-  CAST(len(list_filter(list_distinct(list_transform(n, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: NOT list_contains(k, x))) AS BIGINT) AS n_unmatched FROM
-  (SELECT id, list_filter(regexp_extract_all(text_content, '[0-9][0-9.,/]*[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3) AS n,
-   list_transform(list_filter(regexp_extract_all(substr(text_content, 1, 2000), '[0-9][0-9.,/]*[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS k FROM doc)""")
+_NUMBERS = "list_transform(list_filter(regexp_extract_all({0}, '[0-9][0-9.,/]*[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
+
+
+@query(f"""SELECT id, CAST(len(list_filter(n, lambda x: NOT list_contains(k, x))) AS BIGINT) AS n_unmatched FROM (SELECT d.id, list_distinct({_NUMBERS.format('d.text_content')}) AS n,
+  {_NUMBERS.format("coalesce(p.text_content, '')")} AS k FROM doc d LEFT JOIN doc p ON p.id = d.parent_id)""")
 def unmatched_numbers(a: Archive) -> DataFrame:
-    missing = ft.unmatched_numbers(F.col("text_content"), F.substring("text_content", 1, 2000))
-    return a.documents.select("id", F.lit(True).alias("ok"), F.size(missing).cast("long").alias("n_unmatched"))
+    """Numbers of each document that its parent hasn't."""
+    parent = a.documents.select(F.col("id").alias("parent_id"), F.col("text_content").alias("reference"))
+    pairs = a.documents.select("id", "parent_id", "text_content").join(parent, "parent_id", "left")
+    missing = ft.unmatched_numbers(F.col("text_content"), F.coalesce("reference", F.lit("")))
+    return pairs.select("id", F.size(missing).cast("long").alias("n_unmatched"))
 
 
 @query("""SELECT * FROM (VALUES ('1', 'application/pdf'), ('2', 'image/png'), ('3', 'text/plain'), ('4', 'image/jpeg'), ('5', 'application/octet-stream'), ('6', 'image/webp'), ('7', 'application/x-foo')) t(id, mime)""")

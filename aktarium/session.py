@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that `stored` has written in this process and `drop_stored` hasn't deleted.
+_WRITTEN: list[str] = []
 #: Folder that holds the package; Python workers get it on their path.
 HOME = str(Path(__file__).resolve().parent.parent)
 
@@ -55,8 +57,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it again: lineage is cut, nothing is computed twice.
 
     The table survives the loss of any executor, and its known size lets the planner choose joins. It stays until the
-    shared folder is cleaned, as the returned frame is lazy.
+    shared folder is cleaned, or `drop_stored` is called, as the returned frame is lazy.
     """
     path = f"{shared_folder(df.sparkSession)}/aktarium-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete all that `stored` has written in this process. Call it once the results that rest on it are written."""
+    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

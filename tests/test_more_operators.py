@@ -158,3 +158,14 @@ def test_comment_lines(spark):
     comments = spark.createDataFrame(c, "id long, document_id long, body string, author_id long, follow_up_date date, created_at timestamp_ntz")
     lines = [r.line for r in stale.comment_context(comments, "2024-06-12", most=2).orderBy("place").collect()]
     assert lines == ["2024-01-01 | user 7 | today 2024-06-12 | text 0", "2024-01-05 | user 7 | text 4", "2024-01-06 | user 8 | text 5"]
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from aktarium import session
+
+    session.drop_stored(spark)
+    df = session.stored(spark.range(5).repartition(2))
+    assert df.count() == 5 and session.drop_stored(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found|no such"):
+        df.select("id").collect()
+    assert session.drop_stored(spark) == 0
