@@ -29,12 +29,13 @@ def load_user(users: DataFrame, user_departments: DataFrame, user_id: int) -> Us
 def visible_to(rows: DataFrame, bridge: DataFrame, user: User, bridge_id: str = "document_id", id_col: str = "id") -> DataFrame:
     """Rows a user sees: department rows that share a department with them, and their own private rows.
 
-    The two arms can't overlap, as a row has one visibility, so neither needs a DISTINCT, and each keeps a plain semi-join
+    The two arms can't overlap, as a row has one visibility, and a semi-join repeats no row for several departments, so that
+    nothing needs a DISTINCT (which would be one more shuffle in every query). Each arm is a plain semi-join
     or filter. A department row without departments is visible to superusers only.
     """
     if user.is_superuser:
         return rows
-    shared = bridge.filter(F.col("department_id").isin(*user.departments)).select(F.col(bridge_id).alias(id_col)).distinct()
+    shared = bridge.filter(F.col("department_id").isin(*user.departments)).select(F.col(bridge_id).alias(id_col))
     department = rows.filter(F.col("visibility") == "department").join(shared, id_col, "left_semi")
     return department.unionByName(rows.filter((F.col("visibility") == "private") & (F.col("owner_id") == F.lit(user.id))))
 
