@@ -13,7 +13,7 @@ from ..session import stored
 #: Inner columns carry this prefix, so that no column of an input can clash with them.
 P = "__ak_"
 #: Rows and bytes of one Arrow batch. A single long text may exceed the bytes; it then travels alone.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:

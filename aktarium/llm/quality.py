@@ -20,7 +20,7 @@ BITS = 18
 #: At most so many labelled rows are learned from; the classifier is fitted on the ones whose hashed ids come first.
 MOST_TRAINING_ROWS = 8192
 #: Words remembered by one worker, and words handled at once in a long text.
-_REMEMBERED, _SLICE = 300_000, 1 << 16
+_REMEMBERED, _SLICE = 50_000, 1 << 16
 #: Each group of n-grams (words, word pairs, triples of shapes) has relative frequencies, times its scale.
 _SCALES = (4.0, 4.0, 8.0)
 _TAIL = re.compile(r"[^\w]*\Z")

@@ -109,7 +109,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         return pa.table({"a": left, "b": right})
 
     many = rows.unionByName(cols).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return few.unionByName(many).filter("a <> b")
+    # Written, so that no later step in Python shares its tasks (and their memory) with the comparison.
+    return stored(few.unionByName(many).filter("a <> b"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pre-tokens remembered by one worker; then all are forgotten at once. It bounds memory, not results.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Characters handled at once, so that one call's lists stay small however long the texts are.
 _SLICE = 1_000_000
 
