@@ -79,8 +79,8 @@ def test_links_connect_exactly_what_is_near(spark, monkeypatch, few, block):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     edges = [(r.a, r.b) for r in simhash.links(df).collect()]
-    for a, b in edges:
-        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 or few == 4
+    if few == 64:  # blocks return stars, whose arms needn't be near
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in edges)
     ids = {f: k for k, f in enumerate(signed)}
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = plain_components(list(range(len(fps))), fps)
