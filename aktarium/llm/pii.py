@@ -36,7 +36,27 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+# The length of a code by its country; those of other countries may have any length.
+_IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FO FI GL NL",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT",
+    26: "IS TR",
+    27: "FR GR IT MC SM",
+    28: "AL AZ CY DO GT HU LB PL",
+    29: "BR PS QA UA",
+    30: "JO KW MU",
+    31: "MT",
+}
+_IBAN_LENGTHS = {c: n for n, cs in _IBAN_COUNTRIES.items() for c in cs.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 
@@ -95,9 +115,19 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield m.span()
+    """Codes of their country's length, from each start that no code covers: what follows a code may look like its groups."""
+    m = _IBAN.search(text)
+    while m:
+        start, end, after = m.start(), m.end(), m.start() + 1
+        while end > start:
+            code = text[start:end].replace(" ", "")
+            whole = end == len(text) or not (text[end].isascii() and text[end].isalnum())
+            if whole and 15 <= len(code) <= 34 and _IBAN_LENGTHS.get(code[:2], len(code)) == len(code) and mod97(code):
+                yield start, end
+                after = end
+                break
+            end = text.rfind(" ", start, end)
+        m = _IBAN.search(text, after)
 
 
 _FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": lambda t: (m.span() for m in _SSN.finditer(t))}
