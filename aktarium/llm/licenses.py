@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -84,6 +85,8 @@ ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain", "
 _BITS, CONFIRM, MOST_WORDS = 13, 0.8, 400
 _WORD = re.compile(r"[a-z0-9]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+#: The anchors wherever their words stand, also on two lines; and the words that a window has more than its template on each side.
+_ANCHOR, _SLACK = re.compile("|".join(re.escape(a).replace(r"\ ", r"[^a-z0-9]+") for a in ANCHORS)), 3
 
 
 def words_of(text: str) -> list[str]:
@@ -186,12 +189,53 @@ def classify(model: Model, paragraph: str) -> tuple[str, float, bool]:
     return FAMILIES[k], float(p[k]), share >= CONFIRM
 
 
-def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """Sentences of lines, and blocks of several lines between blank ones: the spans that hold an anchor."""
+_BLOCK = re.compile(r"[^\n]+(?:\n(?![ \t\r]*(?:\n|\Z))[^\n]+)*")
+
+
+def _lowered(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # a character whose lower case is longer: only ASCII is lowered, so that places stay
         low = text.translate({c: c + 32 for c in range(65, 91)})
-    for block in re.finditer(r"[^\n]+(?:\n(?![ \t\r]*(?:\n|\Z))[^\n]+)*", text):
+    return low
+
+
+def _kind(anchor: re.Match) -> str:
+    return anchor[0][:4]
+
+
+@functools.cache
+def _anchored() -> dict[str, list[tuple[set, int, int]]]:
+    """By the start of an anchor: word pairs and number of words of each template that has it, and the words before it."""
+    out = {}
+    for t in (t.lower() for ts in TEMPLATES.values() for t in ts):
+        starts = [w.start() for w in _WORD.finditer(t)]
+        for a in _ANCHOR.finditer(t):
+            out.setdefault(_kind(a), []).append((_grams(words_of(t)), len(starts), bisect.bisect_right(starts, a.start()) - 1))
+    return out
+
+
+def _windows(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Runs of words that hold a template, across line breaks and sentences, in blocks of any length.
+
+    Around every anchor, each template that has it is laid so that the anchors coincide; where enough of its word pairs
+    are there, the run from the first to the last of them is a window.
+    """
+    for block in _BLOCK.finditer(text):
+        anchors = list(_ANCHOR.finditer(low, *block.span()))
+        words = list(_WORD.finditer(low, *block.span())) if anchors else []
+        starts = [w.start() for w in words]
+        for a in anchors:
+            at = bisect.bisect_right(starts, a.start()) - 1
+            for grams, n, before in _anchored().get(_kind(a), ()) if at >= 0 else ():
+                part = words[max(0, at - before - _SLACK) : at - before + n + _SLACK]
+                held = [k for k, (x, y) in enumerate(zip(part, part[1:], strict=False)) if (x[0], y[0]) in grams]
+                if held and len({(part[k][0], part[k + 1][0]) for k in held}) >= CONFIRM * len(grams):
+                    yield part[held[0]].start(), part[held[-1] + 1].end()
+
+
+def _paragraphs(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Sentences of lines, and blocks of several lines between blank ones: the spans that hold an anchor."""
+    for block in _BLOCK.finditer(text):
         start, end = block.span()
         if not any(low.find(a, start, end) >= 0 for a in ANCHORS):
             continue
@@ -206,15 +250,47 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
             at += len(line) + 1
 
 
+def _meeting(found: list[Found]) -> Callable[[str, int, int], bool]:
+    """Whether a span has characters in common with one of a family's findings."""
+    spans = {}
+    for f in sorted(found, key=lambda f: f.start):
+        starts, ends = spans.setdefault(f.family, ([], []))
+        starts.append(f.start)
+        ends.append(max(f.end, ends[-1] if ends else 0))
+
+    def meets(family: str, start: int, end: int) -> bool:
+        starts, ends = spans.get(family, ((), ()))
+        at = bisect.bisect_left(starts, end)
+        return at > 0 and ends[at - 1] > start
+
+    return meets
+
+
 def scan(model: Model, text: str | None) -> list[Found]:
-    """Licences named in a text, by start. A block's finding stands for the same family's findings inside it."""
+    """Licences named in a text, by start. A block's finding stands for the same family's findings inside it, and a
+    confirmed window for what it meets of its family."""
     text, out = text or "", []
-    if not any(a in text.lower() for a in ANCHORS):
+    low = _lowered(text)
+    if not _ANCHOR.search(low):
         return out
-    for start, end in _paragraphs(text):
+    for start, end in _paragraphs(text, low):
         family, p, confirmed = classify(model, text[start:end])
         if family != UNKNOWN and not (out and any(f.family == family and f.confirmed >= confirmed and f.start <= start and end <= f.end for f in out[-8:])):
             out.append(Found(family, start, end, round(p, 6), confirmed))
+    sure, claimed, added = _meeting([f for f in out if f.confirmed]), [], []
+    # The longest window comes first: a template that holds another family's shorter one keeps it.
+    for start, end in sorted(set(_windows(text, low)), key=lambda w: (w[0] - w[1], w)):
+        at = bisect.bisect_left(claimed, (end,))
+        if at and claimed[at - 1][1] > start:
+            continue
+        family, p, confirmed = classify(model, text[start:end])
+        if confirmed:
+            claimed.insert(at, (start, end))
+            if not sure(family, start, end):
+                added.append(Found(family, start, end, round(p, 6), True))
+    if added:
+        better = _meeting(added)
+        out = [f for f in out if f.confirmed or not better(f.family, f.start, f.end)] + added
     return sorted(out, key=lambda f: (f.start, f.end))
 
 
@@ -222,7 +298,8 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "do
     """One row per input row: id, `families` (confirmed ones, sorted, comma-joined), n_confirmed, n_unconfirmed, `spans`
     (family:start:end of the confirmed, comma-joined; code points, end exclusive).
 
-    The whole text is searched for anchors, and each paragraph that has one is classified. Null and empty texts have no
+    The whole text is searched for anchors, and each paragraph that has one is classified, as are the windows around anchors
+    that hold a template, across line breaks and in paragraphs of any length. Null and empty texts have no
     licence. Rows are independent: repeated rows and null ids stay, an empty table gives no row. Other columns aren't read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
