@@ -24,30 +24,34 @@ def descendants(docs: DataFrame, top: int, most_levels: int = 100) -> DataFrame:
     return seen
 
 
-def root_of(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
+def root_of(docs: DataFrame) -> DataFrame:
     """(id, root_id, depth) of every document, by pointer doubling: each round doubles the height that is covered, and is
     written out, so that the next one doesn't repeat it.
 
-    A document in or below a cycle has root_id null; a parent that is missing makes its child a root. `most_rounds` rounds
-    cover a height of 2 ** most_rounds; a deeper chain also has root_id null.
+    A document in or below a cycle has root_id null; a parent that is missing makes its child a root. Chains have any
+    height: a round after which no fewer documents are on their way than before leaves only cycles, as each document on a
+    long chain has ancestors on shorter ones.
     """
     ids = docs.select("id", "parent_id")
     known = ids.select(F.col("id").alias("parent_id"))
     at = ids.join(known, "parent_id", "left_semi").select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"))
     at = at.unionByName(ids.join(at.select("id"), "id", "left_anti").select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("depth")))
     at = stored(at)
-    for _ in range(most_rounds):
+    before = None
+    while True:
         step = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         moved = F.col("next") != F.col("up")
         now = stored(at.join(step, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), moved.alias("moved")))
         at = now.drop("moved")
-        if now.filter("moved").isEmpty():
+        under_way = now.filter("moved").count()
+        if under_way in (0, before):
             break
+        before = under_way
     roots = ids.filter("parent_id IS NULL").select("id").unionByName(ids.filter("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select("id"))
     sure = at.join(roots.select(F.col("id").alias("up")), "up", "left_semi").select("id", F.col("up").alias("root_id"), "depth")
     return ids.select("id").join(sure, "id", "left")
 
 
-def cyclic(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
+def cyclic(docs: DataFrame) -> DataFrame:
     """Ids whose chain of parents never ends."""
-    return root_of(docs, most_rounds).filter("root_id IS NULL").select("id")
+    return root_of(docs).filter("root_id IS NULL").select("id")
