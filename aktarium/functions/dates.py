@@ -5,15 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The kinds of date in the order in which one is chosen, and the names that stand for them.
+# The kinds of date in the order in which one is chosen, and the kind that each name stands for.
 DATE_PRIORITY = ("belegdatum", "zeitraum_ende", "briefkopf", "modell", "erstellt")
 PERIOD_START = "zeitraum_beginn"
-DATE_ALIASES = {
-    "belegdatum": "belegdatum beleg rechnungsdatum rechnung bescheiddatum bescheid dokumentdatum vertragsdatum quittungsdatum",
-    "zeitraum_beginn": "zeitraum_beginn zeitraumbeginn zeitraum_von periode_beginn leistungszeitraum_beginn abrechnungszeitraum_beginn",
-    "zeitraum_ende": "zeitraum_ende zeitraumende zeitraum_bis periode_ende leistungszeitraum_ende abrechnungszeitraum_ende",
-    "briefkopf": "briefkopf briefkopfdatum briefdatum schreiben_vom",
-    "erstellt": "erstellt erstellt_am erstelldatum druckdatum gedruckt gedruckt_am ausgedruckt ausgedruckt_am abrufdatum abgerufen_am stand",
+DATE_KINDS = {
+    "belegdatum": "belegdatum",
+    "beleg": "belegdatum",
+    "rechnungsdatum": "belegdatum",
+    "rechnung": "belegdatum",
+    "bescheiddatum": "belegdatum",
+    "bescheid": "belegdatum",
+    "dokumentdatum": "belegdatum",
+    "vertragsdatum": "belegdatum",
+    "quittungsdatum": "belegdatum",
+    "zeitraum_beginn": "zeitraum_beginn",
+    "zeitraumbeginn": "zeitraum_beginn",
+    "zeitraum_von": "zeitraum_beginn",
+    "periode_beginn": "zeitraum_beginn",
+    "leistungszeitraum_beginn": "zeitraum_beginn",
+    "abrechnungszeitraum_beginn": "zeitraum_beginn",
+    "zeitraum_ende": "zeitraum_ende",
+    "zeitraumende": "zeitraum_ende",
+    "zeitraum_bis": "zeitraum_ende",
+    "periode_ende": "zeitraum_ende",
+    "leistungszeitraum_ende": "zeitraum_ende",
+    "abrechnungszeitraum_ende": "zeitraum_ende",
+    "briefkopf": "briefkopf",
+    "briefkopfdatum": "briefkopf",
+    "briefdatum": "briefkopf",
+    "schreiben_vom": "briefkopf",
+    "erstellt": "erstellt",
+    "erstellt_am": "erstellt",
+    "erstelldatum": "erstellt",
+    "druckdatum": "erstellt",
+    "gedruckt": "erstellt",
+    "gedruckt_am": "erstellt",
+    "ausgedruckt": "erstellt",
+    "ausgedruckt_am": "erstellt",
+    "abrufdatum": "erstellt",
+    "abgerufen_am": "erstellt",
+    "stand": "erstellt",
 }
 
 
@@ -33,10 +64,7 @@ def parse_date(text: Column) -> Column:
 def date_kind(name: Column) -> Column:
     """The kind that a name stands for, once its letters are lower and all between them is one underscore; else null."""
     key = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
-    found = F.lit(None).cast("string")
-    for kind, names in DATE_ALIASES.items():
-        found = F.when(key.isin(*names.split()), kind).otherwise(found)
-    return found
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in DATE_KINDS.items() for x in pair)), key)
 
 
 def week_end(day: Column) -> Column:

@@ -5,33 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How letters close.
-CLOSINGS = ("mit freundlichen grüßen", "mit freundlichen grüssen", "mit freundlichen gruessen", "freundliche grüße", "freundliche grüsse", "freundliche gruesse", "hochachtungsvoll", "beste grüße", "beste grüsse", "beste gruesse", "viele grüße", "viele grüsse", "viele gruesse")
-#: So many lines at the end are searched for a closing.
-LAST_LINES = 5
+from .text import LINE_END, let, strip, strip_end
 
+# How a letter's last lines begin, in lower case.
+CLOSINGS = (
+    "mit freundlichen grüßen", "mit freundlichen grüssen", "mit freundlichen gruessen", "mit freundlichen grußen",
+    "freundliche grüße", "freundliche grüsse", "freundliche grueße", "freundliche gruesse", "freundliche gruße", "freundliche grusse",
+    "hochachtungsvoll",
+    "beste grüße", "beste grüsse", "beste grueße", "beste gruesse", "beste gruße", "beste grusse",
+    "viele grüße", "viele grüsse", "viele grueße", "viele gruesse", "viele gruße", "viele grusse",
+)
+# First lines of a signature that repeat the layout's closing, in lower case.
+SIGNATURE_CLOSINGS = (
+    "mit freundlichen grüßen", "mit freundlichen grüssen", "mit freundlichen grueßen", "mit freundlichen gruessen",
+    "freundliche grüße", "freundliche grüsse", "freundliche grueße", "freundliche gruesse",
+    "hochachtungsvoll",
+    "beste grüße", "beste grüsse", "beste grueße", "beste gruesse",
+    "viele grüße", "viele grüsse", "viele grueße", "viele gruesse",
+)
+#: So many lines at the end are searched for a closing, and the last filled line before them.
+LAST_LINES = 4
 
-def _closes(line: Column, own: Column) -> Column:
-    clean = F.rtrim(F.lower(F.trim(line)), F.lit(","))
-    out = (own != "") & (clean == own)
-    for phrase in CLOSINGS:
-        out = out | clean.rlike(rf"^{phrase}\b")
-    return out
+
+def _said(line: Column) -> Column:
+    return F.rtrim(F.lower(strip(line)), F.lit(","))
 
 
 def strip_closing(text: Column, closing: Column | None = None) -> Column:
-    """The text without a closing phrase in its last lines and all that follows; a phrase further up is part of the text."""
-    own = F.rtrim(F.lower(F.trim(F.coalesce(closing, F.lit("")))), F.lit(",")) if closing is not None else F.lit("")
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), "\n")
-    at = F.transform(lines, lambda x, i: F.when(_closes(x, own) & (i >= F.size(lines) - LAST_LINES), i))
-    cut = F.array_max(at)
-    kept = F.array_join(F.slice(lines, 1, F.coalesce(cut, F.size(lines))), "\n")
-    return F.regexp_replace(kept, r"\s+$", "")
+    """The text without a closing phrase near its end and all that follows; a phrase further up is part of the text.
+
+    Near is: in the last four lines, or the last filled line before these. So empty lines between the closing and a name of
+    several lines don't hide it. `closing` is a phrase of the layout's own, compared as a whole line.
+    """
+    own = F.rtrim(F.lower(strip(F.coalesce(closing, F.lit("")))), F.lit(",")) if closing is not None else F.lit("")
+    whole = strip_end(F.coalesce(text, F.lit("")))
+    # Of each line: 0 if it's empty, 2 if it closes the letter, else 1.
+    kind = lambda said: F.when(said == "", 0).when(said.rlike(rf"(?U)^(?:{'|'.join(CLOSINGS)})\b") | ((own != "") & (said == own)), 2).otherwise(1)
+
+    def last(kinds: Column, counts) -> Column:
+        return F.array_max(F.transform(kinds, lambda k, i: F.when(counts(k, i), i)))
+
+    def cut(kinds: Column) -> Column:
+        end = F.size(kinds) - LAST_LINES
+        near = lambda before: last(kinds, lambda k, i: (k == 2) & ((i >= end) | (i == before)))
+        return let(F.coalesce(last(kinds, lambda k, i: (k > 0) & (i < end)), F.lit(-1)), near)
+
+    def kept(lines: Column) -> Column:
+        at = let(F.transform(lines, lambda x: let(_said(x), kind)), cut)
+        return let(at, lambda n: F.when(n.isNotNull(), strip_end(F.array_join(F.slice(lines, 1, n), "\n"))))
+
+    return F.coalesce(let(F.split(whole, LINE_END), kept), whole)
 
 
 def strip_first_closing(signature: Column) -> Column:
-    """A signature without a closing phrase as its first line, and without the blank line behind it."""
+    """A signature without a closing phrase as its first line, and without the empty lines behind it."""
     text = F.regexp_replace(F.coalesce(signature, F.lit("")), r"^\n+|\n+$", "")
-    lines = F.split(text, "\n")
-    rest = F.regexp_replace(F.array_join(F.slice(lines, 2, 1_000_000), "\n"), r"^[ \t]*\n", "")
-    return F.when(_closes(F.get(lines, F.lit(0)), F.lit("")), rest).otherwise(text)
+    closes = let(F.get(F.split(text, "\n"), F.lit(0)), lambda x: F.lower(F.rtrim(strip(x), F.lit(","))).isin(*SIGNATURE_CLOSINGS))
+    return strip(F.when(closes, F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text))

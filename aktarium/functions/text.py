@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's split() has it.
+#: White space as Python's split() has it, and what ends a line there.
 WIDE_SPACE = r"[\s\x1c-\x1f\u0085\p{Z}]+"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, where the value is computed once however often it's used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, rf"^{WIDE_SPACE}|{WIDE_SPACE}$", "")
+
+
+def strip_end(text: Column) -> Column:
+    return F.regexp_replace(text, rf"{WIDE_SPACE}$", "")
 
 
 def strip_controls(text: Column) -> Column:

@@ -58,8 +58,9 @@ def tag_index(tags: DataFrame, document_tag: DataFrame, visible: DataFrame) -> D
 
 
 def tags_by_dimension(index: DataFrame) -> DataFrame:
-    """The tag index as one row per dimension, its tags by name."""
-    return index.groupBy("dimension").agg(F.array_sort(F.collect_list(F.struct("name", "n_documents"))).alias("tags"))
+    """Of each dimension in the tag index its number of tags, its first tag by name, and its documents' tags in all. The tags
+    themselves stay rows of the index, as a dimension may have any number of them."""
+    return index.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_tags"), F.min("name").alias("first"), F.sum("n_documents").alias("n_tagged"))
 
 
 def contact_numbers(visible: DataFrame, task_document: DataFrame, visible_tasks: DataFrame) -> DataFrame:

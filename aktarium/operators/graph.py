@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import default_order, top
+from .ordering import default_order, numbered, top
 from .references import other_side, shared_matches
 
 LIMIT = 25
@@ -92,4 +92,5 @@ def merge_nodes(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two node lists (node, payload, position) as one: a node stays at its first place with its last payload."""
     both = first.withColumn("part", F.lit(0)).unionByName(second.withColumn("part", F.lit(1)))
     at = F.struct("part", "position")
-    return both.groupBy("node").agg(F.max_by("payload", at).alias("payload"), F.min(at).alias("at")).select("node", "payload", F.row_number().over(Window.orderBy("at")).alias("position"))
+    merged = both.groupBy("node").agg(F.max_by("payload", at).alias("payload"), F.min(at).alias("at")).select("node", "payload", "at.*")
+    return numbered(merged, ["part", "position", "node"], "place").select("node", "payload", F.col("place").alias("position"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def display_date() -> Column:
     """The document's date, or else the day it was created."""
@@ -42,9 +44,9 @@ def task_order() -> list[Column]:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 20) -> DataFrame:
-    """One page: a number under 1 is the first, one beyond the end the last. Only the page's rows are kept while sorting."""
-    pages = max(1, -(-rows.count() // size))
-    number = min(max(1, number), pages)
+    """One page: a number under 1 is the first, one beyond the end the last. Only the page's rows are kept while sorting, and
+    rows are counted for later pages only."""
+    number = min(number, max(1, -(-rows.count() // size))) if number > 1 else 1
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
@@ -55,11 +57,24 @@ def top(rows: DataFrame, order: list[Column], n: int, rank: str | None = None) -
 
 
 def top_of_each(rows: DataFrame, group: list[str], order: list[Column], n: int, total: str | None = None) -> DataFrame:
-    """The first `n` rows of each group; `total` counts the group's rows, to tell whether it was cut."""
-    kept = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    if total:
-        kept = kept.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    return kept.filter(F.col("_place") <= n).drop("_place")
+    """The first `n` rows of each group; `total` counts the group's rows, to tell whether it was cut.
+
+    Each task keeps `n` rows of a group at most before they're shuffled, and counts are aggregated apart, so that a group
+    may hold any share of the rows.
+    """
+    kept = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_place") <= n).drop("_place")
+    return kept.join(rows.groupBy(*group).agg(F.count(F.lit(1)).alias(total)), group) if total else kept
+
+
+def numbered(rows: DataFrame, order: list[str], place: str) -> DataFrame:
+    """Every row with its place (from 1) in the order of these columns: rows are dealt by range and numbered in each
+    partition, and only one row of each partition is summed up in one task. Rows are written once."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = stored(spread.withColumns({"_part": F.spark_partition_id(), "_at": at}))
+    heads = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spread.join(F.broadcast(heads.select("_part", before.alias("_before"))), "_part").withColumn(place, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
 def prefix_first(rows: DataFrame, name: str, prefix: str, order: list[Column], pool: int = 200, n: int = 10) -> DataFrame:

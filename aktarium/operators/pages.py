@@ -39,7 +39,7 @@ def sections(docs: DataFrame, id_col: str = "id", text_col: str = "markdown") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbers = F.regexp_extract_all(text, F.lit(PAGE_HEADING), 1)
     bodies = F.split(text, PAGE_HEADING)
-    several = F.arrays_zip(numbers.alias("page"), F.slice(bodies, 2, 1_000_000).alias("body"))
+    several = F.arrays_zip(numbers.alias("page"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
     whole = F.array(F.struct(F.lit("1").alias("page"), text.alias("body")))
     rows = docs.select(F.col(id_col).alias("id"), F.explode(F.when(F.size(numbers) > 0, several).otherwise(whole)).alias("s"))
     return rows.select("id", F.col("s")["page"].cast("int").alias("page"), F.trim(F.col("s")["body"]).alias("body"))

@@ -21,9 +21,10 @@ class User:
 
 def load_user(users: DataFrame, user_departments: DataFrame, user_id: int) -> User:
     """One user's row and department ids; a missing user sees nothing but public arms."""
-    found = users.filter(F.col("id") == user_id).select("is_superuser").first()
-    rows = user_departments.filter(F.col("user_id") == user_id).select("department_id").distinct().collect()
-    return User(user_id if found else None, bool(found and found.is_superuser), tuple(sorted(r.department_id for r in rows)))
+    own = user_departments.filter(F.col("user_id") == user_id).select("user_id", "department_id")
+    rows = users.filter(F.col("id") == user_id).select(F.col("id").alias("user_id"), "is_superuser").join(own, "user_id", "left").distinct().collect()
+    departments = {r.department_id for r in rows if r.department_id is not None}
+    return User(user_id if rows else None, any(r.is_superuser for r in rows), tuple(sorted(departments)))
 
 
 def visible_to(rows: DataFrame, bridge: DataFrame, user: User, bridge_id: str = "document_id", id_col: str = "id") -> DataFrame:

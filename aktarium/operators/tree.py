@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 
-def descendants(docs: DataFrame, top: int, most_levels: int = 100) -> DataFrame:
-    """(id, level) of all below `top`, level by level, each id once and never `top` itself; a cycle ends the walk.
+#: So many levels are walked one by one; a tree that is deeper is finished by pointer doubling.
+WALKED_LEVELS = 8
 
-    Each level is one join with the (id, parent_id) pairs; levels are few, and the walk stops at the first empty one.
+
+def descendants(docs: DataFrame, top: int) -> DataFrame:
+    """(id, level) of all below `top` at any depth, each id once and never `top` itself; a cycle ends the walk.
+
+    Each level is one join with the (id, parent_id) pairs, and most trees end after a few. One that doesn't is followed from
+    the other end: with `top` as a root of its own, its descendants are those that `root_of` leads to it.
     """
     pairs = docs.select("id", "parent_id").filter("parent_id IS NOT NULL")
-    seen = level = stored(pairs.filter((F.col("parent_id") == top) & (F.col("id") != top)).select("id", F.lit(1).cast("long").alias("level")).distinct())
-    for n in range(2, most_levels):
+    level = stored(pairs.filter((F.col("parent_id") == top) & (F.col("id") != top)).select("id", F.lit(1).cast("long").alias("level")).distinct())
+    seen = level
+    for n in range(2, WALKED_LEVELS + 1):
+        if level.isEmpty():
+            return seen
         below = pairs.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").filter(F.col("id") != top)
         level = stored(below.select("id", F.lit(n).cast("long").alias("level")).distinct().join(seen.select("id"), "id", "left_anti"))
-        if level.isEmpty():
-            break
         seen = seen.unionByName(level)
-    return seen
+    if level.isEmpty():
+        return seen
+    cut = docs.select("id", F.when(F.col("id") != top, F.col("parent_id")).alias("parent_id"))
+    return root_of(cut).filter((F.col("root_id") == top) & (F.col("id") != top)).select("id", F.col("depth").alias("level")).distinct()
 
 
 def root_of(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as fd
@@ -281,10 +281,9 @@ def tag_index(a: Archive) -> DataFrame:
     return aggregates.tag_index(a.tags, a.document_tag, _visible(a))
 
 
-@query(f"SELECT dimension, count(*) AS n_tags, min(name) AS first FROM ({_TAGS}) GROUP BY dimension")
+@query(f"SELECT dimension, count(*) AS n_tags, min(name) AS first, CAST(sum(n_documents) AS BIGINT) AS n_tagged FROM ({_TAGS}) GROUP BY dimension")
 def tag_dimensions(a: Archive) -> DataFrame:
-    runs = aggregates.tags_by_dimension(aggregates.tag_index(a.tags, a.document_tag, _visible(a)))
-    return runs.select("dimension", F.size("tags").cast("long").alias("n_tags"), F.get("tags", F.lit(0))["name"].alias("first"))
+    return aggregates.tags_by_dimension(aggregates.tag_index(a.tags, a.document_tag, _visible(a)))
 
 
 @query("""SELECT d.name, d.n_documents, d.n_in, d.n_out, coalesce(t.n, 0) AS n_open_tasks FROM
@@ -503,7 +502,7 @@ def graph_search(a: Archive) -> DataFrame:
     return graph.search_nodes({"case": a.cases.select(F.col("id").alias("key"), "name"), "contact": a.contacts.select(F.col("name").alias("key"), "name")}, "1")
 
 
-@query("""SELECT n AS node, payload, CAST(row_number() OVER (ORDER BY part, pos) AS INTEGER) AS position FROM (SELECT n, arg_max(payload, part) AS payload, min(part) AS part, arg_min(pos, part) AS pos FROM
+@query("""SELECT n AS node, payload, CAST(row_number() OVER (ORDER BY part, pos) AS BIGINT) AS position FROM (SELECT n, arg_max(payload, part) AS payload, min(part) AS part, arg_min(pos, part) AS pos FROM
   (SELECT 'c' || id AS n, 'first' AS payload, 0 AS part, id AS pos FROM cas WHERE id < 12 UNION ALL SELECT 'c' || id, 'second', 1, id FROM cas WHERE id > 7) GROUP BY n)""")
 def graph_merge(a: Archive) -> DataFrame:
     i = F.col("id")
@@ -726,15 +725,36 @@ def edit_metadata(a: Archive) -> DataFrame:
 
 @query()
 def html_text(a: Archive) -> DataFrame:
-    return mail.clean_bodies(a._table("pages"), "page_id", "html", F.lit("text/html"))
+    return mail.clean_bodies(a._table("pages"), "page_id", "html", html=True)
 
 
-@query("""SELECT id, CASE id % 4 WHEN 0 THEN lang WHEN 1 THEN lang WHEN 2 THEN lang || chr(10) || correspondent ELSE lang END AS text FROM doc""")
+def _by_id(values: tuple[str, ...]) -> Column:
+    """One of the values by the id."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values)).cast("int") + 1)
+
+
+def _by_id_sql(values: tuple[str, ...]) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values)
+    return f"([{quoted}])[id % {len(values)} + 1]"
+
+
+# What follows a mail's own text: signs of quotes, and lines that only look like one (the third of each row of three).
+_TAILS = (
+    "\n-- \nJane", "\nOn 1 May, Bob wrote:\n> hi", "\n--x\nJane",
+    "\n> quoted\n  > more\n  indented\n\n\n\nEnde", "\nVon: Bob\n\n  Gesendet: gestern\nmehr", "\nVon: Anna\nirgendwas\nAn: Bert\nRest",
+    "\nVon meinem Telefon gesendet\nx", "\n  ---- Urspruengliche Nachricht ----\nx", "\nGesendet von meinemx\nEnde",
+    "\nFrom: Bob\nTo:\nAnna\nx", "\nAm 1. Mai schrieb Bob:\nalt", "\nAm 1. Mai schrieb Bob: nichts",
+)
+
+
+@query(f"""SELECT * FROM (WITH l AS (SELECT id, string_split(text_content || {_by_id_sql(_TAILS)}, chr(10)) AS x FROM doc), f AS (SELECT id, x, list_min(list_filter(list_transform(x, lambda y, i: CASE WHEN rtrim(y) = '--'
+    OR regexp_matches(trim(y), '(?i)^(Gesendet von meinem|Von meinem .* gesendet|Sent from my|Get Outlook for)\\b') OR regexp_matches(trim(y), '(?i)^-{{2,}}\\s*(Urspr(ü|ue)ngliche Nachricht|Original Message|Weitergeleitete Nachricht|Forwarded message)\\s*-{{2,}}')
+    OR regexp_matches(trim(y), '(?i)^(Am\\s.+\\sschrieb\\s.+:|On\\s.+\\swrote:)$') OR (regexp_matches(trim(y), '(?i)^(Von|From)\\s*:\\s*.+')
+    AND regexp_matches(array_to_string(x[i + 1:i + 3], chr(10)), '(?i)^\\s*(Gesendet|Sent|An|To|Datum|Date)\\s*:\\s*.+')) THEN i END), lambda z: z IS NOT NULL)) AS k FROM l)
+  SELECT id, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(CASE WHEN k IS NULL THEN x ELSE x[1:k - 1] END, lambda y: NOT starts_with(trim(y), '>')), lambda y: rtrim(y)), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM f)""")
 def quote_cut(a: Archive) -> DataFrame:
-    i = F.col("id")
-    tails = F.when(i % 4 == 0, "\n-- \nJane").when(i % 4 == 1, "\nOn 1 May, Bob wrote:\n> hi").when(i % 4 == 2, F.concat(F.lit("\n> quoted\n"), F.col("correspondent"))).otherwise("\nVon: Bob\nGesendet: gestern\nmehr")
-    bodies = a.documents.select("id", F.concat(F.col("lang"), tails).alias("body"))
-    return mail.clean_bodies(bodies, "id", "body", F.lit("text/plain")).select("id", "text")
+    bodies = a.documents.select("id", F.concat("text_content", _by_id(_TAILS)).alias("body"))
+    return mail.clean_bodies(bodies, "id", "body").select("id", "text")
 
 
 @query("""SELECT id, CASE WHEN id % 3 = 2 THEN NULL WHEN id % 5 = 0 OR id % 7 = 0 THEN 'inline' WHEN id * 1000 < 20480 THEN 'small' WHEN id % 300 < 200 THEN 'small_side' END AS reason FROM doc""")
@@ -746,9 +766,10 @@ def attachment_filter(a: Archive) -> DataFrame:
     return mail.attachment_reasons(attachments, bodies).select(F.col("mail_id").alias("id"), "reason")
 
 
-@query("SELECT id, 'Betreff: ' || title || chr(10) || 'An: ' || correspondent || chr(10) || chr(10) || lang AS text FROM doc")
+@query("""SELECT id, regexp_replace('Betreff: ' || title || chr(10) || CASE WHEN id % 2 = 0 THEN 'Von:  ' || chr(10) ELSE '' END || 'An: ' || correspondent || chr(10) || chr(10) || text_content, '\\s+$', '') AS text FROM doc""")
 def mail_index_text(a: Archive) -> DataFrame:
-    return a.documents.select("id", mail.index_text(F.col("title"), F.lit(""), F.col("correspondent"), F.lit(None).cast("string"), F.col("lang")).alias("text"))
+    sender = F.when(F.col("id") % 2 == 0, " ").otherwise("")
+    return a.documents.select("id", mail.index_text(F.col("title"), sender, F.col("correspondent"), F.lit(None).cast("string"), F.col("text_content")).alias("text"))
 
 
 # Ingest
@@ -864,11 +885,10 @@ def document_staleness(a: Archive) -> DataFrame:
     return stale.document_staleness(a.documents, a.comments, runs)
 
 
-@query("""SELECT case_id, len(ids) AS n_ids, n, changed_at, commented_at FROM (SELECT c.case_id, list(DISTINCT v.id) AS ids, count(*) AS n, max(v.updated_at) AS changed_at, max(m.m) AS commented_at FROM (SELECT DISTINCT * FROM dcas) c JOIN vis v ON v.id = c.document_id
+@query("""SELECT case_id, n, ids_digest, changed_at, commented_at FROM (SELECT c.case_id, bit_xor(CAST('0x' || substr(md5(CAST(v.id AS VARCHAR)), 1, 15) AS BIGINT)) AS ids_digest, count(*) AS n, max(v.updated_at) AS changed_at, max(m.m) AS commented_at FROM (SELECT DISTINCT * FROM dcas) c JOIN vis v ON v.id = c.document_id
   LEFT JOIN (SELECT document_id, max(created_at) AS m FROM com GROUP BY 1) m ON m.document_id = v.id GROUP BY c.case_id)""")
 def basis_fingerprints(a: Archive) -> DataFrame:
-    found = stale.basis_fingerprint(a.document_case, _visible(a), a.comments)
-    return found.select("case_id", F.size("ids").cast("long").alias("n_ids"), "n", "changed_at", "commented_at")
+    return stale.basis_fingerprint(a.document_case, _visible(a), a.comments)
 
 
 @query("""SELECT document_id, id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS p FROM com) WHERE p <= 3 OR follow_up_date IS NOT NULL""")
@@ -990,10 +1010,19 @@ def repair_dates(a: Archive) -> DataFrame:
     return repairs.mark_machine_dates(docs).select("id", "date_source")
 
 
-@query("SELECT id, title AS body, 'Jane' AS signature FROM doc")
+# The ends of letters: closings before names of several lines, and phrases that are too far up, or part of a sentence.
+_ENDINGS = (
+    "\n\nMit freundlichen Grüßen,\nJane\n", "\n Gruß Jane,\n\n", "\nBeste Grüsse\n\nJane Doe\nLeitung\nTelefon\nMail", "\nViele Grüße\n1\n2\n3\n4\n5",
+    "\nHochachtungsvolle Worte", "\nFreundliche Gruesse\n\n\n1\n2\n3", "\nbeste grüße\nx\nViele Grusse, Jane\ny", "",
+)
+_CLOSES = "regexp_matches({0}, '^(mit freundlichen (grüßen|grüssen|gruessen|grußen)|(freundliche|beste|viele) (grüße|grüsse|grueße|gruesse|gruße|grusse)|hochachtungsvoll)($|[^\\p{{L}}\\p{{N}}_])')"
+
+
+@query(f"""SELECT id, CASE WHEN k IS NULL THEN t ELSE regexp_replace(array_to_string(x[1:k - 1], chr(10)), '\\s+$', '') END AS body, 'Jane' AS signature FROM (SELECT id, t, x, list_max(list_filter(list_transform(x, lambda y, i:
+    CASE WHEN (said[i] = 'gruß jane' OR {_CLOSES.format('said[i]')}) AND (i > len(x) - 4 OR len(list_filter(said[i + 1:len(x) - 4], lambda z: z <> '')) = 0) THEN i END), lambda z: z IS NOT NULL)) AS k
+  FROM (SELECT id, t, string_split(t, chr(10)) AS x, list_transform(string_split(t, chr(10)), lambda y: rtrim(lower(trim(y)), ',')) AS said FROM (SELECT id, regexp_replace(text_content || {_by_id_sql(_ENDINGS)}, '\\s+$', '') AS t FROM doc)))""")
 def strip_closings(a: Archive) -> DataFrame:
-    letter = F.concat(F.col("title"), F.when(F.col("id") % 2 == 0, "\n\nMit freundlichen Grüßen,\nJane\n").otherwise("\nGruß Jane,\n"))
-    body = fl.strip_closing(letter, F.lit("Gruß Jane"))
+    body = fl.strip_closing(F.concat("text_content", _by_id(_ENDINGS)), F.lit("Gruß Jane"))
     return a.documents.select("id", body.alias("body"), fl.strip_first_closing(F.lit("Viele Grüße\n\nJane")).alias("signature"))
 
 

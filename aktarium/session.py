@@ -7,12 +7,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that `stored` has written in this process and `drop_stored` hasn't deleted.
-_WRITTEN: list[str] = []
+#: Tables that `stored` has written in this process and that haven't been deleted; those of the innermost `collecting`.
+_WRITTEN: set[str] = set()
+_COLLECTED: ContextVar[list[str] | None] = ContextVar("collected", default=None)
 #: Folder that holds the package; Python workers get it on their path.
 HOME = str(Path(__file__).resolve().parent.parent)
 
@@ -43,10 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset (as in tests on one
-    machine) one of our own, which goes when this process ends."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and all runs in one process (as in tests), it's one of our own, which goes when the process ends.
+    With executors elsewhere such a folder would be another one on each machine: then an error is raised.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         where = tempfile.mkdtemp(prefix="aktarium-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)
@@ -57,18 +67,40 @@ def stored(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it again: lineage is cut, nothing is computed twice.
 
     The table survives the loss of any executor, and its known size lets the planner choose joins. It stays until the
-    shared folder is cleaned, or `drop_stored` is called, as the returned frame is lazy.
+    shared folder is cleaned, or `discard` or `drop_stored` is called, as the returned frame is lazy.
     """
     path = f"{shared_folder(df.sparkSession)}/aktarium-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.add(path)
+    if (collected := _COLLECTED.get()) is not None:
+        collected.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._aktarium_path = path
+    return out
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete all that `stored` has written in this process. Call it once the results that rest on it are written."""
+def discard(spark: SparkSession, *tables: DataFrame | str) -> int:
+    """Delete tables that `stored` wrote, once nothing lazy rests on them. Frames that it didn't return are left alone."""
     hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_aktarium_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.discard(path)
+            where = hadoop.Path(path)
+            n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return n
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that `stored` writes in this thread inside the block, to be discarded when what rests on them is written."""
+    mark = _COLLECTED.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _COLLECTED.reset(mark)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete all that `stored` has written in this process. Call it once the results that rest on it are written."""
+    return discard(spark, *list(_WRITTEN))

@@ -10,8 +10,9 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.mail import clean_body, parse_eml
+from ..operators.mail import html_to_text, own_text, parse_eml
 
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -39,15 +40,17 @@ def read_docx(content: bytes) -> str:
 
 
 def read_mail(content: bytes) -> str:
-    """A mail's own text, plain before HTML."""
+    """A mail's body, plain before HTML."""
     mail = parse_eml(content)
     if mail is None:
         raise ValueError("not a mail")
-    return clean_body(mail["plain"], "text/plain") if mail["plain"] else clean_body(mail["html"], "text/html")
+    return mail["plain"] or html_to_text(mail["html"] or "")
 
 
 #: Type -> reader. Readers of scans and PDF need programs that aren't part of this package; add them here.
-READERS: dict[str, Callable[[bytes], str]] = {"text/plain": read_plain, "text/html": lambda c: clean_body(read_plain(c), "text/html"), DOCX: read_docx, "message/rfc822": read_mail}
+#: Of the types in MAIL only what their sender wrote is kept, without signatures and quoted mail.
+MAIL = ("text/html", "message/rfc822")
+READERS: dict[str, Callable[[bytes], str]] = {"text/plain": read_plain, "text/html": lambda c: html_to_text(read_plain(c)), DOCX: read_docx, "message/rfc822": read_mail}
 
 
 def read_texts(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -66,6 +69,8 @@ def read_texts(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | No
         for b in batches:
             found = [one(c.as_py(), k.as_py()) for c, k in zip(b.column("content"), b.column("mime_type"), strict=True)]
             texts, errors = ([f[k] for f in found] for k in (0, 1))
-            yield pa.record_batch([b.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+            yield pa.record_batch([b.column("path"), b.column("mime_type"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "mime_type", "text", "error"])
 
-    return files.select("path", "content", "mime_type").mapInArrow(run, "path string, text string, error string")
+    found = files.select("path", "content", "mime_type").mapInArrow(run, "path string, mime_type string, text string, error string")
+    own = F.when(F.col("mime_type").isin(*MAIL) & F.col("text").isNotNull(), own_text(F.col("text"))).otherwise(F.col("text"))
+    return found.select("path", own.alias("text"), "error")

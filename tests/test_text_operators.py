@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aktarium.functions import dates as fd
+from aktarium.functions import letters as fl
 from aktarium.functions import references as fr
 from aktarium.functions import text as ft
 from aktarium.operators import checks, chunking, mail
@@ -102,17 +103,30 @@ def test_texts(spark):
 def test_html_bodies():
     html = "<head><title>T</title></head><body><style>x</style><p>Hallo <b>Du</b></p><div style='display:none'>weg</div><span hidden>weg</span>a<br>b<blockquote>alt<p>alt</p></blockquote><!-- c --><div class='x gmail_quote'>alt</div><img width=1 src=x>&amp; Ende</body>"
     assert [x for x in mail.html_to_text(html).splitlines() if x] == ["Hallo Du", "a", "b& Ende"]
-    assert mail.html_to_text("<p>a<div>b</p>c</span>d") == "ab\ncd"
+    assert mail.html_to_text("<p>a<div>b</p>c</span>d") == "ab\n\ncd"
 
 
-@pytest.mark.parametrize("tail", ["-- \nJane", "Gesendet von meinem iPhone", "----- Original Message -----\nx", "Am 1.2. schrieb Bob:\nx", "On Monday, Bob wrote:\n> x", "Von: Bob\nGesendet: heute\nx", "From: Bob\n\nTo: me\nx"])
-def test_quotes_are_cut(tail):
-    assert mail.clean_body(f"eins\n> zitiert\nzwei\n\n\n\ndrei\n{tail}\nrest", "text/plain") == "eins\nzwei\n\ndrei"
+TAILS = ["-- \nJane", "Gesendet von meinem iPhone", "----- Original Message -----\nx", "Am 1.2. schrieb Bob:\nx", "On Monday, Bob wrote:\n> x", "Von: Bob\nGesendet: heute\nx", "From: Bob\n\nTo: me\nx"]
 
 
-def test_what_only_looks_like_a_quote_stays():
-    text = "Von: hier kommt nichts\nmehr dazu\nund weiter\nSchluss"
-    assert mail.clean_body(text, None) == text and mail.clean_body(None, "text/html") == ""
+def test_quotes_are_cut(spark):
+    got = values(spark, [f"eins\n> zitiert\nzwei\n\n\n\ndrei\n{tail}\nrest" for tail in TAILS], mail.own_text)
+    assert got == ["eins\nzwei\n\ndrei"] * len(TAILS)
+
+
+def test_what_only_looks_like_a_quote_stays(spark):
+    texts = ["Von: hier kommt nichts\nmehr dazu\nund weiter\nSchluss", "Hallo\nVon: Anna\nirgendwas\nAn: Bert\nRest", "Liste\n  - a\n    - b", "--x\ny"]
+    assert values(spark, [*texts, None, "  a  \r\nb\x85c  "], mail.own_text) == [*texts, "", "a\nb\nc"]
+
+
+def test_open_elements_end_their_lines():
+    assert mail.html_to_text("<div><p>a<p>b</div>c") == "ab\n\n\nc" and mail.html_to_text("<p>a") == "a\n"
+
+
+def test_closings_of_letters(spark):
+    letters = ["Text\nMit freundlichen Grüßen,\n\nJane\nLeitung\nTelefon\nMail", "Viele Grüße\n1\n2\n3\n4\n5", "a\nViele Grüße\n\n\n1\n2\n3", "Hochachtungsvolle Worte", "x\nGRUSS J,", None]
+    assert values(spark, letters, lambda c: fl.strip_closing(c, F.lit("Gruss J"))) == ["Text", letters[1], "a", letters[3], "x", ""]
+    assert values(spark, ["\nBeste Grüße,\n \nJane\nx", "Jane\nBeste Grüße", "", None], fl.strip_first_closing) == ["Jane\nx", "Jane\nBeste Grüße", "", ""]
 
 
 def test_raw_mails(spark):
