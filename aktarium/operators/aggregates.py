@@ -115,7 +115,14 @@ def reminders(comments: DataFrame, users: DataFrame, today: str) -> DataFrame:
     pending = comments.filter((F.col("follow_up_date") <= F.lit(today).cast("date")) & F.col("remind") & F.col("reminded_at").isNull())
     known = users.filter("email IS NOT NULL AND email <> ''").select(F.col("id").alias("author_id"), "email")
     rows = pending.join(known, "author_id")
-    return rows.groupBy("author_id", "email").agg(F.array_sort(F.collect_list(F.struct("follow_up_date", "id"))).alias("items"))
+    return rows.groupBy("author_id", "email").agg(F.array_sort(F.collect_list(F.struct("follow_up_date", "id", "document_id"))).alias("items"))
+
+
+def reminder_mails(reminders: DataFrame) -> DataFrame:
+    """(recipient, subject, text) of each author's reminders: a line for each comment, by date."""
+    line = lambda x: F.concat(F.lit("- "), x["follow_up_date"].cast("string"), F.lit(" Dokument "), x["document_id"].cast("string"))
+    subject = F.concat(F.size("items").cast("string"), F.lit(" Wiedervorlagen"))
+    return reminders.select(F.col("email").alias("recipient"), subject.alias("subject"), F.array_join(F.transform("items", line), "\n").alias("text"))
 
 
 def extraction_method(pages: DataFrame, key: str = "document_id") -> DataFrame:

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as fd
-from ..functions import language as fg
 from ..functions import letters as fl
 from ..functions import references as fr
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, pages, repairs, retrieval, scope, stale, tree
+from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, repairs, retrieval, scope, stale, tree
 from ..operators import references as refs
 from ..sources import readers
 from .archive import DOCUMENT, SUPERUSER, TODAY, USER, Archive, sql
@@ -576,20 +575,6 @@ def unmatched_numbers(a: Archive) -> DataFrame:
     return pairs.select("id", F.size(missing).cast("long").alias("n_unmatched"))
 
 
-@query("""SELECT * FROM (VALUES ('1', 'application/pdf'), ('2', 'image/png'), ('3', 'text/plain'), ('4', 'image/jpeg'), ('5', 'application/octet-stream'), ('6', 'image/webp'), ('7', 'application/x-foo')) t(id, mime)""")
-def mime_sniff(a: Archive) -> DataFrame:
-    rows = [("1", b"%PDF-1.7", "a.bin", ""), ("2", b"\x89PNG\r\n\x1a\n..", "x", ""), ("3", b"hello", "a.TXT", "application/octet-stream"), ("4", b"\xff\xd8\xff\xe0", "a.png", ""), ("5", b"zz", "a.zzz", "application/octet-stream"), ("6", b"RIFF0000WEBP", "w", ""), ("7", b"zz", "a", "application/x-foo")]
-    made = a.spark.createDataFrame([(i, bytearray(c), n, d) for i, c, n, d in rows], "id string, content binary, name string, declared string")
-    return made.select("id", ft.sniff_mime(F.col("content"), F.col("name"), F.col("declared")).alias("mime"))
-
-
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN lang ELSE '```' || chr(10) || lang || chr(10) || '``` x' END AS x FROM doc")
-def fence_strip(a: Archive) -> DataFrame:
-    fenced = F.concat(F.lit("```json\n"), F.col("lang"), F.lit("\n```"))
-    partly = F.concat(F.lit("```\n"), F.col("lang"), F.lit("\n``` x"))
-    return a.documents.select(F.col("id"), ft.strip_code_fence(F.when(F.col("id") % 2 == 0, fenced).otherwise(partly)).alias("x"))
-
-
 @query("SELECT id, 'Hallo ' || correspondent || ' {{y}}' || CASE WHEN id % 2 = 0 THEN lang ELSE '{{z}}' END AS text FROM doc")
 def fill_placeholders(a: Archive) -> DataFrame:
     values = {"x": F.col("correspondent"), "z": F.when(F.col("id") % 2 == 0, F.col("lang")).otherwise("")}
@@ -757,15 +742,6 @@ def quote_cut(a: Archive) -> DataFrame:
     return mail.clean_bodies(bodies, "id", "body").select("id", "text")
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 2 THEN NULL WHEN id % 5 = 0 OR id % 7 = 0 THEN 'inline' WHEN id * 1000 < 20480 THEN 'small' WHEN id % 300 < 200 THEN 'small_side' END AS reason FROM doc""")
-def attachment_filter(a: Archive) -> DataFrame:
-    i = F.col("id")
-    kind = F.when(i % 3 == 2, "application/pdf").otherwise("Image/PNG; name=x")
-    attachments = a.documents.select(i.alias("mail_id"), kind.alias("content_type"), F.concat(F.lit("<c"), i.cast("string"), F.lit(">")).alias("content_id"), (i % 5 == 0).alias("inline"), (i * 1000).alias("size"), F.lit(1000).alias("width"), (i % 300).cast("int").alias("height"))
-    bodies = a.documents.select(i.alias("mail_id"), F.when(i % 7 == 0, F.concat(F.lit('<img src="cid:c'), i.cast("string"), F.lit('">'))).alias("html"))
-    return mail.attachment_reasons(attachments, bodies).select(F.col("mail_id").alias("id"), "reason")
-
-
 @query("""SELECT id, regexp_replace('Betreff: ' || title || chr(10) || CASE WHEN id % 2 = 0 THEN 'Von:  ' || chr(10) ELSE '' END || 'An: ' || correspondent || chr(10) || chr(10) || text_content, '\\s+$', '') AS text FROM doc""")
 def mail_index_text(a: Archive) -> DataFrame:
     sender = F.when(F.col("id") % 2 == 0, " ").otherwise("")
@@ -829,41 +805,6 @@ def extract_cascade(a: Archive) -> DataFrame:
     return a.documents.select("id", text.alias("text"), method.alias("method"))
 
 
-def _table_text() -> object:
-    """A table with one row whose unit differs, in documents whose id is odd."""
-    odd = F.when(F.col("id") % 2 == 1, "mg").otherwise("g")
-    rows = [F.concat(F.lit(f"| P{k} | {k * 111} | "), odd if k == 2 else F.lit("g"), F.lit(" |")) for k in range(1, 5)]
-    return F.concat_ws("\n", F.lit("| Name | Wert | Einheit |"), F.lit("| --- | ---: | :---: |"), *rows)
-
-
-@query("SELECT id, 1 AS row_number, 'P2' AS row, 'mg' AS unit, 'g' AS expected FROM doc WHERE id % 2 = 1")
-def unit_outliers(a: Archive) -> DataFrame:
-    found = checks.unit_outliers(checks.tables_of(a.documents.select("id", _table_text().alias("markdown"))))
-    return found.select("id", "row_number", "row", "unit", "expected")
-
-
-@query("SELECT id, 0 AS row_number, 'A 123' AS row FROM doc WHERE id % 3 = 0")
-def row_shift(a: Archive) -> DataFrame:
-    text = F.lit("| Name | Wert |\n| --- | --- |\n| A 123 | 456 |\n| B 123 | 999 |")
-    far = F.when(F.col("id") % 3 == 0, F.concat(F.lit("123 "), F.lit("x" * 200), F.lit(" 456"))).otherwise("123 und 456")
-    tables = checks.tables_of(a.documents.select("id", text.alias("markdown")))
-    return checks.row_shifts(tables, a.documents.select("id", far.alias("reference"))).select("id", "row_number", "row")
-
-
-@query("""SELECT document_id, page, CASE WHEN page = 2 THEN 90 ELSE 0 END AS rotation, CASE WHEN page <= 3 THEN 1 WHEN page <= 6 THEN 2 ELSE 3 END AS part FROM (SELECT id AS document_id, unnest([2, 3, 5, 6, 7, 8]) AS page FROM cas)""")
-def page_groups(a: Archive) -> DataFrame:
-    numbers = lambda *x: F.array(*map(F.lit, x))
-    plans = a.cases.select(F.col("id").alias("document_id"), F.lit(8).alias("page_count"), F.create_map(F.lit(2), F.lit(90)).alias("rotations"), numbers(1, 4).alias("deletions"), numbers(1, 4, 7).alias("splits"))
-    return pages.page_groups(plans).select("document_id", "page", "rotation", "part")
-
-
-@query("SELECT id, 2 AS page FROM doc WHERE id % 2 = 0")
-def empty_pages(a: Archive) -> DataFrame:
-    second = F.when(F.col("id") % 2 == 0, "**  **\n---").otherwise("[Seite konnte nicht gelesen werden]")
-    text = F.concat(F.lit("# T\n\n## Seite 1\n\nEin langer Absatz mit vielen Worten darin.\n\n## Seite 2\n\n"), second)
-    return pages.empty_pages(pages.sections(a.documents.select("id", text.alias("markdown"))))
-
-
 # Stored results and letters
 
 
@@ -920,13 +861,6 @@ def missing_required(a: Archive) -> DataFrame:
     return bindings.missing_required(bindings.resolve(*_drafts(a)))
 
 
-@query("""SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'cut_off' WHEN 2 THEN 'missing:b' ELSE 'empty' END AS problem FROM doc""")
-def reply_problems(a: Archive) -> DataFrame:
-    i = F.col("id")
-    reply = F.when(i % 4 == 0, 'so: ```{"a": 1, "b": 2}```').when(i % 4 == 1, '{"a": 1, "b"').when(i % 4 == 2, '{"a": 1}').otherwise(" ")
-    return a.documents.select("id", bindings.reply_problem(reply, i % 4 == 1, ["a", "b"]).alias("problem"))
-
-
 @query("""SELECT id AS run_id, n AS position, [id] AS sources FROM cas, range(8) r(n)""")
 def recommendations(a: Archive) -> DataFrame:
     i = F.col("id")
@@ -1032,12 +966,10 @@ def period_labels(a: Archive) -> DataFrame:
     return a.documents.select("id", fd.period_label(F.col("document_date"), end).alias("label"))
 
 
-@query()
-def detect_language(a: Archive) -> DataFrame:
-    return a.documents.select("id", "lang", fg.detect_language(F.col("text_content")).alias("found"))
-
-
 @query("SELECT '/in/' || lpad(CAST(id AS VARCHAR), 9, '0') || '.txt' AS path, length(text_content) AS n FROM doc")
 def read_texts(a: Archive) -> DataFrame:
     texts = readers.read_texts(_files(a).withColumn("mime_type", F.lit("text/plain")))
     return texts.select("path", F.length("text").cast("long").alias("n"))
+
+
+from . import file_queries  # noqa: E402, F401  it registers its queries here

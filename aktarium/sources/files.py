@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
@@ -11,10 +11,13 @@ from ..operators.ingest import EXTENSIONS
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
+def wanted(path: Column) -> Column:
+    """Whether a file is let in: its type is, and it isn't hidden."""
+    return extension(path).isin(*EXTENSIONS) & ~F.regexp_extract(path, "([^/]*)$", 1).startswith(".")
+
+
 def _wanted(files: DataFrame) -> DataFrame:
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    allowed = extension(F.col("path")).isin(*EXTENSIONS) & ~name.startswith(".")
-    return files.filter(allowed).select("path", "content", F.lit(None).cast("string").alias("declared_type"))
+    return files.filter(wanted(F.col("path"))).select("path", "content", F.lit(None).cast("string").alias("declared_type"))
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:

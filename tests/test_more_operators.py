@@ -3,9 +3,10 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from aktarium import session
 from aktarium.functions import vectors
-from aktarium.operators import bindings, chunking, classify, details, ingest, pages, stale
-from aktarium.sources import models, readers
+from aktarium.operators import bindings, chunking, classify, details, ingest, ordering, pages, stale
+from aktarium.sources import models, readers, sinks
 
 
 def rows(df):
@@ -161,11 +162,53 @@ def test_comment_lines(spark):
 
 
 def test_stored_tables_can_be_dropped(spark):
-    from aktarium import session
-
+    with session.collecting() as paths:
+        part = session.stored(spark.range(3))
+    assert part.count() == 3 and session.discard(spark, *paths) == 1 and session.discard(spark, part, spark.range(2)) == 0
     session.drop_stored(spark)
     df = session.stored(spark.range(5).repartition(2))
     assert df.count() == 5 and session.drop_stored(spark) == 1
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found|no such"):
         df.select("id").collect()
     assert session.drop_stored(spark) == 0
+
+
+def test_model_calls_and_their_usage(spark):
+    class Flaky(models.FakeGeneration):
+        def generate(self, prompt):
+            if prompt == "bad":
+                raise RuntimeError(prompt)
+            return super().generate(prompt)
+
+    prompts = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, None)], "key long, prompt string")
+    done = models.generate(prompts, Flaky)
+    assert rows(done) == [(1, "Echo: a b", "fake", 5, None), (2, None, "fake", 1, "RuntimeError"), (3, "Echo: ", "fake", 1, None)]
+    assert rows(models.usage(done)) == [("fake", 3, 7)]
+    seen = models.describe(spark.createDataFrame([(1, bytearray(b"xyz"), "read")], "key long, image binary, prompt string"), models.DESCRIBERS["fake"])
+    assert rows(seen) == [(1, "read: 3", "fake", 3, None)]
+
+
+def test_mails_that_fail_fail_alone(spark):
+    class Backend:
+        def send(self, recipient, subject, text):
+            if not recipient:
+                raise ValueError(subject)
+
+    sent = sinks.send_mails(spark.createDataFrame([("a@b", "s", "t"), ("", "u", "v")], "recipient string, subject string, text string"), Backend)
+    assert sorted(map(tuple, sent.collect()), key=str) == [("", "u", "ValueError"), ("a@b", "s", None)]
+
+
+def test_places_over_many_partitions(spark):
+    got = ordering.numbered(spark.range(1000).repartition(7).select((F.col("id") % 250).alias("a"), F.col("id").alias("b")), ["a", "b"], "place").orderBy("place").collect()
+    assert [(r.a, r.b, r.place) for r in got] == [(a, a + 250 * k, a * 4 + k + 1) for a in range(250) for k in range(4)]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda key, default: None)}), Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
