@@ -1,9 +1,11 @@
 """Nearest neighbours by inner product, from randomly rotated one-bit codes with error bounds.
 
 A vector v is kept as the signs of its rotated direction o (packed bits), its length and f, the inner product of o and
-those signs scaled to length 1. For a query's rotated direction q, <signs, q> / f estimates <o, q>; its error is normal
-to good approximation, with a deviation of sqrt((1 - f^2) / f^2) / sqrt(D - 1). Vectors whose estimate plus `sigmas`
-deviations reaches the query's k-th best exact value so far are reranked exactly; the others are passed over.
+those signs scaled to length 1. A query's rotated direction q is rounded to 4 bits a component, kept as 4 planes of packed
+bits, so that the inner product of q and the signs is a sum of counts of common bits. <signs, q> / f estimates <o, q>; its
+error is normal to good approximation, with a deviation of sqrt((1 - f^2) / f^2) / sqrt(D - 1), and what rounding adds.
+Vectors whose estimate plus `sigmas` deviations reaches the query's k-th best exact value so far are reranked exactly; the
+others are passed over.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import stored
+from .common import stored, tuned
 
-#: Vectors in a block of the index and in a block of queries, on average.
-INDEX_BLOCK, QUERY_BLOCK = 2048, 1024
+#: Vectors in a block of the index and in a block of queries, on average; a task holds one of each. The index is sent once to
+#: each block of queries, so these are large.
+INDEX_BLOCK, QUERY_BLOCK = 2048, 16384
 #: Tasks that the index is dealt over for one block of queries, where there are few such blocks.
 SPLITS = 16
-#: Pairs reranked at once.
-_PAIRS = 1 << 18
+#: Bits of a query's components, queries estimated at once, and pairs reranked at once.
+_PLANES, _TILE, _PAIRS = 4, 256, 1 << 18
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -31,56 +35,102 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of whole 64-bit words."""
+    raw = np.packbits(bits, axis=1)
+    out = np.zeros((len(raw), -(-bits.shape[1] // 64) * 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view(np.uint64)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, length and f of each row."""
     length = np.linalg.norm(vectors, axis=1)
     turned = (vectors / length[:, None]) @ turn.T
     f = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(turned > 0, axis=1), length, f
+    return _packed(turned > 0), length, f
+
+
+class Planes:
+    """Queries' rotated directions, rounded to `_PLANES` bits a component and packed plane by plane."""
+
+    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
+        self.length = np.linalg.norm(vectors, axis=1)
+        turned = (vectors / self.length[:, None]) @ turn.T
+        self.dim, self.low = vectors.shape[1], turned.min(axis=1)
+        self.step = np.maximum((turned.max(axis=1) - self.low) / ((1 << _PLANES) - 1), 1e-30)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
+        self.planes = [_packed(level >> p & 1) for p in range(_PLANES)]
+        self.sum = self.low * self.dim + self.step * level.sum(axis=1)
+        #: Deviation of an estimate for f = 1 by rounding.
+        self.rounding = self.step / np.sqrt(12)
+
+    def estimates(self, part: slice, code: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Estimated <direction, direction> of the queries of a part with coded vectors, from counts of common bits."""
+        common = np.zeros((len(self.low[part]), len(code)), np.int32)
+        for p, plane in enumerate(self.planes):
+            for w in range(code.shape[1]):
+                common += np.bitwise_count(plane[part, w][:, None] & code[None, :, w]).astype(np.int32) << p
+        ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+        scale = (1 / f / np.sqrt(self.dim)).astype(np.float32)
+        # <signs, q> is twice the sum over set bits less the sum over all.
+        out = common.astype(np.float32) * (2 * self.step[part]).astype(np.float32)[:, None]
+        out += np.outer(2 * self.low[part], ones).astype(np.float32)
+        out -= self.sum[part].astype(np.float32)[:, None]
+        return out * scale
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, one per id, v as doubles.
+    """(id, v, dim) of the rows that take part, v as doubles, or as floats where it was.
 
-    Left out are null ids, and vectors that are null, empty, zero, or hold null or non-finite components. Where lengths
-    differ, the most frequent one takes part (of equally frequent ones the least). Of rows with one id the least vector stays.
+    Left out are null ids, and vectors that are null, empty, zero, or hold null or non-finite components. Rows that share an
+    id stay separate rows. A query meets the vectors of its own length only: others have no inner product with it.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    element = "float" if isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").filter(~F.exists("v", bad)).filter(F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (lengths.n if lengths else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.withColumn("dim", F.size("v"))
 
 
 def build_index(vectors: DataFrame, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Every row that takes part (see `usable`): id, v, code, length, f, written out. Nothing is fitted, so no sample is needed."""
-    rows = usable(vectors, id_col, vector_col)
+    """Every row that takes part (see `usable`): row (a number of its own), id, dim, v, code, length, f; written out.
+
+    Nothing is fitted, so no sample is needed, and no row is shuffled.
+    """
+    rows = usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).select("row", "id", "dim", "v")
+    element = rows.schema["v"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = None
+        turns: dict[int, np.ndarray] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-            turn = rotation(v.shape[1], seed) if turn is None else turn
-            code, length, f = encode(v, turn)
-            columns = [b.column("id"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length), pa.array(f)]
-            yield pa.record_batch(columns, ["id", "v", "code", "length", "f"])
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                if dim not in turns:
+                    turns = {dim: rotation(dim, seed)}
+                v = own.column("v").flatten().to_numpy().astype(np.float64).reshape(own.num_rows, dim)
+                code, length, f = encode(v, turns[dim])
+                yield pa.record_batch([*own.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length), pa.array(f)], [*own.schema.names, "code", "length", "f"])
 
-    return stored(rows.mapInArrow(run, "id long, v array<double>, code binary, length double, f double"))
+    return stored(rows.mapInArrow(run, f"row long, id long, dim int, v array<{element}>, code binary, length double, f double"))
 
 
-def _blocks(rows: DataFrame, number: int) -> DataFrame:
-    """Rows dealt by hashed id into `number` blocks: (block, id, v, code, length, f), each a packed array."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (with `number`, how many blocks their length has) dealt by hash into blocks: (dim, block, row, id, v, code,
+    length, f), each a packed array in the order of rows."""
+    kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id").combine_chunks()
-        parts = {"block": t.column("block")[:1], "n": [t.num_rows], "id": [t.column("id").to_numpy().tobytes()], "v": [t.column("v").combine_chunks().flatten().to_numpy().tobytes()]}
-        parts |= {"code": [b"".join(t.column("code").to_pylist())], "length": [t.column("length").to_numpy().tobytes()], "f": [t.column("f").to_numpy().tobytes()]}
-        return pa.table(parts)
+        t = t.sort_by("row").combine_chunks()
+        flat = {c: [t.column(c).to_numpy().tobytes()] for c in ("row", "id", "length", "f")}
+        parts = {"dim": t.column("dim")[:1], "block": t.column("block")[:1]} | flat
+        parts |= {"v": [t.column("v").combine_chunks().flatten().to_numpy().astype(kind).tobytes()], "code": [b"".join(t.column("code").to_pylist())]}
+        return pa.table({c: parts[c] for c in ("dim", "block", "row", "id", "v", "code", "length", "f")})
 
-    kinds = "block int, n long, id binary, v binary, code binary, length binary, f binary"
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(number)).cast("int")).groupBy("block").applyInArrow(pack, kinds)
+    kinds = "dim int, block int, row binary, id binary, v binary, code binary, length binary, f binary"
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(5)), F.col("number")).cast("int")).drop("number")
+    return dealt.groupBy("dim", "block").applyInArrow(pack, kinds)
 
 
 def _exact(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -98,110 +148,127 @@ def _exact(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
 class _Nearest:
     """The best k of each query of a block so far, over blocks of the index."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, sigmas: float, turn: np.ndarray):
-        self.ids, self.vectors, self.k, self.sigmas = ids, vectors, k, sigmas
-        self.length = np.linalg.norm(vectors, axis=1)
-        self.turned = (vectors @ turn.T).astype(np.float32)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, sigmas: float, turn: np.ndarray):
+        self.rows, self.ids, self.vectors, self.k, self.sigmas = rows, ids, vectors, k, sigmas
+        self.planes = Planes(vectors, turn)
+        # Kept places in order: query, then value; `near` is the id found.
         self.query = self.near = np.zeros(0, np.int64)
         self.score = np.zeros(0)
+        self.reach = np.full(len(rows), -np.inf)
 
     def _keep(self, query: np.ndarray, near: np.ndarray, score: np.ndarray) -> None:
         query, near, score = (np.concatenate(x) for x in ((self.query, query), (self.near, near), (self.score, score)))
         order = np.lexsort((near, -score, query))
         query, near, score = query[order], near[order], score[order]
-        first = np.searchsorted(query, query)
-        best = np.arange(len(query)) - first < self.k
+        best = np.arange(len(query)) - np.searchsorted(query, query) < self.k
         self.query, self.near, self.score = query[best], near[best], score[best]
-
-    def _reach(self) -> np.ndarray:
-        """The k-th best value of each query, or minus infinity."""
-        out, n = np.full(len(self.ids), -np.inf), np.bincount(self.query, minlength=len(self.ids))
+        n = np.bincount(self.query, minlength=len(self.rows))
         full = n >= self.k
-        out[full] = self.score[np.cumsum(n)[full] - 1]
-        return out
+        self.reach[full] = self.score[np.cumsum(n)[full] - 1]
 
-    def add(self, ids: np.ndarray, v: np.ndarray, code: np.ndarray, length: np.ndarray, f: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, code: np.ndarray, length: np.ndarray, f: np.ndarray) -> None:
         dim = v.shape[1]
-        signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
-        scale = (length / f / np.sqrt(dim)).astype(np.float32)
-        estimate = (self.turned @ signs.T) * scale
-        bound = self.sigmas * length * np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(max(1, dim - 1))
-        own = np.searchsorted(ids, self.ids)
-        same = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == self.ids)
-        estimate[np.flatnonzero(same), own[same]] = -np.inf
-        # The likeliest k first, so that the reach is high before bounds are compared with it.
-        k = min(self.k, len(ids))
-        likely = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
-        i, j = np.repeat(np.arange(len(self.ids)), k), likely.ravel()
-        real = np.isfinite(estimate[i, j])
-        self._rerank(ids, v, i[real], j[real])
-        np.put_along_axis(estimate, likely, -np.inf, axis=1)
-        # float32 sums are off by far less than this margin.
-        over = estimate + np.outer(self.length, bound + 1e-5 * length) >= self._reach()[:, None]
-        i, j = np.nonzero(over & np.isfinite(estimate))
-        self._rerank(ids, v, i, j)
-
-    def _rerank(self, ids: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        own = np.searchsorted(rows, self.rows)
+        same = (own < len(rows)) & (rows[np.minimum(own, len(rows) - 1)] == self.rows)
+        error = np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(max(1, dim - 1))
+        # Values are compared as shares of the block's longest vector, so that no length is too large for them.
+        most = length.max()
+        share = (length / most).astype(np.float32)
+        for at in range(0, len(self.rows), _TILE):
+            part = slice(at, min(len(self.rows), at + _TILE))
+            estimate = self.planes.estimates(part, code, f)
+            rounding = self.planes.rounding[part]
+            bound = self.sigmas * np.sqrt(error[None, :] ** 2 + (rounding[:, None] / f[None, :]) ** 2).astype(np.float32)
+            estimate[np.flatnonzero(same[part]), own[part][same[part]]] = -np.inf
+            estimate += bound
+            estimate *= share
+            with np.errstate(over="ignore", invalid="ignore"):
+                reach = self.reach[part] / self.planes.length[part] / most
+            # Until a query has k values, its likeliest k go first, so that the reach is high before others are compared.
+            fresh = np.flatnonzero(np.isneginf(reach))
+            if len(fresh):
+                k = min(self.k, len(rows))
+                likely = np.argpartition(-estimate[fresh], k - 1, axis=1)[:, :k]
+                i, j = np.repeat(fresh, k), likely.ravel()
+                real = estimate[i, j] > -np.inf
+                self._rerank(rows, ids, v, i[real] + at, j[real])
+                estimate[i, j] = -np.inf
+                reach = self.reach[part] / self.planes.length[part] / most
+            # float32 estimates are off by far less than this margin.
+            i, j = np.nonzero((estimate >= (reach - 1e-5).astype(np.float32)[:, None]) & (estimate > -np.inf))
+            self._rerank(rows, ids, v, i + at, j)
+
+    def _rerank(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         """Inner products of the chosen pairs (i ascending); those that can be among the best k are summed in order."""
-        rough, cuts = np.empty(len(i)), np.searchsorted(i, np.arange(len(self.ids) + 1))
-        for q in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[q], cuts[q + 1]
-            np.dot(v[j[a:b]], self.vectors[q], out=rough[a:b])
+        if not len(i):
+            return
+        rough, starts = np.empty(len(i)), np.flatnonzero(np.diff(i, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+            np.dot(v[j[a:b]], self.vectors[i[a]], out=rough[a:b])
         # The order of the sum changes far less than this.
-        margin = 1e-12 * self.length[i] * np.linalg.norm(v, axis=1)[j]
-        good = rough + margin >= self._reach()[i]
+        margin = 1e-12 * self.planes.length[i] * np.linalg.norm(v, axis=1)[j]
+        good = rough + margin >= self.reach[i]
         if good.any():
             # Of many that pass, only those that come near the k-th best of this call.
             i, j, rough, margin = i[good], j[good], rough[good], margin[good]
             order = np.lexsort((-rough, i))
             place = np.arange(len(i)) - np.searchsorted(i, i)
-            ranked, kth = rough[order], np.full(len(self.ids), -np.inf)
+            ranked, kth = rough[order], np.full(len(self.rows), -np.inf)
             last = place == self.k - 1
             kth[i[last]] = ranked[last]
             near = rough + 2 * margin >= kth[i]
             i, j = i[near], j[near]
             self._keep(i, ids[j], _exact(self.vectors, v, i, j))
 
-    def rows(self) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(self.ids[self.query]), pa.array(self.near), pa.array(self.score)], ["query_id", "vec_id", "score"])
+    def found(self) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(self.rows[self.query]), pa.array(self.ids[self.query]), pa.array(self.near), pa.array(self.score)], ["query_row", "query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, sigmas: float = 3.0, seed: int = 42) -> DataFrame:
-    """The `k` nearest rows of `index` for each row of `queries` (rows of an index too), but never the row with its own id.
+    """The `k` nearest rows of `index` for each row of `queries` (rows of an index too), but never the same row.
 
     query_id, rank (from 1), vec_id, score: the exact inner product, nearest first, ties to the smaller id. Queries meet
-    all rows in blocks: each block of queries is sent to the tasks that the blocks of the index are dealt over, which keep
-    the best so far of each query and return `k` rows of each. A block has a bounded size, whatever the tables' sizes.
-    A query with fewer candidates gets them all; no queries or an empty index give no row.
+    all rows of their length in blocks: each block of queries is sent to the tasks that the blocks of the index are dealt
+    over, which keep the best so far of each query and return `k` rows of each. A block has a bounded size, whatever the
+    tables' sizes. A query with fewer candidates gets them all; query rows that share an id have a list each; no queries or
+    an empty index give no row.
     """
-    n_blocks, n_asked = -(-index.count() // INDEX_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK) or 1
-    splits = min(n_blocks, -(-SPLITS // n_asked))
-    asked = _blocks(queries, n_asked).select(F.col("block").alias("q"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    held = _blocks(index, n_blocks).withColumn("s", F.col("block") % splits).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    held = index.groupBy("dim").agg(blocks(F.count(F.lit(1)), INDEX_BLOCK).alias("n_held"))
+    sizes = stored(queries.groupBy("dim").agg(blocks(F.count(F.lit(1)), QUERY_BLOCK).alias("n_asked")).join(held, "dim"))
+    sizes = sizes.withColumn("splits", F.least("n_held", F.ceil(F.lit(SPLITS) / F.col("n_asked")).cast("int")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda rows, n: _blocks(rows.join(sizes.select("dim", F.col(n).alias("number")), "dim"))
+    asked = of(queries, "n_asked").join(sizes, "dim").withColumn("s", upto("splits"))
+    asked = asked.select("dim", F.col("block").alias("q"), "s", *(F.col(c).alias(f"q_{c}") for c in ("row", "id", "v")))
+    sent = of(index, "n_held").join(sizes, "dim").withColumn("s", F.col("block") % F.col("splits")).withColumn("q", upto("n_asked"))
+    kind = "<f4" if index.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, best, turn = None, None, None
+        longs = lambda b: np.frombuffer(b, np.int64)
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r].as_py() for c in b.schema.names if not c.startswith("q_")}
-                ids = np.frombuffer(row["id"], np.int64)
-                v = np.frombuffer(row["v"], np.float64).reshape(len(ids), -1)
-                turn = rotation(v.shape[1], seed) if turn is None else turn
-                if key != (row["q"], row["s"]):
+                vectors = lambda raw, dim=row["dim"]: np.frombuffer(raw, kind).astype(np.float64).reshape(-1, dim)
+                if key != (row["dim"], row["q"], row["s"]):
                     if best is not None:
-                        yield best.rows()
-                    q_ids = np.frombuffer(b.column("q_id")[r].as_py(), np.int64)
-                    q_v = np.frombuffer(b.column("q_v")[r].as_py(), np.float64).reshape(len(q_ids), -1)
-                    key, best = (row["q"], row["s"]), _Nearest(q_ids, q_v, k, sigmas, turn)
-                code = np.frombuffer(row["code"], np.uint8).reshape(len(ids), -1)
-                best.add(ids, v, code, np.frombuffer(row["length"], np.float64), np.frombuffer(row["f"], np.float64))
+                        yield best.found()
+                    if key is None or key[0] != row["dim"]:
+                        turn = rotation(row["dim"], seed)
+                    key = (row["dim"], row["q"], row["s"])
+                    best = _Nearest(longs(b.column("q_row")[r].as_py()), longs(b.column("q_id")[r].as_py()), vectors(b.column("q_v")[r].as_py()), k, sigmas, turn)
+                rows = longs(row["row"])
+                code = np.frombuffer(row["code"], np.uint64).reshape(len(rows), -1)
+                best.add(rows, longs(row["id"]), vectors(row["v"]), code, *(np.frombuffer(row[c]) for c in ("length", "f")))
         if best is not None:
-            yield best.rows()
+            yield best.found()
 
-    met = held.join(asked, ["q", "s"]).select("q", "s", "q_id", "q_v", "id", "v", "code", "length", "f")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # A merge join brings the index blocks of a task one after the other.
+    tuned(index.sparkSession)
+    met = sent.join(asked.hint("merge"), ["dim", "q", "s"]).select("dim", "q", "s", "q_row", "q_id", "q_v", "row", "id", "v", "code", "length", "f")
+    found = met.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
