@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import P, in_batches, stored, tuned
 
-#: Filters have 16 bits for each key counted, at least and at most these powers of two. Beyond the upper bound (2^24
-#: keys) they fill up: more unrepeated keys reach the exact step, which costs a wider shuffle but not a different result.
-LEAST_BITS, MOST_BITS = 16, 28
+#: Filters have 16 bits for each key, at least and at most these powers of two. More keys than the largest filter holds are
+#: taken in rounds, each with the keys of one range of hashes and filters of its own, so that filters never fill up.
+LEAST_BITS, MOST_BITS, BITS_PER_KEY = 16, 29, 16
 #: Filters are merged in segments of this power of two.
 _SEGMENT = 16
-#: A key's rows are dealt over so many parts where they meet its smallest id: one line may stand in a third of all documents.
-_SALTS = 8
+#: Rows of a key up to which it meets its smallest id in one task; rows of other keys are dealt over salts, this many at most.
+USUAL, MOST_SALTS = 1024, 1024
 _SPACE = b" \t\n\x0b\x0c\r"
-_NO_ID = (1 << 63) - 1
 
 
 def line_keys(text: str | None, least: int) -> list[tuple[int, int] | None]:
@@ -42,9 +41,18 @@ def line_keys(text: str | None, least: int) -> list[tuple[int, int] | None]:
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter positions of each key."""
-    h = h.view(np.uint64)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+    """The two filter positions of each key, from all bits of its hash."""
+    h, down = h.view(np.uint64), np.uint64(64 - bits)
+    return tuple(((h * np.uint64(odd)) >> down).astype(np.int64) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+def _get(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _set(filter_: np.ndarray, at: np.ndarray) -> None:
+    for k in range(8):  # one bit of the bytes at a time, so that repeated bytes don't matter
+        filter_[at[at & 7 == k] >> 3] |= np.uint8(1 << k)
 
 
 def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
@@ -53,19 +61,20 @@ def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
     Each partition fills both filters, batch by batch. Partitions' filters are merged by segment: what any partition saw
     twice, and bits that two partitions set, count as seen twice. A key that repeats has all its bits set, always.
     """
-    size = 1 << min(_SEGMENT, bits)
+    size = (1 << min(_SEGMENT, bits)) // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        once, twice = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
             h, n = np.unique(b.column("h").to_numpy(), return_counts=True)
             p, q = _places(h, bits)
-            again = (n > 1) | once[p] & once[q]
-            twice[p[again]] = twice[q[again]] = True
-            once[p] = once[q] = True
+            again = (n > 1) | _get(once, p) & _get(once, q)
+            for at in (p, q):
+                _set(twice, at[again])
+                _set(once, at)
         for kind, filter_ in enumerate((once, twice)):
             for segment in np.flatnonzero(filter_.reshape(-1, size).any(axis=1)).tolist():
-                blob = zlib.compress(np.packbits(filter_[segment * size : (segment + 1) * size]).tobytes(), 1)
+                blob = zlib.compress(filter_[segment * size : (segment + 1) * size].tobytes(), 1)
                 yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([kind == 1]), pa.array([blob])], ["segment", "twice", "blob"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +88,7 @@ def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
             for row in b.to_pylist():
                 if row["segment"] != now:
                     yield from done()
-                    now, once, twice = row["segment"], np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+                    now, once, twice = row["segment"], np.zeros(size, np.uint8), np.zeros(size, np.uint8)
                 got = np.frombuffer(zlib.decompress(row["blob"]), np.uint8)
                 if row["twice"]:
                     twice |= got
@@ -92,40 +101,71 @@ def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
     return filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, blob binary")
 
 
-def suspects(keys: DataFrame, n_keys: int) -> DataFrame:
-    """The rows of `keys` whose bits are all set in the twice-seen filter. The filter is broadcast: at most 2^MOST_BITS bits."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, n_keys) - 1).bit_length()))
-    size = 1 << min(_SEGMENT, bits)
-    segments = {r["segment"]: bytes(r["blob"]) for r in _once_and_twice(keys, bits).collect()}
-    filter_ = keys.sparkSession.sparkContext.broadcast(segments)
+def suspects(keys: DataFrame, n_keys: int, most_bits: int | None = None) -> DataFrame:
+    """The rows of `keys` whose bits are all set in the twice-seen filter, written out.
+
+    The filter is broadcast: at most 2^`most_bits` bits, compressed. Where the keys need more, they're taken in rounds by
+    ranges of their hashes, each with a filter of that size, which the next one replaces.
+    """
+    most_bits = MOST_BITS if most_bits is None else most_bits
+    rounds = max(1, -(-BITS_PER_KEY * n_keys >> most_bits))
+    bits = min(most_bits, max(LEAST_BITS, (BITS_PER_KEY * max(1, n_keys) - 1).bit_length()))
+    size, context, out = (1 << min(_SEGMENT, bits)) // 8, keys.sparkSession.sparkContext, None
+    for k in range(rounds):
+        first, last = ((x << 64) // rounds - (1 << 63) for x in (k, k + 1))
+        own = keys.filter((F.col("h") >= first) & (F.col("h") <= last - 1)) if rounds > 1 else keys
+        filter_ = context.broadcast({r["segment"]: bytes(r["blob"]) for r in _once_and_twice(own, bits).collect()})
+
+        def test(batches: Iterator[pa.RecordBatch], filter_=filter_) -> Iterator[pa.RecordBatch]:
+            twice = np.zeros((1 << bits) // 8, np.uint8)
+            for segment, blob in filter_.value.items():
+                twice[segment * size : (segment + 1) * size] = np.frombuffer(zlib.decompress(blob), np.uint8)
+            for b in batches:
+                p, q = _places(b.column("h").to_numpy(), bits)
+                yield b.filter(pa.array(_get(twice, p) & _get(twice, q)))
+
+        found = stored(own.mapInArrow(test, keys.schema))
+        filter_.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.zeros((1 << bits) // 8, np.uint8)
-        for segment, blob in filter_.value.items():
-            twice[segment * size // 8 : (segment + 1) * size // 8] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        bit = lambda p: twice[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1
-        for b in batches:
-            p, q = _places(b.column("h").to_numpy(), bits)
-            yield b.filter(pa.array((bit(p) & bit(q)).astype(bool)))
 
-    return keys.mapInArrow(test, keys.schema)
+def repeated_lines(suspected: DataFrame) -> DataFrame:
+    """The rows (h, g, doc, t) of `suspected` that lose the line: a smaller id has it, or they have no id and any id has it.
+
+    Each key's smallest id is aggregated before anything is shuffled. Rows then meet it by key; a key with more than USUAL
+    rows is met by its rows dealt over salts.
+    """
+    keys = suspected.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("other"), F.count(F.lit(1)).alias("m"))
+    keys = stored(keys.filter((F.col("first") < F.col("last")) | (F.col("first").isNotNull() & F.col("other"))).select("h", "g", "first", "m"))
+    most = keys.agg(F.max("m")).first()[0] or 0
+    loses = F.coalesce(F.col("doc") > F.col("first"), F.lit(True))
+    found = suspected.join(keys.filter(F.col("m") <= USUAL), ["h", "g"]).filter(loses).select("h", "g", "doc", "t")
+    if most > USUAL:
+        salts = min(MOST_SALTS, -(-most // USUAL))
+        salt = F.pmod(F.xxhash64("doc", "t"), F.lit(salts)).cast("int")
+        hot = keys.filter(F.col("m") > USUAL).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = found.unionByName(suspected.withColumn("salt", salt).join(hot, ["h", "g", "salt"]).filter(loses).select("h", "g", "doc", "t"))
+    return found
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", n_lines_col: str = "n_lines", n_dropped_col: str = "n_dropped") -> DataFrame:
     """All rows and columns of `docs`, the text without lines that an earlier document has, and `n_lines`, `n_dropped`.
 
     Keys (see `line_keys`) of at least `least` code points that two or more documents hold lose all their lines except in
-    the smallest id. Texts are read twice: once for the keys, which are written as two longs and the id, and once to drop
-    lines. Of the keys, only those that the twice-seen filter suspects are shuffled, and their smallest id is aggregated
-    before that. Documents meet their drop lists by id.
+    the smallest id. Texts are read twice: once for the keys, which are written as two longs, the id and a hash of the text,
+    and once to drop lines. Of the keys, only those that the twice-seen filter suspects are shuffled. Texts meet their drop
+    lists by id and hash; so a list has at most the lines of one text, whatever repeats.
 
     Null and empty texts are one empty line; where nothing is dropped the text stays as it is, null included. Rows with
-    one id count as one document, and so do all rows without an id, which comes after all others. An empty table gives no row.
-    Input columns with the names of the two counts are replaced.
+    one id count as one document, and so do all rows without an id, which comes after all others. Ids of any type that has
+    an order will do. An empty table gives no row. Input columns with the names of the two counts are replaced.
     """
-    spark, gone, doc = tuned(docs.sparkSession), P + "gone", P + "doc"
+    tuned(docs.sparkSession)
+    gone, doc, t = P + "gone", P + "doc", P + "t"
     docs = docs.drop(n_lines_col, n_dropped_col)
-    numbered = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
+    numbered = docs.withColumns({doc: F.col(id_col), t: F.xxhash64(text_col)})
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def keys_of(b: pa.RecordBatch) -> pa.RecordBatch:
         h, g, at = [], [], []
@@ -134,17 +174,16 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
             h += [k[0] for k in found]
             g += [k[1] for k in found]
             at += [row] * len(found)
-        return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int64()), b.column("doc").take(pa.array(at, pa.int64()))], ["h", "g", "doc"])
-
-    keys = stored(in_batches(numbered.select(F.col(text_col).alias("text"), F.col(doc).alias("doc")), keys_of, "h long, g long, doc long"))
-    suspected = stored(suspects(keys, keys.count()))
-    repeated = suspected.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    salt = F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).cast("int")
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    found = suspected.withColumn("salt", salt).join(salted, ["h", "g", "salt"]).filter("doc > first")
-    drops = found.groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias(gone))
+        at = pa.array(at, pa.int64())
+        return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int64()), b.column("doc").take(at), b.column("t").take(at)], ["h", "g", "doc", "t"])
+
+    texts = numbered.select(F.col(text_col).alias("text"), F.col(doc).alias("doc"), F.col(t).alias("t"))
+    keys = stored(in_batches(texts, keys_of, f"h long, g long, doc {kind}, t long").sortWithinPartitions("h"))
+    suspected = suspects(keys, keys.count())
+    drops = repeated_lines(suspected).groupBy("doc", "t").agg(F.collect_set(F.struct("h", "g")).alias(gone))
     # Drop lists are hashed: in each partition they're far smaller than the texts, which then needn't be sorted.
-    joined = numbered.join(drops.withColumnRenamed("doc", doc).hint("shuffle_hash"), doc, "left").drop(doc)
+    drops = drops.select(F.col("doc").alias(P + "d"), F.col("t").alias(P + "u"), gone).hint("shuffle_hash")
+    joined = numbered.join(drops, F.col(t).eqNullSafe(F.col(P + "u")) & F.col(doc).eqNullSafe(F.col(P + "d")), "left")
     text_at, names = docs.columns.index(text_col), docs.columns
 
     def rewrite(b: pa.RecordBatch) -> pa.RecordBatch:
