@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, ranked, stored
-from .vocab import token_ids
+from .vocab import proven, token_ids
+from .words import spread
 
 
 class Share(NamedTuple):
@@ -86,19 +87,21 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
     """Each document's ids and `end_id`, cut into full windows and one rest: id, start, length, ids_crc32, doc_tokens."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, end = narrow.schema["id"].dataType.simpleString(), int(end_id).to_bytes(4, "little")
+    whole = docs.sparkSession.sparkContext.broadcast(proven(path))
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        at, start, length, crc, total = [], [], [], [], []
-        for row, ids in enumerate(token_ids(path, b.column("text").to_pylist())):
-            n, ids = len(ids) // 4 + 1, memoryview(ids + end)
-            for s in range(0, n, capacity):
-                at.append(row)
-                start.append(s)
-                length.append(min(capacity, n - s))
-                crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
-                total.append(n)
-        columns = [b.column("id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-        return pa.record_batch(columns, ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        flat, counts = token_ids(path, b.column("text"), whole.value)
+        ids, stops = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+        pieces = -(-(counts + 1) // capacity)
+        at = np.repeat(np.arange(len(counts)), pieces)
+        start = spread(np.zeros(len(counts), np.int64), pieces) * capacity
+        total = counts[at] + 1
+        crc = []
+        for begin, stop in zip([0, *stops], stops):  # noqa: B905  one start more than ends
+            own = memoryview(ids[begin:stop] + end)
+            crc += [zlib.crc32(own[s : s + 4 * capacity]) for s in range(0, len(own), 4 * capacity)]
+        columns = [start, np.minimum(capacity, total - start), np.array(crc, np.int64), total]
+        return pa.record_batch([b.column("id").take(pa.array(at)), *map(pa.array, columns)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return in_batches(narrow, each, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, in_batches
-from .vocab import token_counts
+from .vocab import proven, token_counts
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,16 +20,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
 
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        counts = token_counts(path, b.column("text").to_pylist())
-        return pa.record_batch([b.column("id"), pa.array(counts, pa.int64())], ["id", "n"])
+    whole = docs.sparkSession.sparkContext.broadcast(proven(path))
 
     # The length in bytes is taken in the JVM, from what travels to Python anyway.
     sized = narrow.withColumn(P + "b", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
 
-    def with_size(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = each(b)
-        return pa.record_batch([out.column(0), b.column(P + "b"), out.column(1)], ["id", "n_bytes", "n_tokens"])
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([b.column("id"), b.column(P + "b"), pa.array(token_counts(path, b.column("text"), whole.value))], ["id", "n_bytes", "n_tokens"])
 
-    found = in_batches(sized, with_size, f"id {kind}, n_bytes long, n_tokens long")
+    found = in_batches(sized, each, f"id {kind}, n_bytes long, n_tokens long")
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,9 +1,10 @@
 """Token ids and token counts of a tokenizers file whose pre-tokens never span white space.
 
-Two facts carry the speed. First, a text's pre-tokens are independent, so that one seen before needs no second encoding,
-and new ones can be encoded together, separated by spaces. Secondly, the words that encode alone as one token can be
-proven once, offline: each vocabulary string that is a plain word is encoded, and kept if exactly its own id comes back.
-A text's pre-tokens are then looked up; only what isn't found is merged by the library, many in one call.
+Three facts carry the speed. First, texts can be cut at white space, and each distinct word of a batch needs to be looked at
+only once. Secondly, the pre-tokens of a word are independent, so that one seen before needs no second encoding, and new
+ones can be encoded together, separated by spaces. Thirdly, the words that encode alone as one token can be proven once,
+offline: each vocabulary string that is a plain word is encoded, and kept if exactly its own id comes back. The driver
+proves them; workers look pre-tokens up, and only what isn't found is merged by the library, many in one call.
 """
 
 from __future__ import annotations
@@ -12,22 +13,22 @@ import functools
 import json
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-#: Pre-tokens remembered by one worker; then all are forgotten at once. It bounds memory, not results.
+from .words import Words, split_words, spread
+
+#: Pre-tokens remembered by one worker besides the proven words; then all are forgotten at once. It bounds memory, not results.
 REMEMBERED = 300_000
-#: Characters handled at once, so that one call's lists stay small however long the texts are.
-_SLICE = 1_000_000
 
-# Texts of these characters alone are split here: ASCII without other controls, and Latin letters whose lower case is one
-# letter. Others, and texts with a special token's mark, go to the library as they are.
+# Words of these characters alone are split here: ASCII without controls, and Latin letters whose lower case is one letter.
+# Others, and words with a special token's mark, go to the library as they are.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f"
-_OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]|<\|").search
-# The file's own split, for such texts in lower case.
+_OTHER = re.compile(rf"[^\n\x21-\x7e{_LETTERS}]|<\|").search
+# The file's own split, for such words in lower case; words stand on lines of their own.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PRE_TOKENS = re.compile(_SPLIT.replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9").replace(r"\p{L}", _LETTERS)).findall
+_PRE_TOKENS = re.compile(_SPLIT.replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9").replace(r"\p{L}", _LETTERS) + r"|\n").findall
 _PLAIN = re.compile(r"[a-z]+").fullmatch
 
 
@@ -70,71 +71,76 @@ class Vocabulary:
         return ids, ends
 
 
-def _bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    flat, stops = ids.tobytes(), (4 * ends).tolist()
-    return [flat[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905  one start more than ends
-
+@functools.cache
+def proven(path: str) -> dict[str, int]:
+    """`whole_tokens` of a file, found once in this process."""
+    return Vocabulary(path).whole_tokens()
 
-def _lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
-    return np.diff(ends, prepend=0).tolist()
 
+class _Known:
+    """Pre-tokens with their ids: a number for each, and by number where its ids are. Preset with proven whole tokens."""
 
-class _Known(dict):
-    """pre-token -> value, where `values` makes a list of them from ids and their ends. Preset with proven whole tokens."""
+    def __init__(self, path: str, whole: dict[str, int]):
+        self.vocabulary, self.whole = Vocabulary(path), whole
+        self._reset()
 
-    def __init__(self, vocabulary: Vocabulary, values: Callable[[np.ndarray, np.ndarray], list]):
-        self.vocabulary, self.values_of = vocabulary, values
-        words = vocabulary.whole_tokens()
-        self.start = dict(zip(words, values(np.array(list(words.values()), "<u4"), np.arange(1, len(words) + 1)), strict=True))
-        self.update(self.start)
+    def _reset(self) -> None:
+        # Number 0 is the end of a word and has no ids.
+        self.number = {"\n": 0} | {w: k for k, w in enumerate(self.whole, 1)}
+        self.ids = np.fromiter(self.whole.values(), np.dtype("<u4"), len(self.whole))
+        self.ends = np.arange(len(self.whole) + 1)
 
     def learn(self, pre_tokens: set[str]) -> None:
         """Make room if needed, then encode all that isn't known in one call."""
-        if len(self) > REMEMBERED + len(self.start):
-            self.clear()
-            self.update(self.start)
-        if new := list(pre_tokens.difference(self)):
-            self.update(zip(new, self.values_of(*self.vocabulary.encode_all(new)), strict=True))
-
-
-@functools.cache
-def _ids_of(path: str) -> _Known:
-    return _Known(Vocabulary(path), _bytes)
-
-
-@functools.cache
-def _counts_of(path: str) -> _Known:
-    return _Known(Vocabulary(path), _lengths)
-
-
-def _each(known: _Known, texts: list[str | None], fold: Callable) -> list:
-    """fold(values of the pre-tokens) for each text."""
-    out, todo, seen, size = [], [], set(), 0
-    for k, text in enumerate(texts):
-        text = text or ""
+        if len(self.number) > REMEMBERED + len(self.whole):
+            self._reset()
+        if new := [p for p in pre_tokens if p not in self.number]:
+            ids, ends = self.vocabulary.encode_all(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+
+    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all distinct words one after the other, and how many each one has."""
+        text, odd = words.joined(), {}
         if _OTHER(text):
-            todo.append(None)
-        else:
-            todo.append(_PRE_TOKENS(text.lower()))
-            seen.update(todo[-1])
-        size += len(text)
-        if size > _SLICE or k == len(texts) - 1:
-            known.learn(seen)
-            for pre_tokens in todo:
-                if pre_tokens is None:
-                    ids = np.array(known.vocabulary.encode(texts[len(out)]), "<u4")
-                    out += known.values_of(ids, np.array([len(ids)]))
-                else:
-                    out.append(fold(map(known.__getitem__, pre_tokens)))
-            todo, seen, size = [], set(), 0
-    return out
-
-
-def token_ids(path: str, texts: list[str | None]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers. Null is an empty text."""
-    return _each(_ids_of(path), texts, b"".join)
-
-
-def token_counts(path: str, texts: list[str | None]) -> list[int]:
+            lines = text.split("\n")
+            odd = {k: np.array(self.vocabulary.encode(w), "<u4") for k, w in enumerate(lines) if _OTHER(w)}
+            text = "\n".join("" if k in odd else w for k, w in enumerate(lines))
+        pre_tokens = _PRE_TOKENS(text.lower())
+        self.learn(set(pre_tokens))
+        number = np.fromiter(map(self.number.__getitem__, pre_tokens), np.int64, len(pre_tokens))
+        starts = np.where(number > 0, self.ends[number - 1], 0)
+        lengths = np.where(number > 0, self.ends[number] - starts, 0)
+        word = np.cumsum(number == 0)
+        counts = np.bincount(word, lengths, len(words.distinct)).astype(np.int64)
+        ids = self.ids[spread(starts, lengths)]
+        if odd:
+            at = np.cumsum(counts)
+            ids = np.insert(ids, np.repeat([at[k] for k in odd], list(map(len, odd.values()))), np.concatenate(list(odd.values())))
+            counts[list(odd)] = list(map(len, odd.values()))
+        return ids, counts
+
+
+_KNOWN: dict[str, _Known] = {}
+
+
+def _known(path: str, whole: dict[str, int] | None) -> _Known:
+    """One per file and process; `whole` saves the proof where it was made before."""
+    if path not in _KNOWN:
+        _KNOWN[path] = _Known(path, proven(path) if whole is None else whole)
+    return _KNOWN[path]
+
+
+def token_ids(path: str, texts: pa.Array, whole: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and how many each text has. Null is an empty text."""
+    words = split_words(texts)
+    ids, counts = _known(path, whole).of_words(words)
+    starts, each = np.cumsum(counts) - counts, counts[words.codes]
+    return ids[spread(starts[words.codes], each)], words.sums(counts)
+
+
+def token_counts(path: str, texts: pa.Array, whole: dict[str, int] | None = None) -> np.ndarray:
     """Each text's number of ids. Null is an empty text."""
-    return _each(_counts_of(path), texts, sum)
+    words = split_words(texts)
+    return words.sums(_known(path, whole).of_words(words)[1])

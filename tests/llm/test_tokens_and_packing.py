@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,17 +33,19 @@ TRICKY = [
 
 
 def test_ids_equal_the_library(tok):
-    got = vocab.token_ids(PATH, TRICKY)
-    for text, ids in zip(TRICKY, got, strict=True):
-        want = tok.encode(text or "", add_special_tokens=False).ids
-        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, text
-    assert vocab.token_counts(PATH, TRICKY) == [len(x) // 4 for x in got]
+    flat, counts = vocab.token_ids(PATH, pa.array(TRICKY))
+    for text, ids in zip(TRICKY, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == tok.encode(text or "", add_special_tokens=False).ids, text
+    assert vocab.token_counts(PATH, pa.array(TRICKY)).tolist() == counts.tolist()
+    assert vocab.token_counts(PATH, pa.array(TRICKY)[3:9]).tolist() == counts[3:9].tolist() and len(vocab.token_counts(PATH, pa.array([], pa.string()))) == 0
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("abcÄéß'sStT., \n-_0<|>", max_size=60))
 def test_counts_equal_the_library_on_any_text(text):
-    assert vocab.token_counts(PATH, [text]) == [len(test_counts_equal_the_library_on_any_text.tok.encode(text, add_special_tokens=False).ids)]
+    want = test_counts_equal_the_library_on_any_text.tok.encode(text, add_special_tokens=False).ids
+    assert vocab.token_ids(PATH, pa.array(["x", text, None, text]))[0].tolist() == [*test_counts_equal_the_library_on_any_text.tok.encode("x", add_special_tokens=False).ids, *want, *want]
+    assert vocab.token_counts(PATH, pa.array([text])).tolist() == [len(want)]
 
 
 test_counts_equal_the_library_on_any_text.tok = library()
@@ -56,9 +59,10 @@ def test_whole_tokens_are_proven(tok):
 
 
 def test_memory_is_bounded_and_forgetting_changes_nothing(monkeypatch):
-    before = vocab.token_counts(PATH, ["qqzx vvkw abab"])
+    texts = pa.array(["qqzx vvkw abab", "the qqzx"])
+    before = [x.tolist() for x in vocab.token_ids(PATH, texts)]
     monkeypatch.setattr(vocab, "REMEMBERED", 0)
-    assert vocab.token_counts(PATH, ["qqzx vvkw abab"]) == before
+    assert [x.tolist() for x in vocab.token_ids(PATH, texts)] == before == [x.tolist() for x in vocab.token_ids(PATH, texts)]
 
 
 def test_counts_of_odd_documents(odd_docs, no_docs, tok):
