@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,8 +38,23 @@ def test_score_is_the_dot_product_of_the_features(monkeypatch):
     at, value = quality.features(text)
     want = 1 / (1 + np.exp(-(model.bias + value @ model.weights[at])))
     assert quality.score(model, text) == pytest.approx(want, rel=1e-6)
-    monkeypatch.setattr(quality, "_SLICE", 11)
-    assert quality.score(model, text) == pytest.approx(want, rel=1e-6)
+    texts = pa.array([None, "Wort1", text, "", " Wort1 Wort1 ", text[:-9]])
+    each = [quality.score(model, t) for t in texts.to_pylist()]
+    assert quality.scores(model, texts).tolist() == each and each[2] == pytest.approx(want, rel=1e-6)
+    assert all(len(v) == len(set(a)) for a, v in map(quality.features, texts.to_pylist()))
+    for size in (1, 2, 11):
+        monkeypatch.setattr(quality, "_SLICE", size)
+        assert quality.scores(model, texts).tolist() == each
+        assert quality.features(text)[0].tolist() == at.tolist()
+
+
+def test_one_row_of_a_repeated_id_is_learned_from_and_features_are_bounded(spark, tiny, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    a = quality.fit_model(docs, labels)
+    b = quality.fit_model(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" zzz")))), labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+    monkeypatch.setattr(quality, "MOST_TRAINING_FEATURES", 0)
+    assert quality.fit_model(docs, labels).bias == 0
 
 
 def test_updates_equal_a_plain_loop():
