@@ -20,7 +20,36 @@ from aktarium.llm import entries, licenses, media, pii
 @pytest.mark.parametrize("height", [1, 2, 17])
 def test_png_round_trip_with_each_filter(kind, height):
     samples = np.random.default_rng(kind).integers(0, 256, (height, 64), dtype=np.uint8)
-    assert (media.decode_png(media.encode_png(samples, kind)) == samples).all()
+    assert (media.decode_png(media.encode_png([samples], [kind]))[0] == samples).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 2**32 - 1), st.integers(1, 256)), max_size=7), st.integers(1, 40))
+def test_many_images_at_once_with_the_filters_that_suit_each_row(shapes, width):
+    images = [np.random.default_rng(seed).integers(0, most, (height, width), dtype=np.uint8) for height, seed, most in shapes]
+    blobs = media.encode_png(images)
+    assert all((a == b).all() for a, b in zip(media.decode_png(blobs), images, strict=True))
+    assert blobs == [media.encode_png([x])[0] for x in images]
+
+
+def test_texts_use_several_filters(spark, tiny):
+    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    blobs = media.encode_png([media.payload_of(t)[1] for t in texts])
+    assert len({int(k) for b in blobs for k in media.inflate_png(b)[:, 0]}) >= 3
+
+
+def test_headers_are_checked_and_inflation_is_bounded(monkeypatch):
+    packed = zlib.compress(b"\0" * 10_000)
+
+    def file(head):
+        return media.SIGNATURE + media._chunk(b"IHDR", head) + media._chunk(b"IDAT", packed) + media._chunk(b"IEND", b"")
+
+    heads = [b"12345", struct.pack(">IIBBBBB", 0, 5, 8, 0, 0, 0, 0), struct.pack(">IIBBBBB", 5, 0, 8, 0, 0, 0, 0), struct.pack(">IIBBBBB", 4, 3, 8, 0, 0, 0, 0), struct.pack(">IIBBBBB", 99, 200, 8, 0, 0, 0, 0)]
+    assert [isinstance(x, str) for x in media.decode_png([*map(file, heads), None, b""])] == [True] * 7
+    sound = file(struct.pack(">IIBBBBB", 99, 100, 8, 0, 0, 0, 0))
+    assert media.decode_png([sound])[0].shape == (100, 99)
+    monkeypatch.setattr(media, "MOST_BYTES", 9_999)
+    assert media.decode_png([sound]) == ["no samples, or too many"]
 
 
 def test_png_with_mixed_filters_and_split_data():
@@ -39,17 +68,15 @@ def test_png_with_mixed_filters_and_split_data():
     packed = zlib.compress(rows.tobytes())
     chunks = [(b"IHDR", struct.pack(">IIBBBBB", 5, 9, 8, 0, 0, 0, 0)), (b"tEXt", b"a\0b"), (b"IDAT", packed[:10]), (b"IDAT", packed[10:]), (b"IEND", b"")]
     blob = media.SIGNATURE + b"".join(media._chunk(*c) for c in chunks)
-    assert (media.decode_png(blob) == samples).all()
+    assert (media.decode_png([blob])[0] == samples).all()
 
 
 def test_damage_is_found():
-    good = media.encode_png(np.arange(128, dtype=np.uint8).reshape(2, 64))
-    for at in range(len(good)):
-        with pytest.raises(ValueError):
-            media.decode_png(good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :])
+    good = media.encode_png([np.arange(128, dtype=np.uint8).reshape(2, 64)])[0]
     for at in range(len(good)):
-        with pytest.raises(ValueError):
-            media.decode_png(good[:at])
+        for bad in (good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :], good[:at]):
+            with pytest.raises(ValueError):
+                media.inflate_png(bad)
 
 
 def test_op7_reads_back_what_was_stored(spark, tiny):
