@@ -16,18 +16,29 @@ from .common import in_batches
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
-# Score of a confirmed span without context, and the words that raise it (lower case, in four languages).
+# Score of a confirmed span without context, and the words nearby that raise or lower it (lower case, in four
+# languages). Words count as a whole: "ship" isn't "ip".
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
     "email": ("mail", "e-mail", "email", "contact", "correo", "courriel", "kontakt"),
     "ip": ("ip", "host", "server", "address", "adresse"),
-    "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefono", "téléphone"),
+    "card": ("card", "visa", "mastercard", "credit", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefono", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
-#: What a context word adds, how many characters before a span are searched for one, and the least score of an added span.
-RAISE, NEARBY, LEAST = 0.4, 40, 0.5
+AGAINST = {
+    "email": ("example", "beispiel", "ejemplo", "exemple"),
+    "ip": ("version", "release", "section", "chapter", "kapitel", "abschnitt", "capítulo", "chapitre"),
+    "card": ("isbn", "serial", "tracking", "order", "seriennummer"),
+    "phone": ("isbn", "version", "serial", "seriennummer"),
+    "iban": ("example", "beispiel", "ejemplo", "exemple"),
+    "ssn": ("part", "model", "serial", "isbn", "version"),
+}
+#: What a context word adds, what a word against takes, how many characters on each side of a span are searched for them (to
+#: the end of the word that lies there), and the least score of an added span.
+RAISE, LOWER, NEARBY, LEAST = 0.4, 0.2, 40, 0.5
+_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:-[^\W\d_]+)*")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -133,15 +144,24 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
 _FIND = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": lambda t: (m.span() for m in _SSN.finditer(t))}
 
 
+def _nearby(text: str, start: int, end: int) -> set[str]:
+    """The words that begin within NEARBY characters before a span, and those that begin so near behind it; lower case."""
+    behind = min(len(text), end + NEARBY)
+    while behind < min(len(text), end + 2 * NEARBY) and text[behind].isalpha():
+        behind += 1
+    words = [*_WORD.findall(text, max(0, start - NEARBY), start), *_WORD.findall(text, end, behind)]
+    return {w.lower() for w in words}
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All confirmed spans by kind and start, in code points, end exclusive. Base kinds stay whatever their score is."""
     text, out = text or "", []
     for kind in KINDS:
         for start, end in _FIND[kind](text):
-            near = text[max(0, start - NEARBY) : start].lower()
-            score = PRIOR[kind] + RAISE * any(w in near for w in CONTEXT[kind])
+            near = _nearby(text, start, end)
+            score = round(PRIOR[kind] + RAISE * (not near.isdisjoint(CONTEXT[kind])) - LOWER * (not near.isdisjoint(AGAINST[kind])), 3)
             if kind in BASE or score >= LEAST:
-                out.append(Span(kind, start, end, min(1.0, round(score, 3))))
+                out.append(Span(kind, start, end, min(1.0, score)))
     return out
 
 
@@ -163,13 +183,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts, the digest of the base spans, and all spans as text, from the rows of `find_pii`."""
+    """The counts, the digest of the base spans, all spans as text, their scores in the same order and the highest of these
+    (0 without spans), from the rows of `find_pii`."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     counts = [_count(k) for k in BASE]
     others = [c for c in found.columns if c != "found"]
     best = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0))
-    return found.select(*others, *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), best.alias("top_score"))
+    scores = F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",")
+    return found.select(*others, *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), scores.alias("scores"), best.alias("top_score"))
 
 
 def _count(kind: str):
