@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: each round links, first, every larger neighbour of a node to the node's least neighbour, and then
     the node and its smaller neighbours to the least of them, until nothing changes. That takes about log(n) rounds of
     minima, which are aggregated before they are shuffled, and joins, whose large keys Spark can split. Each round is
-    written to the shared folder, so lineage stays short. Self loops are dropped; no edges give no rows.
+    written to the shared folder, so lineage stays short, and replaces the one before. Self loops are dropped; no edges give no rows.
     """
     pair = lambda x, y: [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
     now = stored(_local(edges.filter("a <> b").select(*pair("a", "b"))).distinct())
@@ -62,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u")
         small = rest.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small)
+        before, now = now, stored(small)
+        discard(edges.sparkSession, before, large)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state.n:
             break

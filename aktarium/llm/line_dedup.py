@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, in_batches, stored, tuned
+from .common import P, get_bits, in_batches, set_bits, stored, tuned
 
 #: Filters have 16 bits for each key, at least and at most these powers of two. More keys than the largest filter holds are
 #: taken in rounds, each with the keys of one range of hashes and filters of its own, so that filters never fill up.
@@ -46,15 +46,6 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(((h * np.uint64(odd)) >> down).astype(np.int64) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def _get(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _set(filter_: np.ndarray, at: np.ndarray) -> None:
-    for k in range(8):  # one bit of the bytes at a time, so that repeated bytes don't matter
-        filter_[at[at & 7 == k] >> 3] |= np.uint8(1 << k)
-
-
 def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
     """The filter of keys seen at least twice, as (segment, packed bits) of its non-empty segments.
 
@@ -68,10 +59,10 @@ def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
         for b in batches:
             h, n = np.unique(b.column("h").to_numpy(), return_counts=True)
             p, q = _places(h, bits)
-            again = (n > 1) | _get(once, p) & _get(once, q)
+            again = (n > 1) | get_bits(once, p) & get_bits(once, q)
             for at in (p, q):
-                _set(twice, at[again])
-                _set(once, at)
+                set_bits(twice, at[again])
+                set_bits(once, at)
         for kind, filter_ in enumerate((once, twice)):
             for segment in np.flatnonzero(filter_.reshape(-1, size).any(axis=1)).tolist():
                 blob = zlib.compress(filter_[segment * size : (segment + 1) * size].tobytes(), 1)
@@ -101,19 +92,24 @@ def _once_and_twice(keys: DataFrame, bits: int) -> DataFrame:
     return filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, blob binary")
 
 
+def rounds(n_keys: int, most_bits: int | None = None) -> int:
+    """How many rounds `suspects` takes for so many keys; for more than one, sort them by `h` within partitions."""
+    return max(1, -(-BITS_PER_KEY * n_keys >> (MOST_BITS if most_bits is None else most_bits)))
+
+
 def suspects(keys: DataFrame, n_keys: int, most_bits: int | None = None) -> DataFrame:
-    """The rows of `keys` whose bits are all set in the twice-seen filter, written out.
+    """The rows of `keys` (with a hash `h`) whose bits are all set in the twice-seen filter, written out.
 
     The filter is broadcast: at most 2^`most_bits` bits, compressed. Where the keys need more, they're taken in rounds by
     ranges of their hashes, each with a filter of that size, which the next one replaces.
     """
     most_bits = MOST_BITS if most_bits is None else most_bits
-    rounds = max(1, -(-BITS_PER_KEY * n_keys >> most_bits))
+    number = rounds(n_keys, most_bits)
     bits = min(most_bits, max(LEAST_BITS, (BITS_PER_KEY * max(1, n_keys) - 1).bit_length()))
     size, context, out = (1 << min(_SEGMENT, bits)) // 8, keys.sparkSession.sparkContext, None
-    for k in range(rounds):
-        first, last = ((x << 64) // rounds - (1 << 63) for x in (k, k + 1))
-        own = keys.filter((F.col("h") >= first) & (F.col("h") <= last - 1)) if rounds > 1 else keys
+    for k in range(number):
+        first, last = ((x << 64) // number - (1 << 63) for x in (k, k + 1))
+        own = keys.filter((F.col("h") >= first) & (F.col("h") <= last - 1)) if number > 1 else keys
         filter_ = context.broadcast({r["segment"]: bytes(r["blob"]) for r in _once_and_twice(own, bits).collect()})
 
         def test(batches: Iterator[pa.RecordBatch], filter_=filter_) -> Iterator[pa.RecordBatch]:
@@ -122,7 +118,7 @@ def suspects(keys: DataFrame, n_keys: int, most_bits: int | None = None) -> Data
                 twice[segment * size : (segment + 1) * size] = np.frombuffer(zlib.decompress(blob), np.uint8)
             for b in batches:
                 p, q = _places(b.column("h").to_numpy(), bits)
-                yield b.filter(pa.array(_get(twice, p) & _get(twice, q)))
+                yield b.filter(pa.array(get_bits(twice, p) & get_bits(twice, q)))
 
         found = stored(own.mapInArrow(test, keys.schema))
         filter_.destroy()

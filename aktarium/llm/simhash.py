@@ -14,8 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored
+from .common import discard, in_batches, stored
 from .components import components, forest
+from .shingle_sets import near_texts
 
 #: Shingles hashed at once, so that memory doesn't grow with a text.
 _SLICE = 1 << 16
@@ -110,7 +111,21 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
     many = rows.unionByName(cols).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     # Written, so that no later step in Python shares its tasks (and their memory) with the comparison.
-    return stored(few.unionByName(many).filter("a <> b"))
+    found = stored(few.unionByName(many).filter("a <> b"))
+    discard(fps.sparkSession, entries, sizes)
+    return found
+
+
+def similar_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id and `component_id`, the smallest id that links of a Jaccard similarity reach.
+
+    This is the operator's form for a similarity of shingle sets (num, den). A fingerprint of 64 bits can't serve here: two
+    texts with four of five shingles in common differ in 10 of its bits on average and in up to 17, and balls of that radius
+    can't be enumerated. So segments are single rare shingles, looked up exactly, in place of 32 bits of a fingerprint; the
+    fingerprints whose distances are verified are sketches of 1,024 and 16,384 bits; and what they let pass is verified on the
+    whole sets. See `shingle_sets`.
+    """
+    return near_texts(docs, *similarity, size, id_col, text_col)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,9 +138,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, seed: int
     """
     hashed = stored(fingerprints(docs, size, seed, id_col, text_col))
     nodes = stored(hashed.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = components(links(nodes.select("fp"), distance))
+    labels = components(edges := links(nodes.select("fp"), distance))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = stored(named)
+    discard(docs.sparkSession, nodes, edges, labels)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = named.join(least, "label").select("fp", "component_id")
     return hashed.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -3,12 +3,13 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from aktarium.llm import entries, mixing, quality
+from aktarium import session
+from aktarium.llm import mixing, quality
 from aktarium.llm.common import P, word_count
 from pyspark.sql import functions as F
 
 from .test_lines import plain as plain_lines
-from .test_near_duplicates import plain_components, plain_fingerprint
+from .test_shingle_sets import plain_groups
 from .test_tokens_and_packing import check_packing, library
 
 
@@ -31,8 +32,8 @@ def test_each_stage_does_its_work_on_what_the_last_one_kept(spark, tiny, tmp_pat
     assert {r.doc_id: r.text for r in c} == {i: t for i, (_, _, t) in lines.items()}
     assert all(r.n_chars == (len(r.text) if lines[r.doc_id][1] else by_id[r.doc_id].n_chars) for r in c)
 
-    groups = plain_components([r.doc_id for r in c], [plain_fingerprint(r.text) for r in c])
-    assert Counter(d) == Counter(r for r, g in zip(c, groups, strict=True) if r.doc_id == g) and len(d) < len(c)
+    groups = plain_groups([(r.doc_id, r.text) for r in c])
+    assert Counter(d) == Counter(r for r in c if groups[r.doc_id] == r.doc_id) and len(d) < len(c)
 
     copies, sizes = Counter(r.doc_id for r in e), {r.doc_id: len(r.text.split()) for r in d}
     target = {r.source: r.target for r in mixing.mix(spark.createDataFrame(d).withColumn(P + "w", word_count(F.col("text"))), size=P + "w").collect()}
@@ -53,26 +54,31 @@ def test_each_stage_does_its_work_on_what_the_last_one_kept(spark, tiny, tmp_pat
         check_packing(list(single.values()), {r.doc_id: r.text for r in e}, tok, 2048)
 
 
-def test_run_applies_all_stages(spark, tiny):
-    a = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in pipeline.run(spark, tiny).collect())
-    b = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in entries_run(spark, tiny).collect())
-    assert a == b and a
-
-
-def entries_run(spark, tiny):
+def test_run_is_the_stages_one_after_the_other_and_leaves_only_what_the_last_one_needs(spark, tiny, tmp_path):
     import __spark_entry__
 
-    return __spark_entry__.queries()["pipeline"](spark, tiny)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, tiny).write.parquet(out := f"{tmp_path}/{k}")
+        docs = spark.read.parquet(out)
+    session.drop_stored(spark)
+    piece = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert Counter(map(piece, __spark_entry__.queries()["pipeline"](spark, tiny).collect())) == Counter(map(piece, docs.collect()))
+    # The mixed documents, pieces and their ranks.
+    assert session.drop_stored(spark) <= 4
 
 
 def test_stages_with_odd_and_no_documents(spark, tiny, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        n = docs.count()
-        for name, stage in pipeline.STAGES:
-            out = stage(spark, docs, tiny)
-            if name != "pack":
-                assert out.columns == docs.columns, name
-            assert out.count() >= 0 if n else out.count() == 0
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, no_docs, tiny).count() == 0 and stage(spark, odd_docs, tiny).columns == odd_docs.columns, name
+    assert pipeline.pack_windows(spark, no_docs, tiny).count() == 0
+    ids = Counter(r.doc_id for r in odd_docs.collect())
+    # No line goes whole but those that an earlier document has, and no row does.
+    lines = pipeline.drop_lines(spark, odd_docs, tiny).collect()
+    assert Counter(r.doc_id for r in lines) == ids and {r.doc_id: r.text for r in lines}[5] == "" and {r.doc_id: r.text for r in lines}[6] == "something else entirely different"
+    assert all(r.n_chars == len(r.text) for r in lines if r.doc_id in (5, 6)) and any(r.text is None for r in lines)
+    mixed = Counter(r.doc_id for r in pipeline.mix_sources(spark, odd_docs, tiny).collect())
+    assert set(mixed) <= set(ids) and all(n <= 3 * ids[d] for d, n in mixed.items())
+    assert Counter(r.doc_id for r in pipeline.pack_windows(spark, odd_docs, tiny).filter("start = 0").collect()) == ids
     kept = pipeline.drop_near_duplicates(spark, odd_docs, tiny).collect()
     assert len([r for r in kept if r.doc_id is None]) == 2 and len([r for r in kept if r.doc_id == 4]) == 2 and not [r for r in kept if r.doc_id == 5]
-    assert pipeline.STAGES[0][0] == "quality" and entries.QUERIES
