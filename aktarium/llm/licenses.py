@@ -1,12 +1,12 @@
-"""Licence scans: a trained paragraph classifier names a family, and comparison with the family's templates confirms it."""
+"""Licence scans: a trained classifier names a family in windows of words, and comparison with the family's templates confirms it."""
 
 from __future__ import annotations
 
 import bisect
 import functools
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches
+from .words import split_words, spread
 
 # Notices and first sentences of well-known licences, by family.
 TEMPLATES = {
@@ -76,90 +77,187 @@ UNRELATED = (
     "The foundation of the library is public and the source of its funds is private.",
     "Distribution of the goods is limited by law, as agreed in writing.",
     "An MIT professor and an Apache helicopter pilot met in a Mozilla office.",
+    "Er geht mit der Familie und mit dem Hund in den Wald, mit allen anderen.",
+    "The MIT students use the Apache server, BSD sockets and a GNU compiler.",
+    "Creative people share what is common, by and by, in a public domain of ideas.",
+    "See the file for details, or the terms of use, as this page is under construction.",
+    "All of the rights that the authors have are listed in the book of the general.",
+    "This work is released in the summer, free of charge, to the general public.",
 )
+# What licences are called.
+NAMES = {
+    "mit": ("MIT License", "MIT Licence", "MIT license terms", "X11 MIT License"),
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2 licence"),
+    "bsd": ("BSD 3-Clause License", "BSD 2-Clause License", "BSD license", "BSD-3-Clause"),
+    "gpl": ("GNU General Public License", "GNU GPL version 3", "GPLv3", "GPL-2.0", "GPL"),
+    "lgpl": ("GNU Lesser General Public License", "LGPL", "LGPL-2.1", "LGPLv3", "GNU LGPL"),
+    "agpl": ("GNU Affero General Public License", "AGPL", "AGPLv3", "AGPL-3.0"),
+    "mpl-2.0": ("Mozilla Public License 2.0", "MPL-2.0", "Mozilla Public License"),
+    "isc": ("ISC License", "ISC licence"),
+    "cc-by": ("Creative Commons Attribution 4.0", "CC BY 4.0", "CC-BY-3.0", "Creative Commons Attribution License"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0", "CC-BY-SA-3.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0", "CC-BY-NC-3.0"),
+    "cc0": ("CC0 1.0", "CC0 public domain dedication", "CC0-1.0 Universal"),
+    "unlicense": ("The Unlicense", "Unlicense"),
+    "proprietary": ("proprietary and confidential", "proprietary license, all rights reserved", "confidential and proprietary"),
+}
+# Sentences that name a licence.
+FRAMES = (
+    "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "This work is licensed under {}", "This program is available under {}",
+    "The source code is subject to the {}", "You may use this software under the {}", "License: {}", "SPDX-License-Identifier: {}", "Use is governed by the {}",
+    "{} applies to this text", "All content is under {}", "Made available by the authors under the {}", "See the {} for details", "A copy of the {} is included",
+)
+# Words that say nothing in any order.
+LITTLE = ("the", "of", "to", "by", "and", "in", "under", "all", "a", "is", "this", "for", "with", "or", "as", "on", "it", "you", "may", "are", "be", "that", "an", "mit", "work", "see", "use", "0", "1", "2", "3", "4")
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-#: Each template has one of these (lower case), and so must a paragraph that is to be confirmed.
-ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain", "rights reserved", "proprietary", "cc by", "cc0")
-#: Hashed n-grams, the share of a template's word pairs that a paragraph must hold, and the words of a longest paragraph.
-_BITS, CONFIRM, MOST_WORDS = 13, 0.8, 400
+#: The share of a template's word pairs that a window must hold to be confirmed.
+CONFIRM = 0.8
+#: Lengths of the windows that are classified, in words, and the words that a confirmed window may have beyond its template's.
+WINDOWS, _SLACK = (1, 2, 3, 4, 6, 8, 12, 16, 24), 6
+#: Words of a text whose windows are weighed at once.
+_SLICE = 1 << 16
 _WORD = re.compile(r"[a-z0-9]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
-#: The anchors wherever their words stand, also on two lines; and the words that a window has more than its template on each side.
-_ANCHOR, _SLACK = re.compile("|".join(re.escape(a).replace(r"\ ", r"[^a-z0-9]+") for a in ANCHORS)), 3
+_WORD_OR_END = re.compile(r"[a-z0-9]+|\n")
+
+
+def _lowered(text: str) -> str:
+    """A-Z in lower case: places stay what they are."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _tokens(text: str) -> list[re.Match]:
+    """Words of a text with their places; one that follows itself says nothing new and is left out."""
+    out: list[re.Match] = []
+    for t in _WORD.finditer(_lowered(text)):
+        if not out or out[-1][0] != t[0]:
+            out.append(t)
+    return out
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [t[0] for t in _tokens(text)]
 
 
 def _grams(words: list[str]) -> set[tuple[str, ...]]:
     return {*zip(words, words[1:], strict=False)} or {tuple(words)}
 
 
-def vector(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word pairs of a paragraph as positions and values of length 1."""
-    names = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
-    at, n = np.unique(np.array([zlib.crc32(x.encode()) & (1 << _BITS) - 1 for x in names], np.int64), return_counts=True)
-    value = np.sqrt(n)
-    return at, value / max(1e-9, np.linalg.norm(value))
-
-
 class Model(NamedTuple):
-    """Weights by family, the temperature that calibrates them, and the probability above which a family is named."""
+    """The n-grams that are features: a number for each word, and for two words' numbers that of their pair (0 is none);
+    weights and constants by family, the temperature that calibrates them, the probability above which one is named."""
 
+    words: dict[str, int]
+    pairs: np.ndarray
     weights: np.ndarray
+    constants: np.ndarray
     temperature: float
     least: float
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
+
+    def positions(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of words, and of the pairs that end in them (the first's counts for nothing)."""
+        pair = np.zeros_like(numbers)
+        pair[1:] = self.pairs[numbers[:-1], numbers[1:]]
+        return numbers, pair
+
+    def margins(self, numbers: np.ndarray) -> np.ndarray:
+        """A sparse product: every n-gram of a paragraph has the same share, of all together length 1."""
+        word, pair = self.positions(numbers)
+        total = self.weights[word].sum(axis=0) + self.weights[pair[1:]].sum(axis=0)
+        return total / np.sqrt(max(1, 2 * len(numbers) - 1)) + self.constants
+
+
+def _sentences() -> list[str]:
+    names = [n for ns in NAMES.values() for n in ns]
+    return [*(t for ts in TEMPLATES.values() for t in ts), *UNRELATED, *names, *(f.format(n) for f in FRAMES for n in names)]
+
+
+def _features() -> tuple[dict[str, int], np.ndarray]:
+    """A number for each word and each word pair of the fixed sentences. Other words are no features: they only dilute."""
+    words = {w: k for k, w in enumerate(sorted({w for t in _sentences() for w in words_of(t)}), 1)}
+    pairs = np.zeros((len(words) + 1, len(words) + 1), np.int64)
+    grams = sorted({g for t in _sentences() for g in _grams(words_of(t)) if len(g) == 2})
+    for k, (a, b) in enumerate(grams, len(words) + 1):
+        pairs[words[a], words[b]] = k
+    return words, pairs
+
 
 def _examples(rng: np.random.Generator, rounds: int) -> list[tuple[list[str], int]]:
-    """Variants of the templates (words lost, other words around), and of sentences that grant nothing."""
+    """Variants of the templates (words lost) and of sentences that name licences, other words around them; parts of sentences
+    that grant nothing, and of those that name no licence; known words in no order, and words of no language."""
     pool = sorted({w for s in UNRELATED for w in words_of(s)})
-    known = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    # Words that name a family by themselves aren't dealt at random.
+    known = sorted({w for ts in (*TEMPLATES.values(), *NAMES.values()) for t in ts for w in words_of(t)} - {"gpl", "gplv3", "lgpl", "lgplv3", "agpl", "agplv3", "unlicense", "cc0", "mpl"})
+    strange = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 12))))
+    some = lambda n: [strange() if rng.random() < 0.7 else str(rng.choice(pool)) for _ in range(n)]
+    kept = lambda words: [w for w in words if rng.random() > 0.06] or words
     out = []
     for _ in range(rounds):
-        for k, family in enumerate(FAMILIES):
-            for t in UNRELATED if family == UNKNOWN else TEMPLATES[family]:
-                words = [w for w in words_of(t) if rng.random() > 0.06]
-                around = [str(w) for w in rng.choice(pool, rng.integers(0, 5))]
+        for k, family in enumerate(FAMILIES[1:], 1):
+            texts = [kept(words_of(t)) for t in TEMPLATES[family]]
+            for name in NAMES[family]:
+                texts.append(words_of(name))
+                for f in rng.choice(FRAMES, 3):
+                    before, after = str(f).split("{}")
+                    texts.append([*kept(words_of(before)), *words_of(name), *kept(words_of(after))])
+            for words in texts:
+                around = some(int(rng.integers(0, 5 if len(words) > 3 else 3)))
                 cut = int(rng.integers(0, len(around) + 1))
                 out.append(([*around[:cut], *words, *around[cut:]], k))
-        # Words of licences in no order, and words of nothing.
-        out += [([str(w) for w in rng.choice(known, rng.integers(3, 15))], 0) for _ in range(6)]
-        out += [(["".join(map(chr, rng.integers(97, 123, rng.integers(2, 12)))) for _ in range(rng.integers(1, 30))], 0) for _ in range(6)]
+        for t in UNRELATED:
+            words = words_of(t)
+            for _ in range(4):
+                a = int(rng.integers(0, len(words)))
+                out.append((words[a : a + int(rng.integers(1, 16))], 0))
+        for f in FRAMES:
+            out.append((words_of(f.format(" ".join(some(2)))), 0))
+        out += [([str(w) for w in rng.choice(known, rng.integers(1, 4))], 0) for _ in range(20)]
+        out += [([*some(int(rng.integers(0, 4))), str(w), *some(int(rng.integers(0, 4)))], 0) for w in rng.choice(known, 60)]
+        out += [([str(w) for w in rng.choice(LITTLE, rng.integers(1, 16))], 0) for _ in range(20)]
+        out += [([str(w) for w in rng.choice(LITTLE, rng.integers(2, 4), replace=False)] * int(rng.integers(2, 9)), 0) for _ in range(20)]
+        out += [(some(int(rng.integers(1, 20))), 0) for _ in range(40)]
     return out
 
 
-def _probabilities(weights: np.ndarray, at: np.ndarray, value: np.ndarray, temperature: float = 1.0) -> np.ndarray:
-    margin = (value @ weights[at]) / temperature
-    e = np.exp(margin - margin.max())
-    return e / e.sum()
+def _softmax(margins: np.ndarray, temperature: float) -> np.ndarray:
+    e = np.exp((margins - margins.max(axis=-1, keepdims=True)) / temperature)
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 @functools.cache
-def train(seed: int = 42, rounds: int = 12, epochs: int = 4) -> Model:
-    """Multinomial logistic regression by adaptive gradient steps on variants of the templates.
+def train(seed: int = 42, rounds: int = 10, epochs: int = 4) -> Model:
+    """Multinomial logistic regression by adaptive gradient steps on variants of templates and names.
 
-    On a second set of variants the temperature of least log loss is chosen, and the probability that at most 1 % of the
-    unrelated paragraphs reach for any family (0.5 at least). Training sees no input rows: its size is fixed.
+    On a second set of variants the temperature of least log loss is chosen, and the probability that at most 1 in 1,000 of
+    the paragraphs that name no licence reach for any family (0.95 at least). Training sees no input rows: its size is fixed.
     """
-    rng = np.random.default_rng(seed)
-    rows = [(*vector(w), k) for w, k in _examples(rng, rounds)]
-    held = [(*vector(w), k) for w, k in _examples(rng, rounds // 3)]
-    weights, squares = np.zeros((1 << _BITS, len(FAMILIES))), np.full((1 << _BITS, len(FAMILIES)), 1e-8)
+    rng, (names, pairs) = np.random.default_rng(seed), _features()
+    size = (int(pairs.max()) + 1, len(FAMILIES))
+    model = Model(names, pairs, np.zeros(size), np.zeros(len(FAMILIES)), 1.0, 1.0)
+    rows = [(model.numbers(w), k) for w, k in _examples(rng, rounds)]
+    held = [(model.numbers(w), k) for w, k in _examples(rng, max(1, rounds // 3))]
+    squares, constant_squares = np.full(size, 1e-8), np.full(len(FAMILIES), 1e-8)
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
-            at, value, k = rows[r]
-            slope = _probabilities(weights, at, value)
+            numbers, k = rows[r]
+            slope = _softmax(model.margins(numbers), 1.0)
             slope[k] -= 1
-            g = value[:, None] * slope + 1e-5 * weights[at]
+            word, pair = model.positions(numbers)
+            at, n = np.unique(np.concatenate([word, pair[1:]]), return_counts=True)
+            at, n = at[at > 0], n[at > 0]
+            g = n[:, None] * slope / np.sqrt(max(1, 2 * len(numbers) - 1)) + 1e-5 * model.weights[at]
             squares[at] += g * g
-            weights[at] -= 0.5 * g / np.sqrt(squares[at])
-    loss = {t: -sum(np.log(_probabilities(weights, a, v, t)[k] + 1e-12) for a, v, k in held) for t in (0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
+            model.weights[at] -= 0.5 * g / np.sqrt(squares[at])
+            constant_squares += slope * slope
+            model.constants[:] -= 0.5 * slope / np.sqrt(constant_squares)
+    margins, labels = np.array([model.margins(x) for x, _ in held]), np.array([k for _, k in held])
+    loss = {t: -np.log(_softmax(margins, t)[np.arange(len(labels)), labels] + 1e-12).sum() for t in (0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
     temperature = min(loss, key=loss.get)
-    others = [_probabilities(weights, a, v, temperature)[1:].max() for a, v, k in held if k == 0]
-    return Model(weights, temperature, max(0.5, float(np.quantile(others, 0.99))))
+    others = _softmax(margins, temperature)[labels == 0, 1:].max(axis=1)
+    return model._replace(temperature=temperature, least=max(0.95, float(np.quantile(others, 0.999))))
 
 
 class Found(NamedTuple):
@@ -175,12 +273,25 @@ def _template_grams() -> dict[str, list[set]]:
     return {family: [_grams(words_of(t)) for t in ts] for family, ts in TEMPLATES.items()}
 
 
+@functools.cache
+def _templates_by_pair() -> dict[tuple[str, ...], list[tuple[int, int, int]]]:
+    """For each word pair the templates that have it: a number, the number of words and that of different pairs."""
+    out, number = {}, 0
+    for ts in TEMPLATES.values():
+        for t in ts:
+            number += 1
+            grams = _grams(words_of(t))
+            for g in grams:
+                out.setdefault(g, []).append((number, len(words_of(t)), len(grams)))
+    return out
+
+
 def classify(model: Model, paragraph: str) -> tuple[str, float, bool]:
     """The family, its calibrated probability, and whether a template of the family is confirmed to be in the paragraph."""
     words = words_of(paragraph)
     if not words:
         return UNKNOWN, 1.0, False
-    p = _probabilities(model.weights, *vector(words), model.temperature)
+    p = _softmax(model.margins(model.numbers(words)), model.temperature)
     k = int(p.argmax())
     if k == 0 or p[k] < model.least:
         return UNKNOWN, float(p[0]), False
@@ -189,129 +300,130 @@ def classify(model: Model, paragraph: str) -> tuple[str, float, bool]:
     return FAMILIES[k], float(p[k]), share >= CONFIRM
 
 
-_BLOCK = re.compile(r"[^\n]+(?:\n(?![ \t\r]*(?:\n|\Z))[^\n]+)*")
-
-
-def _lowered(text: str) -> str:
-    low = text.lower()
-    if len(low) != len(text):  # a character whose lower case is longer: only ASCII is lowered, so that places stay
-        low = text.translate({c: c + 32 for c in range(65, 91)})
-    return low
-
-
-def _kind(anchor: re.Match) -> str:
-    return anchor[0][:4]
-
-
-@functools.cache
-def _anchored() -> dict[str, list[tuple[set, int, int]]]:
-    """By the start of an anchor: word pairs and number of words of each template that has it, and the words before it."""
-    out = {}
-    for t in (t.lower() for ts in TEMPLATES.values() for t in ts):
-        starts = [w.start() for w in _WORD.finditer(t)]
-        for a in _ANCHOR.finditer(t):
-            out.setdefault(_kind(a), []).append((_grams(words_of(t)), len(starts), bisect.bisect_right(starts, a.start()) - 1))
+def _bounds(model: Model, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length of windows the first words of those in which a family may reach the probability that names it, judged by
+    the most that each n-gram can add for any family: no window is passed over in which it does."""
+    gain = np.maximum(0, (model.weights[:, 1:] - model.weights[:, :1]).max(axis=1))
+    gain[0] = 0
+    least = model.temperature * np.log(model.least / (1 - model.least)) - (model.constants[1:] - model.constants[0]).max()
+    word, pair = (gain[x] for x in model.positions(numbers))
+    upto = np.concatenate([[0.0], np.cumsum(word + pair)])
+    for n in WINDOWS:
+        if n <= len(numbers):
+            # The pair that ends in the first word begins before the window.
+            total = upto[n:] - upto[:-n] - pair[: len(pair) - n + 1]
+            yield n, np.flatnonzero(total >= least * np.sqrt(2 * n - 1) - 1e-6)
+
+
+def may_name(model: Model, texts: pa.Array) -> np.ndarray:
+    """Whether a window of a text may name a family (see `_bounds`). Every window of every text is weighed."""
+    found, words = np.zeros(len(texts), bool), split_words(texts)
+    tokens = _WORD_OR_END.findall(_lowered(words.joined()))
+    # Line ends end the distinct words and have the number -1; words that are no features have numbers below that.
+    others = {t: -k for k, t in enumerate(set(tokens) - model.words.keys() - {"\n"}, 2)}
+    numbers = np.fromiter(map(({"\n": -1} | model.words | others).__getitem__, tokens), np.int64, len(tokens))
+    ends = numbers == -1
+    numbers, per_word = numbers[~ends], np.bincount(np.cumsum(ends)[~ends], minlength=len(words.distinct))
+    numbers = numbers[spread((np.cumsum(per_word) - per_word)[words.codes], per_word[words.codes])]
+    counts = words.sums(per_word)
+    text = np.repeat(np.arange(len(texts)), counts)
+    fresh = np.ones(len(numbers), bool)
+    fresh[1:] = (numbers[1:] != numbers[:-1]) | (text[1:] != text[:-1])
+    numbers, text = np.maximum(numbers[fresh], 0), text[fresh]
+    last = np.searchsorted(text, text, side="right")
+    for n, at in _bounds(model, numbers):
+        found[text[at[at + n <= last[at]]]] = True
+    return found
+
+
+def _named(model: Model, numbers: np.ndarray) -> list[tuple[float, int, int, int]]:
+    """Windows that name a family: (probability, first word, words, family)."""
+    word, pair = (model.weights[x] for x in model.positions(numbers))
+    upto, out = np.concatenate([np.zeros((1, word.shape[1])), np.cumsum(word + pair, axis=0)]), []
+    for n, at in _bounds(model, numbers):
+        p = _softmax((upto[at + n] - upto[at] - pair[at]) / np.sqrt(2 * n - 1) + model.constants, model.temperature)
+        k = p.argmax(axis=1)
+        best = p[np.arange(len(p)), k]
+        out += [(float(best[i]), int(at[i]), n, int(k[i])) for i in np.flatnonzero((k > 0) & (best >= model.least)).tolist()]
     return out
 
 
-def _windows(text: str, low: str) -> Iterator[tuple[int, int]]:
-    """Runs of words that hold a template, across line breaks and sentences, in blocks of any length.
-
-    Around every anchor, each template that has it is laid so that the anchors coincide; where enough of its word pairs
-    are there, the run from the first to the last of them is a window.
-    """
-    for block in _BLOCK.finditer(text):
-        anchors = list(_ANCHOR.finditer(low, *block.span()))
-        words = list(_WORD.finditer(low, *block.span())) if anchors else []
-        starts = [w.start() for w in words]
-        for a in anchors:
-            at = bisect.bisect_right(starts, a.start()) - 1
-            for grams, n, before in _anchored().get(_kind(a), ()) if at >= 0 else ():
-                part = words[max(0, at - before - _SLACK) : at - before + n + _SLACK]
-                held = [k for k, (x, y) in enumerate(zip(part, part[1:], strict=False)) if (x[0], y[0]) in grams]
-                if held and len({(part[k][0], part[k + 1][0]) for k in held}) >= CONFIRM * len(grams):
-                    yield part[held[0]].start(), part[held[-1] + 1].end()
-
-
-def _paragraphs(text: str, low: str) -> Iterator[tuple[int, int]]:
-    """Sentences of lines, and blocks of several lines between blank ones: the spans that hold an anchor."""
-    for block in _BLOCK.finditer(text):
-        start, end = block.span()
-        if not any(low.find(a, start, end) >= 0 for a in ANCHORS):
+def _windows(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words (first, last) that hold enough pairs of a template close to each other, wherever lines break."""
+    places: dict[tuple[int, int, int], list[int]] = {}
+    for k, pair in enumerate(zip(words, words[1:], strict=False)):
+        for template in _templates_by_pair().get(pair, ()):
+            places.setdefault(template, []).append(k)
+    for (_, n, grams), at in places.items():
+        if len(at) < CONFIRM * grams:
             continue
-        if "\n" in block[0] and len(block[0].split(None, MOST_WORDS)) <= MOST_WORDS:
-            yield start, end
-        at = start
-        for line in block[0].split("\n"):
-            cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
-            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                if a < b and any(low.find(x, at + a, at + b) >= 0 for x in ANCHORS):
-                    yield at + a, at + b
-            at += len(line) + 1
-
+        seen, first = Counter(), 0
+        for k in at:
+            seen[words[k], words[k + 1]] += 1
+            while k + 1 - at[first] >= n + _SLACK or seen[words[at[first]], words[at[first] + 1]] > 1:
+                gone = words[at[first]], words[at[first] + 1]
+                seen[gone] -= 1
+                seen += Counter()
+                first += 1
+            if len(seen) >= CONFIRM * grams:
+                yield at[first], k + 1
 
-def _meeting(found: list[Found]) -> Callable[[str, int, int], bool]:
-    """Whether a span has characters in common with one of a family's findings."""
-    spans = {}
-    for f in sorted(found, key=lambda f: f.start):
-        starts, ends = spans.setdefault(f.family, ([], []))
-        starts.append(f.start)
-        ends.append(max(f.end, ends[-1] if ends else 0))
 
-    def meets(family: str, start: int, end: int) -> bool:
-        starts, ends = spans.get(family, ((), ()))
-        at = bisect.bisect_left(starts, end)
-        return at > 0 and ends[at - 1] > start
-
-    return meets
+def _overlapping(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether [start, end) has something in common with one of the sorted spans, which have nothing in common."""
+    at = bisect.bisect_left(spans, (end,))
+    return at > 0 and spans[at - 1][1] > start
 
 
 def scan(model: Model, text: str | None) -> list[Found]:
-    """Licences named in a text, by start. A block's finding stands for the same family's findings inside it, and a
-    confirmed window for what it meets of its family."""
-    text, out = text or "", []
-    low = _lowered(text)
-    if not _ANCHOR.search(low):
-        return out
-    for start, end in _paragraphs(text, low):
-        family, p, confirmed = classify(model, text[start:end])
-        if family != UNKNOWN and not (out and any(f.family == family and f.confirmed >= confirmed and f.start <= start and end <= f.end for f in out[-8:])):
-            out.append(Found(family, start, end, round(p, 6), confirmed))
-    sure, claimed, added = _meeting([f for f in out if f.confirmed]), [], []
-    # The longest window comes first: a template that holds another family's shorter one keeps it.
-    for start, end in sorted(set(_windows(text, low)), key=lambda w: (w[0] - w[1], w)):
-        at = bisect.bisect_left(claimed, (end,))
-        if at and claimed[at - 1][1] > start:
-            continue
-        family, p, confirmed = classify(model, text[start:end])
-        if confirmed:
-            claimed.insert(at, (start, end))
-            if not sure(family, start, end):
-                added.append(Found(family, start, end, round(p, 6), True))
-    if added:
-        better = _meeting(added)
-        out = [f for f in out if f.confirmed or not better(f.family, f.start, f.end)] + added
+    """Licences named in a text, by start: first the windows that hold a template of the family that the model names in them,
+    the longest first; then what the model names besides, the surest first. No two have words in common. A span ends with its
+    last word, or, in one line, with the mark that ends the sentence there."""
+    tokens = _tokens(text or "")
+    words, out, claimed = [t[0] for t in tokens], [], []
+
+    def claim(first: int, last: int, family: str, p: float, confirmed: bool) -> None:
+        bisect.insort(claimed, (first, last + 1))
+        start, end = tokens[first].start(), tokens[last].end()
+        if "\n" not in text[start:end] and text[end : end + 1] in (".", "!", "?"):
+            end += 1
+        out.append(Found(family, start, end, round(p, 6), confirmed))
+
+    for first, last in sorted(set(_windows(words)), key=lambda w: (w[0] - w[1], w)):
+        if not _overlapping(claimed, first, last + 1):
+            family, p, confirmed = classify(model, " ".join(words[first : last + 1]))
+            if confirmed:
+                claim(first, last, family, p, True)
+    found = []
+    for at in range(0, len(words), _SLICE):
+        # Slices share the words of the longest window, so that none is cut.
+        part = model.numbers(words[at : at + _SLICE + WINDOWS[-1]])
+        found += [(p, at + i, n, k) for p, i, n, k in _named(model, part)]
+    for p, first, n, k in sorted(set(found), key=lambda f: (-round(f[0], 3), -f[2], f)):
+        if not _overlapping(claimed, first, first + n):
+            claim(first, first + n - 1, FAMILIES[k], p, False)
     return sorted(out, key=lambda f: (f.start, f.end))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, `families` (confirmed ones, sorted, comma-joined), n_confirmed, n_unconfirmed, `spans`
-    (family:start:end of the confirmed, comma-joined; code points, end exclusive).
+    (family:start:end of the confirmed, comma-joined; code points, end exclusive), `named` (the same of the unconfirmed).
 
-    The whole text is searched for anchors, and each paragraph that has one is classified, as are the windows around anchors
-    that hold a template, across line breaks and in paragraphs of any length. Null and empty texts have no
-    licence. Rows are independent: repeated rows and null ids stay, an empty table gives no row. Other columns aren't read.
+    The model weighs every window of every text; there's no gate of keywords before it, and no limit to a paragraph. Texts
+    with a window that may name a family are scanned window by window. Null and empty texts have no licence. Rows are
+    independent: repeated rows and null ids stay, an empty table gives no row. Other columns aren't read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [scan(shared.value, t.as_py()) for t in b.column("text")]
-        sure = [[f for f in fs if f.confirmed] for fs in found]
-        columns = [[",".join(sorted({f.family for f in fs})) for fs in sure], list(map(len, sure)), [len(a) - len(s) for a, s in zip(found, sure, strict=True)]]
-        columns.append([",".join(f"{f.family}:{f.start}:{f.end}" for f in fs) for fs in sure])
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        return pa.record_batch([b.column("id"), *map(pa.array, columns, kinds)], ["id", "families", "n_confirmed", "n_unconfirmed", "spans"])
+        may = may_name(shared.value, b.column("text")).tolist()
+        found = [scan(shared.value, t.as_py()) if m else [] for t, m in zip(b.column("text"), may, strict=True)]
+        sure, rest = ([[f for f in fs if f.confirmed == c] for fs in found] for c in (True, False))
+        said = lambda fs: ",".join(f"{f.family}:{f.start}:{f.end}" for f in fs)
+        columns = [[",".join(sorted({f.family for f in fs})) for fs in sure], list(map(len, sure)), list(map(len, rest)), list(map(said, sure)), list(map(said, rest))]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.record_batch([b.column("id"), *map(pa.array, columns, kinds)], ["id", "families", "n_confirmed", "n_unconfirmed", "spans", "named"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return in_batches(narrow, each, f"id {kind}, families string, n_confirmed long, n_unconfirmed long, spans string").withColumnRenamed("id", id_col)
+    return in_batches(narrow, each, f"id {kind}, families string, n_confirmed long, n_unconfirmed long, spans string, named string").withColumnRenamed("id", id_col)

@@ -1,3 +1,8 @@
+import textwrap
+
+import numpy as np
+import pyarrow as pa
+
 from aktarium.llm import licenses
 
 NOTICE = "Permission is hereby granted, free of charge,\n# to any person obtaining a copy of this\n# software and associated documentation\n# files"
@@ -14,3 +19,59 @@ def test_notices_of_two_sentences_in_one_line():
     notice = "Licensed under the MIT license. See the LICENSE file for details."
     for text in (notice, "Some words come first here. " * 80 + notice + " More words follow." * 80):
         assert [(f.family, f.confirmed) for f in licenses.scan(licenses.train(), text)] == [("mit", True)]
+
+
+# Ways to name a licence that training hasn't, and sentences with the same words that name none.
+HELD_OUT = ("Published under {}", "This file is covered by the {}.", "We share this under {}", "The following text comes with the {}", "Copying is allowed as the {} says", "It is offered to you under {} terms", "Rights are granted as in {}")
+NO_LICENCE = (
+    "Published under a false name by the general", "This file is covered by dust", "We share all of the work with the public", "Er kommt mit dem Zug und mit dem Rad", "A creative mind has much in common with others", "The Apache and the Mozilla teams met at MIT",
+    "the the the and and and of of to to", "Version 2 of the page is under construction, see the file", "He has a driving licence", "Permission was asked and notice was given", "by 4 or by 3 in 2024", "GNU is a recursive name",
+)
+
+
+def test_recall_and_precision_on_sentences_that_training_has_not():
+    model, right = licenses.train(), []
+    for frame in HELD_OUT:
+        for family, names in licenses.NAMES.items():
+            for name in names:
+                found = licenses.scan(model, "Some words come before. " + frame.format(name) + " Others follow here.")
+                right.append({f.family for f in found} == {family})
+    assert sum(right) >= 0.95 * len(right)
+    assert [t for t in NO_LICENCE if licenses.scan(model, t)] == []
+
+
+def test_wrapped_at_any_width_behind_any_number_of_words():
+    model, notice = licenses.train(), licenses.TEMPLATES["mit"][2]
+    for n in (0, 100, 400, 5000):
+        for width in (30, 50, 80, 120):
+            text = textwrap.fill("these words say nothing of the matter " * (n // 7) + notice, width)
+            found = licenses.scan(model, text)
+            assert [(f.family, f.confirmed) for f in found] == [("mit", True)], (n, width)
+            assert text[found[0].start : found[0].end].split() == notice.split()
+
+
+def plain_windows(model, words):
+    """Every window weighed by itself: whether one names a family."""
+    for n in licenses.WINDOWS:
+        for k in range(len(words) - n + 1):
+            part = words[k : k + n]
+            margins = model.constants.copy()
+            for a in part:
+                margins = margins + model.weights[model.words.get(a, 0)] / np.sqrt(2 * n - 1)
+            for a, b in zip(part, part[1:], strict=False):
+                margins = margins + model.weights[model.pairs[model.words.get(a, 0), model.words.get(b, 0)]] / np.sqrt(2 * n - 1)
+            e = np.exp((margins - margins.max()) / model.temperature)
+            if e[1:].max() / e.sum() >= model.least + 1e-9:
+                yield k, n
+
+
+def test_windows_equal_brute_force_and_no_text_is_passed_over(spark, tiny):
+    model = licenses.train()
+    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text and len(r.text) < 4000] + [None, "", "LGPL", "under the\nGNU LGPL", "Rel\u00e9ased under the MIT L\u0130CENSE, Released under MIT licence"]
+    may = licenses.may_name(model, pa.array(texts))
+    for t, m in zip(texts, may.tolist(), strict=True):
+        windows = set(plain_windows(model, licenses.words_of(t or "")))
+        assert m or not windows
+        found = licenses._named(model, model.numbers(licenses.words_of(t or "")))
+        assert windows <= {(k, n) for _, k, n, _ in found}
+        assert bool(found) <= m

@@ -200,7 +200,6 @@ def test_every_template_is_named_and_confirmed():
     for family, templates in licenses.TEMPLATES.items():
         for t in templates:
             assert licenses.classify(model, t)[::2] == (family, True), t
-            assert any(a in t.lower() for a in licenses.ANCHORS)
             found = licenses.scan(model, f"Some text before.\n{t}\nAnd after it.")
             assert [(f.family, f.confirmed) for f in found] == [(family, True)], t
 
