@@ -151,20 +151,21 @@ class _Nearest:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, sigmas: float, turn: np.ndarray):
         self.rows, self.ids, self.vectors, self.k, self.sigmas = rows, ids, vectors, k, sigmas
         self.planes = Planes(vectors, turn)
-        # Kept places in order: query, then value; `near` is the id found.
-        self.query = self.near = np.zeros(0, np.int64)
-        self.score = np.zeros(0)
+        # Of each tile of queries what is kept, in order: query, id found, value.
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(rows), _TILE)]
         self.reach = np.full(len(rows), -np.inf)
 
     def _keep(self, query: np.ndarray, near: np.ndarray, score: np.ndarray) -> None:
-        query, near, score = (np.concatenate(x) for x in ((self.query, query), (self.near, near), (self.score, score)))
+        """Add values of queries of one tile."""
+        tile = int(query[0]) // _TILE
+        query, near, score = (np.concatenate(x) for x in zip(self.kept[tile], (query, near, score), strict=True))
         order = np.lexsort((near, -score, query))
         query, near, score = query[order], near[order], score[order]
         best = np.arange(len(query)) - np.searchsorted(query, query) < self.k
-        self.query, self.near, self.score = query[best], near[best], score[best]
-        n = np.bincount(self.query, minlength=len(self.rows))
+        self.kept[tile] = query[best], near[best], score[best]
+        first, n = np.unique(query[best], return_counts=True)
         full = n >= self.k
-        self.reach[full] = self.score[np.cumsum(n)[full] - 1]
+        self.reach[first[full]] = score[best][np.cumsum(n)[full] - 1]
 
     def add(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, code: np.ndarray, length: np.ndarray, f: np.ndarray) -> None:
         dim = v.shape[1]
@@ -213,15 +214,16 @@ class _Nearest:
             i, j, rough, margin = i[good], j[good], rough[good], margin[good]
             order = np.lexsort((-rough, i))
             place = np.arange(len(i)) - np.searchsorted(i, i)
-            ranked, kth = rough[order], np.full(len(self.rows), -np.inf)
-            last = place == self.k - 1
-            kth[i[last]] = ranked[last]
-            near = rough + 2 * margin >= kth[i]
+            low, last = i[0], place == self.k - 1
+            kth = np.full(i[-1] - low + 1, -np.inf)
+            kth[i[last] - low] = rough[order][last]
+            near = rough + 2 * margin >= kth[i - low]
             i, j = i[near], j[near]
             self._keep(i, ids[j], _exact(self.vectors, v, i, j))
 
     def found(self) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(self.rows[self.query]), pa.array(self.ids[self.query]), pa.array(self.near), pa.array(self.score)], ["query_row", "query_id", "vec_id", "score"])
+        query, near, score = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        return pa.record_batch([pa.array(self.rows[query]), pa.array(self.ids[query]), pa.array(near), pa.array(score)], ["query_row", "query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, sigmas: float = 3.0, seed: int = 42) -> DataFrame:
