@@ -61,6 +61,8 @@ def in_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
         for b in batches:
             if b.num_rows and (out := each(b.rename_columns(names))) is not None and out.num_rows:
                 yield out
+        # Workers serve one task after the other: what a large batch took goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 

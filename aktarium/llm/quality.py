@@ -22,7 +22,7 @@ MOST_TRAINING_ROWS = 8192
 #: And of these, in the same order, as many as have so many non-zero features together (8 bytes each), whatever their length.
 MOST_TRAINING_FEATURES = 1 << 25
 #: Words handled at once.
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 #: Scores sum weights as multiples of this, so that sums are exact in any order.
 _UNIT = 2.0**-30
 #: Each group of n-grams (words, word pairs, triples of shapes) has relative frequencies, times its scale.
