@@ -39,12 +39,12 @@ class Archive:
             F.col("source").alias("correspondent"),
             F.when(i % 4 == 0, "private").otherwise("department").alias("visibility"),
             (i % 17).alias("owner_id"),
-            F.when((i % 7).isin(1, 2), i - 1).alias("parent_id"),
+            F.when((i % 7).isin(1, 2), i - i % 7).when(i % 7 == 3, i - 1).when(i % 7 == 4, i - 3).alias("parent_id"),
             pick(i % 11, "pending", "extracting", "analyzing", "embedding", "failed", "ready", "ready", "ready", "reviewed", "reviewed", "reviewed").alias("processing_status"),
             pick(i, "offen", "erledigt", "keine").alias("action_status"),
             pick(i, "eingang", "ausgang", "intern", "unbekannt").alias("direction"),
             pick(i, "geschaeftlich", "privat", "unbekannt").alias("sphere"),
-            pick(i, "ja", "nein", "vielleicht", "nicht_zutreffend", "unbekannt").alias("tax_relevance"),
+            pick(F.floor(i / 5), "ja", "nein", "vielleicht", "nicht_zutreffend", "unbekannt").alias("tax_relevance"),
             F.when(i % 3 != 0, day("2023-01-01", i % 700)).alias("document_date"),
             created.alias("created_at"),
             F.timestamp_add("DAY", i % 5, created).alias("updated_at"),
@@ -193,12 +193,12 @@ CTES = """
 doc AS (
   SELECT doc_id AS id, 'Dokument ' || doc_id AS title, CASE WHEN doc_id % 9 = 0 THEN 'mail_body' ELSE 'document' END AS kind,
     source AS correspondent, CASE WHEN doc_id % 4 = 0 THEN 'private' ELSE 'department' END AS visibility, doc_id % 17 AS owner_id,
-    CASE WHEN doc_id % 7 IN (1, 2) THEN doc_id - 1 END AS parent_id,
+    CASE WHEN doc_id % 7 IN (1, 2) THEN doc_id - doc_id % 7 WHEN doc_id % 7 = 3 THEN doc_id - 1 WHEN doc_id % 7 = 4 THEN doc_id - 3 END AS parent_id,
     ['pending','extracting','analyzing','embedding','failed','ready','ready','ready','reviewed','reviewed','reviewed'][doc_id % 11 + 1] AS processing_status,
     ['offen','erledigt','keine'][doc_id % 3 + 1] AS action_status,
     ['eingang','ausgang','intern','unbekannt'][doc_id % 4 + 1] AS direction,
     ['geschaeftlich','privat','unbekannt'][doc_id % 3 + 1] AS sphere,
-    ['ja','nein','vielleicht','nicht_zutreffend','unbekannt'][doc_id % 5 + 1] AS tax_relevance,
+    ['ja','nein','vielleicht','nicht_zutreffend','unbekannt'][doc_id // 5 % 5 + 1] AS tax_relevance,
     CASE WHEN doc_id % 3 <> 0 THEN DATE '2023-01-01' + CAST(doc_id % 700 AS INTEGER) END AS document_date,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS created_at,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) + to_days(CAST(doc_id % 5 AS INTEGER)) AS updated_at,

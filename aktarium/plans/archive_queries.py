@@ -42,7 +42,8 @@ def _links(a: Archive) -> DataFrame:
 
 
 def _first_vector(a: Archive) -> list[float]:
-    return a.chunks.filter("id = 0").select("embedding").first()[0]
+    found = a.chunks.filter("id = 0").select("embedding").first()
+    return found[0] if found else [0.0]
 
 
 # Scope
@@ -119,15 +120,20 @@ def browse_review_queue(a: Archive) -> DataFrame:
     return ordering.page(rows, ordering.list_order("ready"), 2).select("id")
 
 
-@query("""SELECT id FROM vis WHERE tax_relevance IN ('ja', 'vielleicht') AND direction = 'eingang' AND id IN (SELECT document_id FROM dtag WHERE name IN ('de', 'fr'))
+@query("""SELECT id FROM vis WHERE tax_relevance IN ('ja', 'vielleicht') AND direction = 'intern' AND id IN (SELECT document_id FROM dtag WHERE name IN ('de', 'fr'))
   AND id IN (SELECT document_id FROM dcas WHERE case_id BETWEEN 0 AND 22) AND CAST(created_at AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-02-05'""")
 def browse_filtered_tag(a: Archive) -> DataFrame:
-    return filters.filter_documents(_visible(a), tax="absetzbar", direction="eingang", tags=(a.document_tag, ["de", "fr"]), created_from="2024-01-03", created_to="2024-02-05").select("id")
+    return filters.filter_documents(_visible(a), tax="absetzbar", direction="intern", tags=(a.document_tag, ["de", "fr"]), created_from="2024-01-03", created_to="2024-02-05").select("id")
 
 
-@query("SELECT id FROM vis WHERE correspondent = 'src3' AND sphere = 'privat' AND id IN (SELECT document_id FROM dcas WHERE case_id = 4)")
+@query("SELECT id FROM vis WHERE sphere = 'privat' AND id IN (SELECT document_id FROM dcas WHERE case_id = 4)")
 def browse_filtered_case(a: Archive) -> DataFrame:
-    return filters.filter_documents(_visible(a), correspondent="src3", sphere="privat", case=(a.document_case, 4)).select("id")
+    return filters.filter_documents(_visible(a), sphere="privat", case=(a.document_case, 4)).select("id")
+
+
+@query("SELECT id FROM vis WHERE correspondent = 'src3' AND sphere = 'privat'")
+def browse_filtered_contact(a: Archive) -> DataFrame:
+    return filters.filter_documents(_visible(a), correspondent="src3", sphere="privat").select("id")
 
 
 @query("SELECT id FROM vis WHERE EXISTS (SELECT 1 FROM com WHERE document_id = vis.id AND follow_up_date <= DATE '2024-06-12')")
@@ -155,9 +161,9 @@ def to_reindex(a: Archive) -> DataFrame:
     return filters.to_reindex(a.documents).select("id")
 
 
-@query("SELECT id, title FROM vis WHERE contains(lower(title), 'ment 10') OR contains(lower(correspondent), 'src19')")
+@query("SELECT id, title FROM vis WHERE contains(lower(title), 'ment 1') OR contains(lower(correspondent), 'src19')")
 def admin_search(a: Archive) -> DataFrame:
-    return filters.search_text(_visible(a), ["title", "correspondent"], "MENT 10").unionByName(filters.search_text(_visible(a), ["correspondent"], "SRC19")).select("id", "title").distinct()
+    return filters.search_text(_visible(a), ["title", "correspondent"], "MENT 1").unionByName(filters.search_text(_visible(a), ["correspondent"], "SRC19")).select("id", "title").distinct()
 
 
 @query("SELECT document_id, id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS BIGINT) AS place FROM com WHERE document_id IN (SELECT id FROM vis)")
