@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pandas.util import hash_array
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +62,8 @@ def _hashed(words: Words) -> np.ndarray:
     """The distinct words as hash << 8 | shape; the hash is that of the lower case."""
     if not len(words.distinct):
         return np.zeros(0, np.uint64)
-    lower = pc.utf8_lower(words.distinct).to_numpy(zero_copy_only=False)
-    return hash_array(lower, categorize=False) << np.uint64(8) | _shapes(words.distinct)
+    lower = words.joined().lower().encode("utf-8", "surrogatepass").split(b"\n")
+    return np.fromiter(map(xxhash.xxh64_intdigest, lower), np.uint64, len(lower)) << np.uint64(8) | _shapes(words.distinct)
 
 
 def n_grams(hashed: np.ndarray, words: Words, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

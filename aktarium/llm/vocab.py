@@ -20,7 +20,7 @@ import pyarrow as pa
 from .words import Words, split_words, spread
 
 #: Pre-tokens remembered by one worker besides the proven words; then all are forgotten at once. It bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Words of these characters alone are split here: ASCII without controls, and Latin letters whose lower case is one letter.
 # Others, and words with a special token's mark, go to the library as they are.
