@@ -29,8 +29,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, count: str | None = None) -> DataFrame:
     """Add `rank`, each row's position from 0 within its group by `order`. Rows must differ in `order` or be equal.
+    `count` names a column for the number of the group's rows.
 
     A group may hold any share of the rows: they are dealt by range over group and order together, numbered inside each
     partition, and only one row for each (group, partition) is summed up. `df` should be narrow, as it's written out.
@@ -46,6 +47,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str)
     heads = spread.groupBy(*group, pid).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(P + "n"))
     earlier = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn(before, F.coalesce(F.sum(P + "n").over(earlier), F.lit(0)))
+    if count:
+        heads = heads.withColumn(count, F.sum(P + "n").over(Window.partitionBy(*group)))
     return (
         spread.join(heads.drop(P + "n"), [*group, pid])
         .withColumn(rank, F.col(before) + F.col(at) - F.col(first))

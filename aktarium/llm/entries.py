@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import licenses, line_dedup, media, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
+from . import licenses, line_dedup, media, merkle, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
 from .common import P, tuned, word_count
 
 
@@ -64,6 +64,17 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_ann.search(index, index.filter(F.col("id") % 20 == 0), k=20)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    row = lambda n_chars: merkle.digest(*(merkle.encoded(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))))
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    # As a decimal, so that adding to the largest long doesn't fail.
+    leaves = docs.select("doc_id", "lang", row(F.col("n_chars")).alias("leaf"), F.when(hit, row(F.col("n_chars").cast("decimal(20,0)") + 1)).alias("tampered"))
+    proven = merkle.manifest(leaves, group="lang", order="doc_id", leaf="leaf", keep=["doc_id", "tampered"])
+    proven = proven.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))).withColumn("proof_sha256", merkle.digest(merkle.siblings(F.col("path"))))
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -75,10 +86,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_one_bit_ann": op10_one_bit_ann,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {
     "op10_one_bit_ann": one_bit_ann.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op1_mixing": mixing.oracle(),
+    "op13_merkle": merkle.ORACLE,
 }
