@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import licenses, line_dedup, media, merkle, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts
+from . import licenses, line_dedup, media, merkle, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts, vector_codes
 from .common import P, tuned, word_count
 
 
@@ -64,6 +64,11 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_ann.search(index, index.filter(F.col("id") % 20 == 0), k=20)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     row = lambda n_chars: merkle.digest(*(merkle.encoded(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_one_bit_ann": op10_one_bit_ann,
+    "op12_vector_codes": op12_vector_codes,
     "op13_merkle": op13_merkle,
 }
 
@@ -93,5 +99,6 @@ ORACLES = {
     "op10_one_bit_ann": one_bit_ann.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op1_mixing": mixing.oracle(),
+    "op12_vector_codes": vector_codes.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }
