@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import licenses, line_dedup, media, merkle, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts, vector_codes
+from . import edit_embedding, licenses, line_dedup, media, merkle, mixing, one_bit_ann, packing, pii, quality, simhash, token_counts, vector_codes
 from .common import P, tuned, word_count
 
 
@@ -64,6 +64,11 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_ann.search(index, index.filter(F.col("id") % 20 == 0), k=20)
 
 
+def op11_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: edit_embedding.hexed(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_one_bit_ann": op10_one_bit_ann,
+    "op11_edit_embedding": op11_edit_embedding,
     "op12_vector_codes": op12_vector_codes,
     "op13_merkle": op13_merkle,
 }
