@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 
-__all__ = ["P", "discard", "get_bits", "in_batches", "ranked", "set_bits", "stored", "tuned", "without_ids", "word_count"]
+__all__ = ["HOT", "P", "discard", "get_bits", "in_batches", "joined", "ranked", "set_bits", "stored", "tuned", "without_ids", "word_count"]
 
 #: Inner columns carry this prefix, so that no column of an input can clash with them.
 P = "__ak_"
@@ -20,6 +20,9 @@ P = "__ak_"
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bits of the filter of ids in `without_ids`, as powers of two: at least, at most, and for each id.
 _FEWEST, _MOST, _EACH = 16, 27, 8
+#: A key that more than this share of all rows have is broadcast by `joined`; so many can be hot in one column at most. Others
+#: are shuffled, at most that share of the rows for each.
+HOT = 4096
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -56,6 +59,14 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
     )
 
 
+def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, most: int) -> DataFrame:
+    """`rows` with what `keyed` (one row a key) has for them. Keys that more than `most` rows have (`weight`, their number) are
+    broadcast and leave `rows` before the others are shuffled."""
+    hot, usual = keyed.filter(F.col(weight) > most), keyed.filter(F.col(weight) <= most)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(usual, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def in_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """`mapInArrow` with a function of one batch. Columns travel under plain names, as mapInArrow can't take any name."""
     names = df.columns

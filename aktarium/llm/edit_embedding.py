@@ -24,12 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored, tuned
+from .common import HOT, discard, in_batches, joined, stored, tuned
+from .components import components
 
 #: Characters of a segment, half the window in which its end may lie, and the characters that are hashed there.
 SEGMENT, WINDOW, GRAM = 2048, 256, 8
 #: Bits of a fingerprint; steps after which the shared random bits repeat; characters that walk side by side at most.
 BITS, PERIOD, TOGETHER = 1024, 4096, 1 << 22
+#: Bits of a band. Bands are disjoint samples of a fingerprint's bits, so fingerprints that differ in fewer bits than there are
+#: bands share one: at 1,024 bits, all pairs with a likeness over 0.939 are compared.
+BAND = 32
+#: Fingerprints of a band that are joined in pairs; more are compared in blocks of BLOCK.
+FEW, BLOCK = 16, 2048
 #: Steps between looks at who still walks; the symbol after a text's end.
 _LOOK, _PAD = 256, 255
 
@@ -126,8 +132,8 @@ def fingerprints(texts: Sequence[str], seed: int = 42, bits: int = BITS) -> np.n
     done: list[np.ndarray] = []
     held = 0
     for text in texts:
-        starts, own = shared.cuts(text) if text else [], []
-        for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
+        starts, own = shared.cuts(text), []
+        for a, b in zip(starts, [*starts[1:], len(text)], strict=True) if text else ():
             piece = text[a:b]
             key = hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if key not in known:
@@ -238,5 +244,79 @@ def edit_fingerprints(docs: DataFrame, seed: int = 42, bits: int = BITS, id_col:
     return walked.filter("edge IS NULL").select(*names[:-3]).unionByName(met).withColumnRenamed("id", id_col)
 
 
+def bands(packed: np.ndarray, seed: int = 42) -> np.ndarray:
+    """For each fingerprint (row of packed bits) the keys of its bands: the band's number, and a random sample of the bits."""
+    bits = np.unpackbits(packed, axis=1)
+    sample = np.random.default_rng(seed).permutation(bits.shape[1])[: bits.shape[1] // BAND * BAND]
+    keys = np.packbits(bits[:, sample].reshape(len(bits), -1, BAND), axis=2).copy().view(">u4")[:, :, 0]
+    return keys.astype(np.int64) | np.arange(keys.shape[1], dtype=np.int64) << 32
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def linked(packed: np.ndarray, distance: int) -> np.ndarray:
+    """For each fingerprint the first of those that links of at most `distance` bits reach. What is connected already isn't
+    compared again, so that a group of copies of one text takes about one comparison each."""
+    label = np.arange(len(packed))
+    for k in range(len(packed)):
+        others = np.flatnonzero(label != label[k])
+        if not len(others):
+            break
+        near = others[_apart(packed[others], packed[k]) <= distance]
+        if len(near):
+            met = np.append(label[near], label[k])
+            label[np.isin(label, met)] = met.min()
+    return label
+
+
+def classes(prints: DataFrame, id_col: str = "doc_id", fingerprint_col: str = "fingerprint", bits: int = BITS, seed: int = 42) -> DataFrame:
+    """(fingerprint, class_id) of each distinct fingerprint: the smallest id that links of fewer differing bits than there
+    are bands reach. Each pair that shares a band is compared as a whole; no link is lost, nothing is capped.
+
+    Equal fingerprints are one node. Keys of a band that few fingerprints have are joined, others are compared in blocks, of which
+    each returns a forest of the links it found. A null id names a class only if there is no other. An empty table gives no row.
+    """
+    distance, words = bits // BAND - 1, lambda column: np.stack([np.frombuffer(x.as_py(), np.uint8) for x in column])
+    nodes = prints.groupBy(F.col(fingerprint_col).alias("fingerprint")).agg(F.min(id_col).alias("least"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    prints_of = nodes.select("node", "fingerprint")
+
+    def enter(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys = bands(words(b.column("fingerprint")), seed)
+        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), keys.shape[1]))], ["key", "node"])
+
+    entries = stored(in_batches(prints_of, enter, "key long, node long"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = stored(joined(entries, sizes, ["key"], "m", max(FEW, nodes.count() // HOT)))
+    few = met.filter(F.col("m") <= FEW)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(prints_of.select(F.col("node").alias(side), F.col("fingerprint").alias(f"{side}_print")), side)
+
+    def verify(b: pa.RecordBatch) -> pa.RecordBatch:
+        near = _apart(words(b.column("a_print")), words(b.column("b_print"))) <= distance
+        return b.select(["a", "b"]).filter(pa.array(near))
+
+    found = in_batches(pairs.select("a", "b", "a_print", "b_print"), verify, "a long, b long")
+    dense = met.filter(F.col("m") > FEW).join(prints_of, "node").withColumn("n", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dense = dense.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fingerprint")
+
+    def compare(t: pa.Table) -> pa.Table:
+        label, node = linked(words(t.column("fingerprint")), distance), t.column("node").to_numpy()
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[child], "b": node[label[child]]})
+
+    edges = stored(found.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")))
+    labels = components(edges)
+    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    out = stored(named.join(least, "label").select("fingerprint", "class_id"))
+    discard(prints.sparkSession, nodes, entries, met, edges, labels)
+    return out
+
+
 def hexed(fingerprint: Column) -> Column:
     return F.lower(F.hex(fingerprint))

@@ -189,6 +189,8 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: str, keep: Sequence[
     heads = ranked(heads, ["all"], ["own"], "idx", "size").select(F.col("all").alias("tree"), F.lit(0).alias("level"), "idx", "size", F.col("subroot").alias("digest"), "own", "subroot")
     over = _rise(heads, arity, levels)
     root = over[-1].select("tree", F.lit(0).cast("long").alias("block"), F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
+    if len(over) == 1:
+        root = stored(root)  # a frame of its own beside the one it would come from
     tops = stored(_linked(over, root, ["own", "subroot"], ["root"], arity, levels))
     discard(rows.sparkSession, *over[1:])
     tops = tops.select(F.col("own").alias("tree"), F.lit(0).cast("long").alias("block"), "path", "subroot", "root")

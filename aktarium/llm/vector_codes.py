@@ -17,13 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, discard, stored, tuned
+from .common import HOT, P, discard, joined, stored, tuned
 
 #: Parts of a vector, entries of a codebook, rounds of fitting, steps of one unit of a component.
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: A distinct part or label that more than this share of all rows have is joined by a broadcast; at most so many can be hot at
-#: each position. Others are shuffled, at most that share of the rows for each.
-HOT = 4096
 #: Whole numbers below are exact in double precision; sums of so many rows of so large numbers are exact as longs.
 _EXACT, _SMALL = 1 << 53, 1 << 22
 _SUM = pa.decimal128(38, 0)
@@ -142,13 +139,6 @@ def decode(codes: list[int], books: Codebooks, dim: int, scale: int = SCALE) ->
     return [(float(x) + 0.5) / scale for part, code in zip(books[dim], codes, strict=True) for x in part[code]]
 
 
-def _joined(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, most: int) -> DataFrame:
-    """`rows` with what `keyed` (one row a key) has for them. Keys that more than `most` rows have are broadcast."""
-    hot, usual = keyed.filter(F.col(weight) > most).drop(weight), keyed.filter(F.col(weight) <= most).drop(weight)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(usual, keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
-
-
 def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, Codebooks]:
     """A row for each usable vector, with id, label, codes (an array of ints by position), error and label_error; and the
     codebooks.
@@ -174,7 +164,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
     assigned = stored(distinct.mapInArrow(assign, "dim int, pos int, part array<long>, n long, code int, error decimal(38,0)"))
     most = max(1, rows.count() // HOT)
-    met = _joined(_parts(rows, parts), assigned, ["dim", "pos", "part"], "n", most)
+    met = joined(_parts(rows, parts), assigned, ["dim", "pos", "part"], "n", most)
     codes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"])
     coded = met.groupBy("row").agg(codes.alias("codes"), F.sum("error").alias(P + "error"))
     key = F.coalesce(F.concat(F.lit("1"), F.col("label").cast("string")), F.lit("0"))
@@ -182,7 +172,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     discard(spark, distinct, assigned, rows)
     labels = coded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(P + "error").alias(P + "total"))
     long = lambda c: F.expr(f"try_cast(`{P}{c}` AS bigint)")
-    out = _joined(coded, labels, ["key"], "n", most)
+    out = joined(coded, labels, ["key"], "n", most)
     return out.select(F.col("id").alias(id_col), F.col("label").alias(label_col), "codes", long("error").alias("error"), long("total").alias("label_error")), books
 
 
