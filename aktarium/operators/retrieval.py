@@ -28,6 +28,14 @@ def search(chunks: DataFrame, candidates: DataFrame, query: Sequence[float], lim
     return best.select("document_id", F.col("id").alias("chunk_id"), F.col("content").alias("snippet"), (1 - F.col("distance")).alias("score"))
 
 
+def comparable_to(own: DataFrame, docs: DataFrame, visible: DataFrame, document: int, exclude: Sequence[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents that a document may be compared with, and the embedding models of its `own` chunks."""
+    kin = docs.filter(F.col("id") == document).select(F.explode(F.array("id", "parent_id")).alias("id")).filter("id IS NOT NULL")
+    kin = kin.unionByName(descendants(docs, document).select("id"))
+    candidates = visible.join(kin, "id", "left_anti").filter(~F.col("id").isin(*exclude) if exclude else F.lit(True))
+    return candidates, own.select("embedding_model", "embedding_model_version").distinct()
+
+
 def similar_documents(
     chunks: DataFrame, docs: DataFrame, visible: DataFrame, document: int, limit: int = 5, min_score: float = 0.7, cap: int = 200, exclude: Sequence[int] = ()
 ) -> DataFrame:
@@ -41,10 +49,7 @@ def similar_documents(
     mean = mean_vectors(own, "document_id").select("mean").first()
     if not mean or limit <= 0:
         return chunks.limit(0).select("document_id", F.col("id").alias("chunk_id"), F.lit(0.0).alias("score"))
-    kin = docs.filter(F.col("id") == document).select(F.explode(F.array("id", "parent_id")).alias("id")).filter("id IS NOT NULL")
-    kin = kin.unionByName(descendants(docs, document).select("id"))
-    candidates = visible.join(kin, "id", "left_anti").filter(~F.col("id").isin(*exclude) if exclude else F.lit(True))
-    models = own.select("embedding_model", "embedding_model_version").distinct()
+    candidates, models = comparable_to(own, docs, visible, document, exclude)
     comparable = chunks.join(models, ["embedding_model", "embedding_model_version"], "left_semi")
     near = _ranked(comparable, candidates, mean["mean"]).filter(F.col("distance") <= 1 - min_score)
     best = best_per_document(near.orderBy("distance", "id").limit(cap), limit)

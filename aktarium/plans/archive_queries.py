@@ -12,8 +12,9 @@ from ..functions import letters as fl
 from ..functions import references as fr
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, repairs, retrieval, scope, stale, tree
+from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, repairs, retrieval, scope, stale, tree, vector_index
 from ..operators import references as refs
+from ..session import scratch
 from ..sources import readers
 from .archive import DOCUMENT, SUPERUSER, TODAY, USER, Archive, sql
 
@@ -197,6 +198,16 @@ def search_filtered(a: Archive) -> DataFrame:
     return found.select("document_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _index(a: Archive) -> vector_index.VectorIndex:
+    return vector_index.VectorIndex.build(a.chunks, scratch(a.spark), rows_per_cell=256)
+
+
+@query(f"SELECT * FROM (WITH {_SCORED.format(docs='vis')} SELECT document_id, id AS chunk_id, content AS snippet, round(1 - d, 6) AS score FROM b WHERE p = 1 ORDER BY d, document_id LIMIT 20)")
+def search_indexed(a: Archive) -> DataFrame:
+    found = vector_index.search_indexed(_index(a), _visible(a), _first_vector(a), limit=20)
+    return found.withColumn("score", F.round("score", 6))
+
+
 _SIMILAR = """
   own AS (SELECT * FROM chk WHERE document_id = 43),
   m AS (SELECT list(x ORDER BY i) AS mean FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM own, range(1, 65) r(i) GROUP BY i)),
@@ -215,6 +226,12 @@ def similar_topk(a: Archive) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT * FROM (WITH {_SIMILAR} SELECT document_id, id AS chunk_id, round(1 - d, 6) AS score FROM b WHERE p = 1 ORDER BY d, document_id LIMIT 20)")
+def similar_indexed(a: Archive) -> DataFrame:
+    found = vector_index.similar_indexed(_index(a), a.documents, _visible(a), DOCUMENT, limit=20, min_score=0.1)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT document_id, CAST(i AS BIGINT) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM chk, range(1, 65) r(i) GROUP BY document_id, i")
 def doc_mean_vector(a: Archive) -> DataFrame:
     means = fv.mean_vectors(a.chunks, "document_id")

@@ -63,16 +63,22 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by `discard` and `drop_stored` like those of `stored`."""
+    path = f"{shared_folder(spark)}/aktarium-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    if (collected := _COLLECTED.get()) is not None:
+        collected.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it again: lineage is cut, nothing is computed twice.
 
     The table survives the loss of any executor, and its known size lets the planner choose joins. It stays until the
     shared folder is cleaned, or `discard` or `drop_stored` is called, as the returned frame is lazy.
     """
-    path = f"{shared_folder(df.sparkSession)}/aktarium-{uuid.uuid4().hex}"
-    _WRITTEN.add(path)
-    if (collected := _COLLECTED.get()) is not None:
-        collected.append(path)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._aktarium_path = path
