@@ -995,4 +995,4 @@ def read_texts(a: Archive) -> DataFrame:
     return texts.select("path", F.length("text").cast("long").alias("n"))
 
 
-from . import file_queries  # noqa: E402, F401  it registers its queries here
+from . import file_queries, stream_queries  # noqa: E402, F401  they register their queries here

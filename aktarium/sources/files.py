@@ -25,6 +25,10 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     return _wanted(spark.read.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(path))
 
 
-def folder_stream(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
-    """The same as a stream: each file once, `most_files` at a time; progress is in the checkpoint, files aren't moved."""
-    return _wanted(spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true").load(path))
+def folder_stream(spark: SparkSession, path: str, most_files: int = 1000, processed: str | None = None) -> DataFrame:
+    """The same as a stream: each file once, `most_files` at a time. Progress is in the checkpoint; with `processed`, files
+    are moved below that folder once their batch is done (the next batch, or the next start, moves those of the last)."""
+    files = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true")
+    if processed:
+        files = files.option("cleanSource", "archive").option("sourceArchiveDir", processed)
+    return _wanted(files.load(path))
