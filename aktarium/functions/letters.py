@@ -7,22 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import LINE_END, let, strip, strip_end
 
-# How a letter's last lines begin, in lower case.
-CLOSINGS = (
-    "mit freundlichen grüßen", "mit freundlichen grüssen", "mit freundlichen gruessen", "mit freundlichen grußen",
-    "freundliche grüße", "freundliche grüsse", "freundliche grueße", "freundliche gruesse", "freundliche gruße", "freundliche grusse",
-    "hochachtungsvoll",
-    "beste grüße", "beste grüsse", "beste grueße", "beste gruesse", "beste gruße", "beste grusse",
-    "viele grüße", "viele grüsse", "viele grueße", "viele gruesse", "viele gruße", "viele grusse",
-)
-# First lines of a signature that repeat the layout's closing, in lower case.
-SIGNATURE_CLOSINGS = (
-    "mit freundlichen grüßen", "mit freundlichen grüssen", "mit freundlichen grueßen", "mit freundlichen gruessen",
-    "freundliche grüße", "freundliche grüsse", "freundliche grueße", "freundliche gruesse",
-    "hochachtungsvoll",
-    "beste grüße", "beste grüsse", "beste grueße", "beste gruesse",
-    "viele grüße", "viele grüsse", "viele grueße", "viele gruesse",
-)
+# How a letter's last lines begin, in lower case, and what repeats the layout's closing as a signature's first line.
+CLOSING = "mit freundlichen gr(ü|ue)ssen|mit freundlichen gr(ü|u)ßen|freundliche gr(ü|ue|u)(ss|ß)e|hochachtungsvoll|beste gr(ü|ue|u)(ss|ß)e|viele gr(ü|ue|u)(ss|ß)e"
+SIGNATURE_CLOSING = "mit freundlichen gr(ü|ue)(ss|ß)en|freundliche gr(ü|ue)(ss|ß)e|hochachtungsvoll|beste gr(ü|ue)(ss|ß)e|viele gr(ü|ue)(ss|ß)e"
 #: So many lines at the end are searched for a closing, and the last filled line before them.
 LAST_LINES = 4
 
@@ -40,7 +27,7 @@ def strip_closing(text: Column, closing: Column | None = None) -> Column:
     own = F.rtrim(F.lower(strip(F.coalesce(closing, F.lit("")))), F.lit(",")) if closing is not None else F.lit("")
     whole = strip_end(F.coalesce(text, F.lit("")))
     # Of each line: 0 if it's empty, 2 if it closes the letter, else 1.
-    kind = lambda said: F.when(said == "", 0).when(said.rlike(rf"(?U)^(?:{'|'.join(CLOSINGS)})\b") | ((own != "") & (said == own)), 2).otherwise(1)
+    kind = lambda said: F.when(said == "", 0).when(said.rlike(rf"(?U)^(?:{CLOSING})\b") | ((own != "") & (said == own)), 2).otherwise(1)
 
     def last(kinds: Column, counts) -> Column:
         return F.array_max(F.transform(kinds, lambda k, i: F.when(counts(k, i), i)))
@@ -60,5 +47,5 @@ def strip_closing(text: Column, closing: Column | None = None) -> Column:
 def strip_first_closing(signature: Column) -> Column:
     """A signature without a closing phrase as its first line, and without the empty lines behind it."""
     text = F.regexp_replace(F.coalesce(signature, F.lit("")), r"^\n+|\n+$", "")
-    closes = let(F.get(F.split(text, "\n"), F.lit(0)), lambda x: F.lower(F.rtrim(strip(x), F.lit(","))).isin(*SIGNATURE_CLOSINGS))
+    closes = let(F.get(F.split(text, "\n"), F.lit(0)), lambda x: F.lower(F.rtrim(strip(x), F.lit(","))).rlike(f"^(?:{SIGNATURE_CLOSING})$"))
     return strip(F.when(closes, F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text))

@@ -15,15 +15,21 @@ def page_groups(plans: DataFrame) -> DataFrame:
     the original. A part begins at a page with a mark; a mark on a deleted page moves to the next kept one; one before the
     first kept page says nothing.
     """
-    pages = plans.select("*", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    # A narrow row for each page and each thing said of one, then one row a page: no row carries a whole plan.
+    marks = ("there", "mark", "gone", "turn")
+    row = lambda page, which, value: F.struct(page.cast("int").alias("page"), *((value.cast("int") if c == which else F.lit(None).cast("int")).alias(c) for c in marks))
+    said = lambda column, which: F.transform(F.coalesce(column, F.array().cast("array<int>")), lambda p: row(p, which, F.lit(1)))
+    turned = F.transform(F.coalesce(F.map_entries("rotations"), F.array().cast("array<struct<key: int, value: int>>")), lambda e: row(e["key"], "turn", e["value"]))
+    every = F.concat(said(F.when(F.col("page_count") >= 1, F.sequence(F.lit(1), "page_count")), "there"), said(F.col("splits"), "mark"), said(F.col("deletions"), "gone"), turned)
+    rows = plans.select("document_id", F.explode(every).alias("r")).select("document_id", "r.*").repartition("document_id")
+    pages = rows.groupBy("document_id", "page").agg(*(F.max(c).alias(c) for c in marks)).filter("there = 1")
     in_order = Window.partitionBy("document_id").orderBy("page")
-    marks = F.sum(F.array_contains("splits", F.col("page")).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    kept = pages.withColumn("marks", marks).filter(~F.array_contains("deletions", F.col("page")))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    kept = pages.withColumn("marks", F.coalesce(F.sum("mark").over(upto), F.lit(0))).filter("gone IS NULL")
     changed = F.col("marks") != F.lag("marks").over(in_order)
-    kept = kept.withColumn("part", F.sum(F.coalesce(changed, F.lit(False)).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    kept = kept.withColumn("part", F.sum(F.coalesce(changed, F.lit(False)).cast("int")).over(upto) + 1)
     place = F.row_number().over(Window.partitionBy("document_id", "part").orderBy("page"))
-    rotation = F.coalesce(F.try_element_at("rotations", F.col("page")), F.lit(0))
-    return kept.select("document_id", "page", rotation.alias("rotation"), F.col("part").cast("int").alias("part"), place.alias("place"))
+    return kept.select("document_id", "page", F.coalesce("turn", F.lit(0)).alias("rotation"), F.col("part").cast("int").alias("part"), place.alias("place"))
 
 
 def split_parts(groups: DataFrame, docs: DataFrame) -> DataFrame:

@@ -399,12 +399,12 @@ def reminders_by_author(a: Archive) -> DataFrame:
     return mails.select("author_id", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0))["follow_up_date"].alias("first"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN DATE '2024-06-12' + CAST(id AS INTEGER) END AS due_date FROM cas")
+@query("""SELECT title, CASE WHEN lang <> 'de' THEN DATE '2024-06-12' + CAST(length(text_content) % 60 AS INTEGER) END AS due_date, visibility, CAST(3 AS BIGINT) AS owner_id FROM doc""")
 def template_tasks(a: Archive) -> DataFrame:
-    i = F.col("id")
-    templates = a.cases.select(F.concat(F.lit("T"), i.cast("string")).alias("default_title"), F.when(i % 2 == 0, i).alias("default_due_offset_days"), F.lit("private").alias("visibility"))
-    tasks = bindings.task_from_template(templates, TODAY, USER)
-    return tasks.select(F.substring("title", 2, 9).cast("long").alias("id"), "due_date")
+    """Documents as templates of tasks: their title, days that follow from the text's length, undated in one language."""
+    offset = F.when(F.col("lang") != "de", F.length("text_content") % 60)
+    templates = a.documents.select(F.col("title").alias("default_title"), offset.alias("default_due_offset_days"), "visibility")
+    return bindings.task_from_template(templates, TODAY, USER).select("title", "due_date", "visibility", "owner_id")
 
 
 # References
@@ -470,12 +470,16 @@ def learn_references(a: Archive) -> DataFrame:
     return refs.learn(a.case_references, a.references, targets, "vorgang")
 
 
-@query("""SELECT owner_id, type, value_normalized, CASE WHEN type = 'rechnungsnummer' AND owner_id % 4 = 0 THEN 'manuell' ELSE source END AS source FROM cref
-  UNION ALL SELECT id, 'vertragsnummer', 'V' || id, 'manuell' FROM cas WHERE id % 5 = 0""")
+@query("""SELECT document_id AS owner_id, type, value_normalized, CASE WHEN source = 'manuell' OR id % 4 = 0 THEN 'manuell' ELSE 'gelernt' END AS source FROM ref
+  UNION ALL SELECT id, 'vertragsnummer', 'V' || length(text_content), 'manuell' FROM doc WHERE parent_id IS NOT NULL""")
 def record_references(a: Archive) -> DataFrame:
-    again = a.case_references.filter("type = 'rechnungsnummer' AND owner_id % 4 = 0").select("owner_id", "type", "value_normalized")
-    added = a.cases.filter("id % 5 = 0").select(F.col("id").alias("owner_id"), F.lit("vertragsnummer").alias("type"), F.concat(F.lit("V"), F.col("id").cast("string")).alias("value_normalized"))
-    return refs.record_by_hand(a.case_references, again.unionByName(added)).select("owner_id", "type", "value_normalized", "source")
+    """References that documents have, as owners' own: some are entered again by hand, others are new."""
+    learned = F.col("source") != "manuell"
+    held = a.references.select(F.col("document_id").alias("owner_id"), "type", "value_normalized", F.when(learned, "gelernt").otherwise("manuell").alias("source"), F.when(learned, F.col("id")).alias("learned_from"))
+    again = held.filter("owner_id % 4 = 0").select("owner_id", "type", "value_normalized")
+    number = F.concat(F.lit("V"), F.length("text_content").cast("string"))
+    added = a.documents.filter("parent_id IS NOT NULL").select(F.col("id").alias("owner_id"), F.lit("vertragsnummer").alias("type"), number.alias("value_normalized"))
+    return refs.record_by_hand(held, again.unionByName(added)).select("owner_id", "type", "value_normalized", "source")
 
 
 @query("""SELECT document_id, type, value_normalized, source FROM ref WHERE source = 'manuell' UNION ALL
@@ -620,10 +624,19 @@ def date_parse(a: Archive) -> DataFrame:
     return a.documents.select("id", fd.parse_date(written).alias("d"))
 
 
-@query("SELECT id, ['belegdatum', 'zeitraum_ende', 'briefkopf', 'erstellt', NULL][id % 5 + 1] AS kind FROM doc")
+_KIND_NAMES = sorted(fd.DATE_KINDS)
+_KIND_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in sorted(fd.DATE_KINDS.items()))
+
+
+@query(rf"""SELECT * FROM (WITH k(name, kind) AS (VALUES {_KIND_ROWS}),
+  w AS (SELECT id, CASE WHEN length(text_content) % 5 = 0 THEN text_content ELSE upper(replace([{", ".join(f"'{k}'" for k in _KIND_NAMES)}][length(text_content) % {len(_KIND_NAMES)} + 1], '_', regexp_extract(text_content, '[^\p{{L}}\p{{N}}]+', 0))) END AS written FROM doc)
+  SELECT id, kind FROM w LEFT JOIN k ON k.name = regexp_replace(regexp_replace(lower(written), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'))""")
 def date_kind(a: Archive) -> DataFrame:
-    names = F.array(*map(F.lit, ("Rechnungsdatum", " Zeitraum-bis ", "Schreiben vom", "gedruckt am", "Geburtstag")))
-    return a.documents.select("id", fd.date_kind(F.element_at(names, (F.col("id") % 5).cast("int") + 1)).alias("kind"))
+    """Names of kinds in capitals, with what stands between a text's first words between theirs; and whole texts."""
+    between = F.regexp_extract("text_content", r"[^\p{L}\p{N}]+", 0)
+    name = F.element_at(F.array(*map(F.lit, _KIND_NAMES)), F.length("text_content") % len(_KIND_NAMES) + 1)
+    written = F.when(F.length("text_content") % 5 == 0, F.col("text_content")).otherwise(F.upper(F.replace(name, F.lit("_"), between)))
+    return a.documents.select("id", fd.date_kind(written).alias("kind"))
 
 
 def _candidates(a: Archive) -> DataFrame:
@@ -819,12 +832,13 @@ def mail_dedup(a: Archive) -> DataFrame:
 # Checks of tables and pages
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN lang || repeat('x', 30) WHEN id % 3 = 1 AND id % 100 >= 60 THEN repeat('o', 25) ELSE 'v' END AS text, CASE WHEN id % 3 = 0 THEN 'text_layer' WHEN id % 3 = 1 AND id % 100 >= 60 THEN 'ocr' ELSE 'vision' END AS method FROM doc""")
+@query("""SELECT * FROM (WITH p AS (SELECT id, x[1] AS layer, coalesce(x[2], '') AS ocr, x[len(x)] AS vision, length(text_content) % 100 AS sure FROM (SELECT id, text_content, string_split(text_content, chr(10)) AS x FROM doc)),
+  m AS (SELECT *, CASE WHEN length(trim(layer)) >= 20 THEN 'text_layer' WHEN length(trim(ocr)) >= 20 AND sure >= 60 THEN 'ocr' ELSE 'vision' END AS method FROM p)
+  SELECT id, CASE method WHEN 'text_layer' THEN layer WHEN 'ocr' THEN ocr ELSE vision END AS text, method FROM m)""")
 def extract_cascade(a: Archive) -> DataFrame:
-    i = F.col("id")
-    layer = F.when(i % 3 == 0, F.concat(F.col("lang"), F.lit("x" * 30))).otherwise("  kurz  ")
-    ocr = F.when(i % 3 == 1, "o" * 25).otherwise("o")
-    text, method = checks.extraction(layer, ocr, (i % 100).cast("double"), F.lit("v"))
+    """First lines as text layers, second ones as what OCR read, last ones as what a model read."""
+    lines = F.split("text_content", "\n")
+    text, method = checks.extraction(F.get(lines, F.lit(0)), F.get(lines, F.lit(1)), (F.length("text_content") % 100).cast("double"), F.element_at(lines, -1))
     return a.documents.select("id", text.alias("text"), method.alias("method"))
 
 
@@ -884,13 +898,17 @@ def missing_required(a: Archive) -> DataFrame:
     return bindings.missing_required(bindings.resolve(*_drafts(a)))
 
 
-@query("""SELECT id AS run_id, n AS position, [id] AS sources FROM cas, range(8) r(n)""")
+@query("""SELECT * FROM (WITH l AS (SELECT id, parent_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS position, unnest(x) AS title FROM (SELECT id, parent_id, string_split(text_content, chr(10)) AS x FROM doc)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS p FROM l WHERE trim(title) <> '')
+  SELECT id AS run_id, position, title, list_concat(CASE WHEN id % 3 <> 0 THEN [id] ELSE [] END, CASE WHEN parent_id IS NOT NULL THEN [parent_id] ELSE [] END) AS sources FROM k WHERE p <= 8)""")
 def recommendations(a: Archive) -> DataFrame:
-    i = F.col("id")
-    n = F.explode(F.sequence(F.lit(0), F.lit(10)).cast("array<long>")).alias("position")
-    items = a.cases.select(i.alias("run_id"), n).select("run_id", "position", F.when(F.col("position") < 9, "t").otherwise("").alias("title"), F.array(F.col("run_id").cast("string"), F.lit("x"), F.col("run_id").cast("string"), F.lit("999")).alias("sources"))
-    allowed = a.cases.select(i.alias("run_id"), i.alias("document_id"))
-    return bindings.recommendation_items(items, allowed).select("run_id", "position", "sources")
+    """Lines of texts as a model's recommendations, whose sources are documents in scope, others, and words."""
+    text = lambda c: F.col(c).cast("string")
+    lines = a.documents.select("id", "parent_id", F.posexplode(F.split("text_content", "\n")).alias("position", "title"))
+    items = lines.select(F.col("id").alias("run_id"), "position", "title", F.array(text("id"), F.substring_index("title", " ", 1), text("parent_id"), text("id")).alias("sources"))
+    allowed = a.documents.filter("id % 3 <> 0").select(F.col("id").alias("run_id"), F.col("id").alias("document_id"))
+    parents = a.documents.filter("parent_id IS NOT NULL").select(F.col("id").alias("run_id"), F.col("parent_id").alias("document_id"))
+    return bindings.recommendation_items(items, allowed.unionByName(parents)).select("run_id", "position", "title", "sources")
 
 
 @query(f"""SELECT * FROM (WITH {_PLACED} SELECT lpad(CAST(id AS VARCHAR), 9, '0') AS title, 'document' AS kind, 'folder' AS source, 'department' AS visibility, CAST(NULL AS BIGINT) AS owner_id, 'pending' AS processing_status, sha256,

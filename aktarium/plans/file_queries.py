@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..functions import references as fr
 from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import aggregates, bindings, checks, ingest, languages, mail, pages, stale
-from ..session import shared_folder
+from ..session import scratch
 from ..sources import files, mailbox, models, sinks
 from .archive import TODAY, Archive
 from .archive_queries import _by_id, _by_id_sql, query
@@ -195,10 +193,11 @@ def row_shift(a: Archive) -> DataFrame:
     return checks.row_shifts(tables, a.documents.select("id", F.concat(one, between, F.lit(" "), two).alias("reference"))).select("id", "row_number", "row")
 
 
-@query("""SELECT document_id, CAST(page AS INTEGER) AS page FROM (SELECT id AS document_id, unnest(range(1, 4)) AS page FROM doc) WHERE NOT (document_id % 5 = 0 AND page < 3)""")
+@query(f"SELECT * FROM (WITH {_LINES} SELECT id AS document_id, page FROM lines WHERE NOT (length(line) % 3 = 0 AND page < 4))")
 def missing_previews(a: Archive) -> DataFrame:
-    page = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page")
-    return stale.missing_pages(a.documents.select(F.col("id").alias("document_id"), page), a.documents.filter(F.col("id") % 5 == 0).select(F.col("id").alias("document_id"), page).filter("page < 3"))
+    """Lines as pages, of which some of the first have a picture."""
+    lines = _lines(a).select(F.col("id").alias("document_id"), "page", "line")
+    return stale.missing_pages(lines, lines.filter((F.length("line") % 3 == 0) & (F.col("page") < 4)).select("document_id", "page"))
 
 
 @query("SELECT id AS document_id, sha256(text_content) || ':' || CASE WHEN id % 2 = 0 THEN 'v2' ELSE 'v1' END AS fingerprint FROM doc WHERE NOT (id % 2 = 1 AND id % 3 = 0)")
@@ -296,12 +295,14 @@ def generated_replies(a: Archive) -> DataFrame:
     return models.generate(prompts, models.GENERATORS["fake"]).select(F.col("key").alias("id"), "reply", "model")
 
 
-@query("""SELECT draft_id AS template_id, key, CASE WHEN split_part(source, '.', 1) IN ('kontakt', 'vorgang') THEN source ELSE 'manual' END AS source FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY position) AS p FROM (
-  SELECT id AS draft_id, 'k' || ((id + n) % 5) AS key, arg_min(['kontakt.name', 'vorgang.name', 'wetter', 'kontakt.ort', 'x.y', 'vorgang.id', 'z'][CAST(n AS INTEGER) + 1], n) AS source, min(n) AS position FROM doc, range(7) r(n) GROUP BY id, key)) WHERE p <= 4""")
+@query(rf"""SELECT * FROM (WITH {_LINES}, d AS (SELECT id, page, 'k' || (length(line) % 5) AS key, CASE WHEN length(line) % 2 = 0 THEN 'kontakt.' WHEN length(line) % 3 = 0 THEN 'vorgang.' ELSE '' END || split_part(line, ' ', 1) AS source FROM lines),
+  f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page) AS p FROM (SELECT id, key, arg_min(source, page) AS source, min(page) AS page FROM d GROUP BY id, key))
+  SELECT id AS template_id, key, CASE WHEN split_part(source, '.', 1) IN ('kontakt', 'vorgang') THEN source ELSE 'manual' END AS source FROM f WHERE p <= 4)""")
 def template_keys(a: Archive) -> DataFrame:
-    sources = F.array(*map(F.lit, ("kontakt.name", "vorgang.name", "wetter", "kontakt.ort", "x.y", "vorgang.id", "z")))
-    drafted = a.documents.select(F.col("id").alias("template_id"), F.posexplode(sources).alias("position", "source"))
-    drafted = drafted.withColumn("key", F.concat(F.lit("k"), ((F.col("template_id") + F.col("position")) % 5).cast("string")))
+    """Lines as drafted placeholders: keys that repeat, sources of known and unknown kinds."""
+    size, word = F.length("line"), F.substring_index("line", " ", 1)
+    source = F.concat(F.when(size % 2 == 0, "kontakt.").when(size % 3 == 0, "vorgang.").otherwise(""), word)
+    drafted = _lines(a).select(F.col("id").alias("template_id"), F.col("page").alias("position"), F.concat(F.lit("k"), (size % 5).cast("string")).alias("key"), source.alias("source"))
     return bindings.template_keys(drafted, ["kontakt", "vorgang"], most=4).select("template_id", "key", "source")
 
 
@@ -311,12 +312,12 @@ def template_keys(a: Archive) -> DataFrame:
 @query("SELECT id, CASE WHEN id % 4 = 1 THEN 'neu' ELSE lang END AS v, CAST(id % 4 AS INTEGER) AS part FROM doc WHERE id % 4 <> 1 OR id % 8 = 1")
 def replaced_partitions(a: Archive) -> DataFrame:
     """A table of which one partition is replaced by fewer rows, then moved into place as a whole."""
-    path = f"{shared_folder(a.spark)}/aktarium-{uuid.uuid4().hex}"
+    path, whole = scratch(a.spark), scratch(a.spark)
     rows = a.documents.select("id", F.col("lang").alias("v"), (F.col("id") % 4).cast("int").alias("part"))
     rows.write.partitionBy("part").parquet(path)
     sinks.replace_partitions(rows.filter("id % 8 = 1").withColumn("v", F.lit("neu")), path, "part")
-    sinks.replace_table(a.spark.read.parquet(path), f"{path}-whole")
-    return a.spark.read.parquet(f"{path}-whole").select("id", "v", "part")
+    sinks.replace_table(a.spark.read.parquet(path), whole)
+    return a.spark.read.parquet(whole).select("id", "v", "part")
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 'erste' ELSE 'zweite' END AS title FROM doc WHERE id % 3 = 0 OR id % 2 = 0")
