@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,14 @@ UNRELATED = (
     "See the file for details, or the terms of use, as this page is under construction.",
     "All of the rights that the authors have are listed in the book of the general.",
     "This work is released in the summer, free of charge, to the general public.",
+    "The GNU Free Documentation License is a license for manuals.",
+    "The Apache Software Foundation and the Mozilla Foundation met the MIT Press.",
+    "Confidential talks were held, and the proprietary rights of the firm were reserved.",
+    "The general public license to fish is needed, by law, in all public waters.",
+    "Version 2.0 of the driver was released under the old name, version 3.0 under the new.",
+    "The ratio was 1.0 in total, 2.0 in part and 4.0 at most, as in version 3 or 2.",
+    "All rights reserved seats are free, all rights reserved by the museum are not.",
+    "Creative Commons is a public organisation, and attribution is a common custom.",
 )
 # What licences are called.
 NAMES = {
@@ -109,15 +118,24 @@ FRAMES = (
 )
 # Words that say nothing in any order.
 LITTLE = ("the", "of", "to", "by", "and", "in", "under", "all", "a", "is", "this", "for", "with", "or", "as", "on", "it", "you", "may", "are", "be", "that", "an", "mit", "work", "see", "use", "0", "1", "2", "3", "4")
+# Words that the names of licences have in common, so that they tell none from the others.
+COMMON = ("license", "licence", "public", "general", "version", "terms", "the", "software", "international", "universal", "dedication", "domain", "clause", "all", "rights", "reserved", "and", "0", "1", "2", "3", "4")
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 #: The share of a template's word pairs that a window must hold to be confirmed.
 CONFIRM = 0.8
 #: Lengths of the windows that are classified, in words, and the words that a confirmed window may have beyond its template's.
 WINDOWS, _SLACK = (1, 2, 3, 4, 6, 8, 12, 16, 24), 6
-#: Words of a text whose windows are weighed at once.
-_SLICE = 1 << 16
-_WORD = re.compile(r"[a-z0-9]+")
+#: Words more that can tell a longer name from one that it begins or ends with.
+_MORE = 3
+#: A template of fewer words confirms only as a line or a sentence of its own.
+SHORT = 5
+#: Characters of a text whose windows are weighed at once, and words that slices share: more than any window has.
+_SLICE, _SHARED = 1 << 18, 48
+#: Bytes from which on a text isn't looked at with others first.
+_LONG = 4 << 20
+_WORD, _GAP = re.compile(r"[a-z0-9]+"), re.compile(r"[^A-Za-z0-9]|$")
+_BEFORE, _AFTER = re.compile(r"(?:^|[\n.!?:;,)])[ \t#*/>-]*$"), re.compile(r"[ \t]*(?:[.!?;)\r\n]|$)")
 _WORD_OR_END = re.compile(r"[a-z0-9]+|\n")
 
 
@@ -126,17 +144,10 @@ def _lowered(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _tokens(text: str) -> list[re.Match]:
-    """Words of a text with their places; one that follows itself says nothing new and is left out."""
-    out: list[re.Match] = []
-    for t in _WORD.finditer(_lowered(text)):
-        if not out or out[-1][0] != t[0]:
-            out.append(t)
-    return out
-
-
 def words_of(text: str) -> list[str]:
-    return [t[0] for t in _tokens(text)]
+    """Words of a text; one that follows itself says nothing new and is left out."""
+    words = _WORD.findall(_lowered(text))
+    return [w for k, w in enumerate(words) if not k or words[k - 1] != w]
 
 
 def _grams(words: list[str]) -> set[tuple[str, ...]]:
@@ -186,8 +197,9 @@ def _features() -> tuple[dict[str, int], np.ndarray]:
 
 
 def _examples(rng: np.random.Generator, rounds: int) -> list[tuple[list[str], int]]:
-    """Variants of the templates (words lost) and of sentences that name licences, other words around them; parts of sentences
-    that grant nothing, and of those that name no licence; known words in no order, and words of no language."""
+    """Variants of the templates (words lost) and of sentences that name licences, other words around them; the same sentences
+    with licences that aren't known; parts of sentences that grant nothing, and of those that name no licence; known words
+    alone and in no order, numbers of versions, and words of no language."""
     pool = sorted({w for s in UNRELATED for w in words_of(s)})
     # Words that name a family by themselves aren't dealt at random.
     known = sorted({w for ts in (*TEMPLATES.values(), *NAMES.values()) for t in ts for w in words_of(t)} - {"gpl", "gplv3", "lgpl", "lgplv3", "agpl", "agplv3", "unlicense", "cc0", "mpl"})
@@ -203,6 +215,12 @@ def _examples(rng: np.random.Generator, rounds: int) -> list[tuple[list[str], in
                 for f in rng.choice(FRAMES, 3):
                     before, after = str(f).split("{}")
                     texts.append([*kept(words_of(before)), *words_of(name), *kept(words_of(after))])
+                    if family != "proprietary":
+                        other = [w if w in COMMON else strange() for w in words_of(name)]
+                        if rng.random() < 0.5:
+                            other = [*some(int(rng.integers(0, 2))), *other, *(str(w) for w in rng.choice(COMMON[:10], int(rng.integers(0, 3))))]
+                        out.append(([*words_of(before), *other, *words_of(after)], 0))
+                        out.append((other, 0))
             for words in texts:
                 around = some(int(rng.integers(0, 5 if len(words) > 3 else 3)))
                 cut = int(rng.integers(0, len(around) + 1))
@@ -214,6 +232,13 @@ def _examples(rng: np.random.Generator, rounds: int) -> list[tuple[list[str], in
                 out.append((words[a : a + int(rng.integers(1, 16))], 0))
         for f in FRAMES:
             out.append((words_of(f.format(" ".join(some(2)))), 0))
+        out += [([w], 0) for w in known]
+        out += [(["the", w, *(str(x) for x in rng.choice(LITTLE, int(rng.integers(0, 3))))], 0) for w in known]
+        for _ in range(30):
+            numbers = [str(n) for n in rng.integers(0, 5, int(rng.integers(1, 4)))]
+            around = [str(w) for w in rng.choice((*COMMON, *LITTLE), int(rng.integers(1, 7)))]
+            cut = int(rng.integers(0, len(around) + 1))
+            out.append(([*around[:cut], *numbers, *around[cut:]], 0))
         out += [([str(w) for w in rng.choice(known, rng.integers(1, 4))], 0) for _ in range(20)]
         out += [([*some(int(rng.integers(0, 4))), str(w), *some(int(rng.integers(0, 4)))], 0) for w in rng.choice(known, 60)]
         out += [([str(w) for w in rng.choice(LITTLE, rng.integers(1, 16))], 0) for _ in range(20)]
@@ -273,6 +298,11 @@ def _template_grams() -> dict[str, list[set]]:
     return {family: [_grams(words_of(t)) for t in ts] for family, ts in TEMPLATES.items()}
 
 
+@functools.cache
+def _template_words() -> dict[str, set[str]]:
+    return {family: {w for t in ts for w in words_of(t)} for family, ts in TEMPLATES.items()}
+
+
 @functools.cache
 def _templates_by_pair() -> dict[tuple[str, ...], list[tuple[int, int, int]]]:
     """For each word pair the templates that have it: a number, the number of words and that of different pairs."""
@@ -286,8 +316,9 @@ def _templates_by_pair() -> dict[tuple[str, ...], list[tuple[int, int, int]]]:
     return out
 
 
-def classify(model: Model, paragraph: str) -> tuple[str, float, bool]:
-    """The family, its calibrated probability, and whether a template of the family is confirmed to be in the paragraph."""
+def classify(model: Model, paragraph: str, alone: bool = True) -> tuple[str, float, bool]:
+    """The family, its calibrated probability, and whether a template of the family is confirmed to be in the paragraph;
+    `alone` says whether it's a line or sentence of its own, without which short templates confirm nothing."""
     words = words_of(paragraph)
     if not words:
         return UNKNOWN, 1.0, False
@@ -296,7 +327,7 @@ def classify(model: Model, paragraph: str) -> tuple[str, float, bool]:
     if k == 0 or p[k] < model.least:
         return UNKNOWN, float(p[0]), False
     held = _grams(words)
-    share = max(len(t & held) / len(t) for t in _template_grams()[FAMILIES[k]])
+    share = max((len(t & held) / len(t) for t in _template_grams()[FAMILIES[k]] if alone or len(t) >= SHORT - 1), default=0.0)
     return FAMILIES[k], float(p[k]), share >= CONFIRM
 
 
@@ -336,20 +367,22 @@ def may_name(model: Model, texts: pa.Array) -> np.ndarray:
     return found
 
 
-def _named(model: Model, numbers: np.ndarray) -> list[tuple[float, int, int, int]]:
-    """Windows that name a family: (probability, first word, words, family)."""
+def _named(model: Model, numbers: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+    """Windows that name a family: (first word, words, family, probability, log-odds against none)."""
     word, pair = (model.weights[x] for x in model.positions(numbers))
     upto, out = np.concatenate([np.zeros((1, word.shape[1])), np.cumsum(word + pair, axis=0)]), []
     for n, at in _bounds(model, numbers):
-        p = _softmax((upto[at + n] - upto[at] - pair[at]) / np.sqrt(2 * n - 1) + model.constants, model.temperature)
+        margins = (upto[at + n] - upto[at] - pair[at]) / np.sqrt(2 * n - 1) + model.constants
+        p = _softmax(margins, model.temperature)
         k = p.argmax(axis=1)
-        best = p[np.arange(len(p)), k]
-        out += [(float(best[i]), int(at[i]), n, int(k[i])) for i in np.flatnonzero((k > 0) & (best >= model.least)).tolist()]
+        rows = np.arange(len(p))
+        best, odds = p[rows, k], (margins[rows, k] - margins[:, 0]) / model.temperature
+        out += [(int(at[i]), n, int(k[i]), float(best[i]), float(odds[i])) for i in np.flatnonzero((k > 0) & (best >= model.least)).tolist()]
     return out
 
 
-def _windows(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of words (first, last) that hold enough pairs of a template close to each other, wherever lines break."""
+def _windows(words: list[str]) -> Iterator[tuple[int, int, int]]:
+    """Runs of words (first, last, pairs held) that hold enough pairs of a template close to each other, wherever lines break."""
     places: dict[tuple[int, int, int], list[int]] = {}
     for k, pair in enumerate(zip(words, words[1:], strict=False)):
         for template in _templates_by_pair().get(pair, ()):
@@ -363,10 +396,11 @@ def _windows(words: list[str]) -> Iterator[tuple[int, int]]:
             while k + 1 - at[first] >= n + _SLACK or seen[words[at[first]], words[at[first] + 1]] > 1:
                 gone = words[at[first]], words[at[first] + 1]
                 seen[gone] -= 1
-                seen += Counter()
+                if not seen[gone]:
+                    del seen[gone]
                 first += 1
             if len(seen) >= CONFIRM * grams:
-                yield at[first], k + 1
+                yield at[first], k + 1, len(seen)
 
 
 def _overlapping(spans: list[tuple[int, int]], start: int, end: int) -> bool:
@@ -375,34 +409,146 @@ def _overlapping(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     return at > 0 and spans[at - 1][1] > start
 
 
+def _whole(windows: list[tuple[int, int, int, float, float]]) -> list[tuple[int, int, int, float, float]]:
+    """The windows without those that a few more words make another family's, unless the rest names that family by itself: a
+    part of a longer name goes, one of two names stays."""
+    of, few = {w[:2]: w[2] for w in windows}, [n for n in WINDOWS if n <= _MORE]
+    out = []
+    for w in windows:
+        first, end = w[0], w[0] + w[1]
+        for n in WINDOWS:
+            if w[1] < n <= w[1] + _MORE:
+                for a in range(end - n, first + 1):
+                    other = of.get((a, n))
+                    if other is not None and other != w[2] and not any(of.get((b, m)) == other for m in few for b in (*range(a, first - m + 1), *range(end, a + n - m + 1))):
+                        break
+                else:
+                    continue
+                break
+        else:
+            out.append(w)
+    return out
+
+
+def _chosen(model: Model, windows: list[tuple[int, int, int, float, float]]) -> list[tuple[int, int, int, float, float]]:
+    """Of windows that overlap those without common words whose log-odds add up to most, each less what one needs at least: so a window that holds two
+    names loses against two windows, and a part of a name against the whole."""
+    windows = sorted(_whole(windows), key=lambda w: (w[0] + w[1], w[0], w[2:]))
+    ends, need = [w[0] + w[1] for w in windows], float(np.log(model.least / (1 - model.least)))
+    best, taken, before = [0.0], [], []
+    for k, w in enumerate(windows):
+        before.append(bisect.bisect_right(ends, w[0], 0, k))
+        value = best[before[k]] + w[4] - need + 1e-6
+        taken.append(value > best[-1])
+        best.append(max(value, best[-1]))
+    out, k = [], len(windows)
+    while k:
+        if taken[k - 1]:
+            out.append(windows[k - 1])
+            k = before[k - 1]
+        else:
+            k -= 1
+    return out
+
+
+def _slices(text: str) -> Iterator[tuple[int, str]]:
+    """Parts of a text, in lower case, that end between words, and where they begin."""
+    at = 0
+    while at < len(text):
+        end = _GAP.search(text, min(len(text), at + _SLICE)).start()
+        yield at, _lowered(text[at:end])
+        at = end
+
+
+class _Scan:
+    """The words of a text that are still needed, with their places, and the windows in them that aren't decided yet."""
+
+    def __init__(self, model: Model, text: str):
+        self.model, self.text, self.first = model, text, 0  # first: the number of the first word that is kept
+        self.words: list[str] = []
+        self.places: list[tuple[int, int]] = []
+        self.templates: set[tuple[int, int, int]] = set()
+        self.named: list[tuple[int, int, int, float, float]] = []
+        self.out: list[Found] = []
+
+    def add(self, at: int, part: str) -> None:
+        """Weigh all windows that end in a part of the text."""
+        old = max(0, len(self.words) - _SHARED)
+        shared = len(self.words) - old
+        for t in _WORD.finditer(part):
+            if not self.words or self.words[-1] != t[0]:
+                self.words.append(t[0])
+                self.places.append((at + t.start(), at + t.end()))
+        words, base = self.words[old:], self.first + old
+        self.templates |= {(base + a, base + b, n) for a, b, n in _windows(words) if b >= shared}
+        self.named += [(base + i, *w) for i, *w in _named(self.model, self.model.numbers(words)) if i + w[0] > shared]
+
+    def settle(self, upto: int) -> None:
+        """Decide on groups of overlapping windows that no window from word `upto` on can join, and forget their words."""
+        spans = sorted([(a, b + 1, 0, k) for k, (a, b, _) in enumerate(sorted(self.templates))] + [(w[0], w[0] + w[1], 1, k) for k, w in enumerate(self.named)])
+        templates, group, end, open_ = sorted(self.templates), [], -1, []
+        for span in [*spans, None]:
+            if group and (span is None or span[0] >= end):
+                if end <= upto:
+                    self._decide([templates[k] for _, _, kind, k in group if kind == 0], [self.named[k] for _, _, kind, k in group if kind == 1])
+                else:
+                    open_ += group
+                group, end = [], -1
+            if span is not None:
+                group.append(span)
+                end = max(end, span[1])
+        self.templates, self.named = {templates[k] for _, _, kind, k in open_ if kind == 0}, [self.named[k] for _, _, kind, k in open_ if kind == 1]
+        keep = min([self.first + len(self.words) - _SHARED, *(s[0] for s in open_)])
+        if keep > self.first:
+            del self.words[: keep - self.first], self.places[: keep - self.first]
+            self.first = keep
+
+    def _decide(self, templates: list[tuple[int, int, int]], named: list[tuple[int, int, int, float, float]]) -> None:
+        claimed: list[tuple[int, int]] = []
+
+        def claim(first: int, last: int, family: str, p: float, confirmed: bool) -> None:
+            bisect.insort(claimed, (first, last + 1))
+            start, end = self.places[first - self.first][0], self.places[last - self.first][1]
+            if "\n" not in self.text[start:end] and self.text[end : end + 1] in (".", "!", "?"):
+                end += 1
+            self.out.append(Found(family, start, end, round(p, 6), confirmed))
+
+        whole = _whole(named) if templates else []
+        for first, last, _ in sorted(templates, key=lambda w: (-w[2], w[1] - w[0], w)):
+            if not _overlapping(claimed, first, last + 1):
+                family, p, confirmed = self._confirmed(first, last)
+                if confirmed and not any(first <= w[0] and w[0] + w[1] <= last + 1 and self._other(w, family) for w in whole):
+                    claim(first, last, family, p, True)
+        rest = [w for w in named if not _overlapping(claimed, w[0], w[0] + w[1])]
+        for first, n, k, p, _ in _chosen(self.model, rest):
+            claim(first, first + n - 1, FAMILIES[k], p, False)
+
+    def _other(self, w: tuple[int, int, int, float, float], family: str) -> bool:
+        """Whether a window names another family with words that this one's templates don't have."""
+        own = _template_words()[family]
+        return FAMILIES[w[2]] != family and any(x in self.model.words and x not in own for x in self.words[w[0] - self.first : w[0] + w[1] - self.first])
+
+    def _confirmed(self, first: int, last: int) -> tuple[str, float, bool]:
+        a, b = first - self.first, last - self.first
+        start, end = self.places[a][0], self.places[b][1]
+        alone = bool(_BEFORE.search(self.text[max(0, start - 40) : start]) if start else True) and bool(_AFTER.match(self.text[end : end + 40]))
+        return classify(self.model, " ".join(self.words[a : b + 1]), alone)
+
+
 def scan(model: Model, text: str | None) -> list[Found]:
     """Licences named in a text, by start: first the windows that hold a template of the family that the model names in them,
-    the longest first; then what the model names besides, the surest first. No two have words in common. A span ends with its
-    last word, or, in one line, with the mark that ends the sentence there."""
-    tokens = _tokens(text or "")
-    words, out, claimed = [t[0] for t in tokens], [], []
-
-    def claim(first: int, last: int, family: str, p: float, confirmed: bool) -> None:
-        bisect.insort(claimed, (first, last + 1))
-        start, end = tokens[first].start(), tokens[last].end()
-        if "\n" not in text[start:end] and text[end : end + 1] in (".", "!", "?"):
-            end += 1
-        out.append(Found(family, start, end, round(p, 6), confirmed))
-
-    for first, last in sorted(set(_windows(words)), key=lambda w: (w[0] - w[1], w)):
-        if not _overlapping(claimed, first, last + 1):
-            family, p, confirmed = classify(model, " ".join(words[first : last + 1]))
-            if confirmed:
-                claim(first, last, family, p, True)
-    found = []
-    for at in range(0, len(words), _SLICE):
-        # Slices share the words of the longest window, so that none is cut.
-        part = model.numbers(words[at : at + _SLICE + WINDOWS[-1]])
-        found += [(p, at + i, n, k) for p, i, n, k in _named(model, part)]
-    for p, first, n, k in sorted(set(found), key=lambda f: (-round(f[0], 3), -f[2], f)):
-        if not _overlapping(claimed, first, first + n):
-            claim(first, first + n - 1, FAMILIES[k], p, False)
-    return sorted(out, key=lambda f: (f.start, f.end))
+    those with most of it first; then of the windows that the model names besides those that together speak most for licences. No two
+    have words in common. A span ends with its last word, or, in one line, with the mark that ends the sentence there.
+
+    The text is weighed slice by slice, and groups of windows that overlap are decided as soon as they're complete, so what is
+    kept doesn't grow with it but for the findings.
+    """
+    state = _Scan(model, text or "")
+    for at, part in _slices(text or ""):
+        state.add(at, part)
+        state.settle(state.first + len(state.words) - _SHARED)
+    state.settle(state.first + len(state.words) + 1)
+    return sorted(state.out, key=lambda f: (f.start, f.end))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,7 +563,9 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        may = may_name(shared.value, b.column("text")).tolist()
+        # A look at the whole batch at once tells which texts name nothing; a long text is scanned slice by slice as it is.
+        long = pc.fill_null(pc.greater(pc.binary_length(b.column("text")), _LONG), False)
+        may = (may_name(shared.value, pc.if_else(long, "", b.column("text"))) | long.to_numpy(zero_copy_only=False)).tolist()
         found = [scan(shared.value, t.as_py()) if m else [] for t, m in zip(b.column("text"), may, strict=True)]
         sure, rest = ([[f for f in fs if f.confirmed == c] for fs in found] for c in (True, False))
         said = lambda fs: ",".join(f"{f.family}:{f.start}:{f.end}" for f in fs)
