@@ -98,8 +98,28 @@ def _ends(line: Column, following: Column) -> Column:
     return signs | (line.rlike(HEADER_FIRST) & following.rlike(HEADER_NEXT))
 
 
+#: What any sign of a signature or quote has in it, in lower case. Most texts have none of it, and are looked at once as a whole.
+_MAY_QUOTE = ("gesendet von meinem", "von meinem", "sent from my", "get outlook for", "--", "schrieb", "wrote:", ">")
+_MAY_HEAD = r"(?U)(?:von|from)\s*:"
+#: White space within a line, and ends of lines but the usual.
+_BLANKS, _ODD_END = r"[ \t\x1f\p{Zs}]", r"\r\n|[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+
+
+def _may_quote(text: Column) -> Column:
+    folded = F.lower(F.upper(text))
+    found = folded.contains(":") & folded.rlike(_MAY_HEAD)
+    for sign in _MAY_QUOTE:
+        found = folded.contains(sign) | found
+    return found | text.contains("\u0130")
+
+
 def cut_quotes(text: Column) -> Column:
-    """The text up to the first sign of a signature or quoted mail, without lines that quote."""
+    """The text up to the first sign of a signature or quoted mail, without lines that quote, and without blanks at line ends."""
+    plain = F.regexp_replace(F.regexp_replace(text, rf"{_BLANKS}++(?=(?:{LINE_END})|\z)", ""), _ODD_END, "\n")
+    return F.when(_may_quote(text), _cut_lines(text)).otherwise(plain)
+
+
+def _cut_lines(text: Column) -> Column:
 
     def own(lines: Column) -> Column:
         following = lambda i: F.array_join(F.slice(lines, i + 2, F.lit(HEADER_LINES)), "\n")

@@ -150,12 +150,12 @@ _PLANS = f"""{_LINES}, p AS (SELECT id AS document_id, page, length(line) < 60 A
 
 def _groups(a: Archive) -> DataFrame:
     """Plans for texts as files with a page for each line: short pages go, every third one begins a part."""
-    lines = F.split("text_content", "\n")
-    where = lambda keep: F.filter(F.sequence(F.lit(1), F.size(lines)), keep)
-    size = lambda k: F.length(F.element_at(lines, k))
-    numbers = F.sequence(F.lit(1), F.size(lines))
-    rotations = F.map_from_arrays(numbers, F.transform(numbers, lambda k: size(k) % 4 * 90))
-    return pages.page_groups(a.documents.select(F.col("id").alias("document_id"), F.size(lines).alias("page_count"), rotations.alias("rotations"), where(lambda k: size(k) < 60).alias("deletions"), where(lambda k: k % 3 == 1).alias("splits")))
+    # Sizes are taken once: what stands in a lambda is computed for each element.
+    sizes = F.transform(F.split("text_content", "\n"), lambda x, k: F.struct((k + 1).alias("page"), F.length(x).alias("size")))
+    docs = a.documents.select(F.col("id").alias("document_id"), sizes.alias("sizes"))
+    those = lambda keep: F.transform(F.filter("sizes", keep), lambda s: s["page"])
+    rotations = F.map_from_entries(F.transform("sizes", lambda s: F.struct(s["page"], s["size"] % 4 * 90)))
+    return pages.page_groups(docs.select("document_id", F.size("sizes").alias("page_count"), rotations.alias("rotations"), those(lambda s: s["size"] < 60).alias("deletions"), those(lambda s: s["page"] % 3 == 1).alias("splits")))
 
 
 @query(f"SELECT * FROM (WITH {_PLANS} SELECT document_id, page, rotation, part FROM g)")
