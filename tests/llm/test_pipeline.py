@@ -82,3 +82,13 @@ def test_stages_with_odd_and_no_documents(spark, tiny, odd_docs, no_docs):
     assert Counter(r.doc_id for r in pipeline.pack_windows(spark, odd_docs, tiny).filter("start = 0").collect()) == ids
     kept = pipeline.drop_near_duplicates(spark, odd_docs, tiny).collect()
     assert len([r for r in kept if r.doc_id is None]) == 2 and len([r for r in kept if r.doc_id == 4]) == 2 and not [r for r in kept if r.doc_id == 5]
+
+
+def test_mixes_of_repeated_ids_agree_wherever_the_rows_lie(spark, tmp_path):
+    rows = [(k % 5, f"word{k} other{k % 11}", "en" if k % 3 else None, "abc"[k % 3], 1) for k in range(120)]
+    found = []
+    for n, order in (("x", 1), ("y", -1)):
+        df = spark.createDataFrame(rows[::order], "doc_id long, text string, lang string, source string, n_chars long")
+        df.repartition(3).write.parquet(path := f"{tmp_path}/{n}")
+        found.append(Counter(pipeline.mix_sources(spark, spark.read.parquet(path), "").collect()))
+    assert found[0] == found[1] and 0 < len(found[0]) < len(rows)
