@@ -11,7 +11,7 @@ from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import aggregates, bindings, checks, ingest, languages, mail, pages, stale
 from ..session import scratch
-from ..sources import files, mailbox, models, sinks
+from ..sources import files, mailbox, models, sinks, versions
 from .archive import TODAY, Archive
 from .archive_queries import _by_id, _by_id_sql, query
 
@@ -320,6 +320,18 @@ def replaced_partitions(a: Archive) -> DataFrame:
     return a.spark.read.parquet(whole).select("id", "v", "part")
 
 
+@query("SELECT id, CASE WHEN lang = 'de' THEN title ELSE left(text_content, 20) END AS v FROM doc WHERE lang = 'de' OR correspondent IS NOT NULL")
+def versioned_upserts(a: Archive) -> DataFrame:
+    """A table of three versions: first lines of texts, titles written over some of them, and the same again."""
+    path = scratch(a.spark)
+    texts = a.documents.filter("correspondent IS NOT NULL").select("id", F.left("text_content", F.lit(20)).alias("v"))
+    versions.publish(texts, path)
+    for _ in range(2):
+        versions.update(a.spark, path, lambda old: ingest.upsert(old, a.documents.filter("lang = 'de'").select("id", F.col("title").alias("v")), ["id"]))
+    versions.vacuum(a.spark, path, keep=1)
+    return versions.read_version(a.spark, path)
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 'erste' ELSE 'zweite' END AS title FROM doc WHERE id % 3 = 0 OR id % 2 = 0")
 def filed_letters(a: Archive) -> DataFrame:
     """Letters filed again: one that was filed before keeps the document it has."""
