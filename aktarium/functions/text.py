@@ -79,9 +79,10 @@ def split_tag(name: Column, dimension: Column) -> tuple[Column, Column]:
 
 
 def strip_code_fence(text: Column) -> Column:
-    """The inside of a fence that wraps the whole text; other texts as they are."""
-    inner = F.regexp_extract(F.trim(text), r"(?s)^```[A-Za-z0-9_-]*[ \t]*\n(.*?)\n?```$", 1)
-    return F.when(F.trim(text).rlike(r"(?s)^```[A-Za-z0-9_-]*[ \t]*\n.*```$"), inner).otherwise(text)
+    """The inside of a fence that wraps the whole text, without white space at its ends; other texts as they are. The fence's
+    lines are the first, whatever follows the ticks there, and the last, with nothing but ticks."""
+    fence = r"(?s)\A```[^\n]*\n(.*)\n```\z"
+    return let(strip(text), lambda x: F.when(x.rlike(fence), strip(F.regexp_extract(x, fence, 1))).otherwise(text))
 
 
 def lenient_bool(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE_HEADING = r"(?m)^## Seite ([0-9]+)[ \t]*$"
+from ..functions.text import let, strip
+
+PAGE_HEADING = r"(?md)^## Seite ([0-9]+)\s*$"
+# What stands for a page without text, and for one that couldn't be read.
+EMPTY_MARKS = ("_Kein Text erkannt._", "_Seite leer oder nicht lesbar._")
+FAILED_MARK = "_Seite konnte technisch nicht verarbeitet werden._"
 
 
 def page_groups(plans: DataFrame) -> DataFrame:
@@ -41,29 +46,46 @@ def split_parts(groups: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame, id_col: str = "id", text_col: str = "markdown") -> DataFrame:
-    """(id, page, body) by the page headings of a markdown text; a text without headings is page 1."""
+    """(id, page, body) by the page headings of a markdown text, bodies without white space at their ends.
+
+    A text without headings is page 1, without the line of its title; of headings with one number the last counts; an empty
+    text has no pages.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    numbers = F.regexp_extract_all(text, F.lit(PAGE_HEADING), 1)
-    bodies = F.split(text, PAGE_HEADING)
-    several = F.arrays_zip(numbers.alias("page"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
-    whole = F.array(F.struct(F.lit("1").alias("page"), text.alias("body")))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.when(F.size(numbers) > 0, several).otherwise(whole)).alias("s"))
-    return rows.select("id", F.col("s")["page"].cast("int").alias("page"), F.trim(F.col("s")["body"]).alias("body"))
+    numbers, bodies = F.regexp_extract_all(text, F.lit(PAGE_HEADING), 1), F.split(text, PAGE_HEADING)
+    several = F.arrays_zip(numbers.alias("page"), F.slice(bodies, F.lit(2), F.size(numbers)).alias("body"))
+    titled = F.when(text.startswith("# "), F.when(text.contains("\n"), F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise("")).otherwise(text)
+    whole = F.array(F.struct(F.lit("1").alias("page"), titled.alias("body")))
+    rows = docs.filter(text != "").select(F.col(id_col).alias("id"), F.when(F.size(numbers) > 0, several).otherwise(whole).alias("all"))
+    last = F.filter("all", lambda s, i: F.size("all") - F.array_position(F.transform(F.reverse("all"), lambda x: x["page"]), s["page"]) == i)
+    repeated = F.size(F.array_distinct(F.transform("all", lambda s: s["page"]))) < F.size("all")
+    rows = rows.select("id", F.explode(F.when(repeated, last).otherwise(F.col("all"))).alias("s"))
+    return rows.select("id", F.col("s")["page"].cast("int").alias("page"), strip(F.col("s")["body"]).alias("body"))
+
+
+def empty_pages(pages: DataFrame, enough: int = 20, counts: DataFrame | None = None) -> DataFrame:
+    """Pages (id, page) with under `enough` characters besides the marks of pages without text; a page that failed isn't empty.
+
+    `pages` are `sections`; with `counts` (id, page_count) pages without a section are empty, too, where the document has one.
+    """
+    bare = F.col("body")
+    for mark in EMPTY_MARKS:
+        bare = F.replace(bare, F.lit(mark), F.lit(""))
+    if counts is not None:
+        there = counts.join(pages.select("id"), "id", "left_semi").filter("page_count >= 1")
+        pages = there.select("id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page")).join(pages, ["id", "page"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+    return pages.filter((F.length(strip(bare)) < enough) & ~F.col("body").contains(FAILED_MARK)).select("id", "page")
 
 
-def empty_pages(pages: DataFrame, enough: int = 20, failed_mark: str = "[Seite konnte nicht gelesen werden]") -> DataFrame:
-    """Pages (id, page) with under `enough` characters once marks of markdown are off. A page that failed isn't empty, and of a
-    document without any text no page is flagged."""
-    bare = F.regexp_replace("body", r"[#*_`|>\s-]+", "")
-    any_text = F.max(F.length(bare)).over(Window.partitionBy("id"))
-    flagged = pages.withColumn("_any", any_text).filter((F.length(bare) < enough) & ~F.col("body").contains(failed_mark) & (F.col("_any") > 0))
-    return flagged.select("id", "page")
+def markdown_text(title: Column, texts: Column) -> Column:
+    """The markdown of a file: its title, and the texts of its pages (an array), each under its heading if there are several."""
+    said = lambda text: let(strip(F.coalesce(text, F.lit(""))), lambda x: F.when(x == "", EMPTY_MARKS[0]).otherwise(x))
+    under = F.transform(texts, lambda text, k: F.concat(F.lit("## Seite "), (k + 1).cast("string"), F.lit("\n\n"), said(text)))
+    body = F.when(F.size(texts) > 1, F.array_join(under, "\n\n")).otherwise(said(F.get(texts, F.lit(0))))
+    return F.concat(strip(F.concat(F.lit("# "), title, F.lit("\n\n"), body)), F.lit("\n"))
 
 
 def markdown_of_pages(pages: DataFrame) -> DataFrame:
-    """(id, markdown) of pages (id, title, page, text): the title, each page under its heading where there are several."""
-    filled = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.col("text")).otherwise("*(leere Seite)*")
-    rows = pages.groupBy("id").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("page", filled.alias("text")))).alias("ps"))
-    under = F.transform("ps", lambda p: F.concat(F.lit("## Seite "), p["page"].cast("string"), F.lit("\n\n"), p["text"]))
-    body = F.when(F.size("ps") > 1, F.array_join(under, "\n\n")).otherwise(F.get("ps", F.lit(0))["text"])
-    return rows.select("id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body).alias("markdown"))
+    """(id, markdown) of pages (id, title, page, text), in order of their numbers."""
+    rows = pages.groupBy("id").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("ps"))
+    return rows.select("id", markdown_text(F.col("title"), F.transform("ps", lambda p: p["text"])).alias("markdown"))

@@ -113,10 +113,37 @@ def test_page_plans(spark):
 
 
 def test_empty_pages(spark):
-    texts = [(1, "# T\n\n## Seite 1\n\nEin langer Absatz mit Text.\n\n## Seite 2\n\n*-*"), (2, "## Seite 1\n\n\n\n## Seite 2\n\n"), (3, "ohne Kopf, aber lang genug hier"), (4, None)]
-    assert rows(pages.empty_pages(pages.sections(spark.createDataFrame(texts, "id long, markdown string")))) == [(1, 2)]
-    made = pages.markdown_of_pages(spark.createDataFrame([(1, "T", 2, ""), (1, "T", 1, "a"), (2, "U", 1, "b")], "id long, title string, page int, text string"))
-    assert rows(made) == [(1, "# T\n\n## Seite 1\n\na\n\n## Seite 2\n\n*(leere Seite)*"), (2, "# U\n\nb")]
+    texts = [
+        (1, "# T\n\n## Seite 1\n\nEin langer Absatz mit Text.\n\n## Seite 2\n\n_Kein Text erkannt._\n"), (2, "## Seite 1\n\n\n\n## Seite 2\n\n_Seite konnte technisch nicht verarbeitet werden._"),
+        (3, "ohne Kopf, aber lang genug hier"), (4, None), (5, "# Ein langer Titel, der nicht zählt\nkurz"), (6, "## Seite 1\nalt, aber lang genug dafür\n## Seite 1\nneu"), (7, "# nur ein Titel ohne weitere Zeile"),
+    ]
+    found = pages.sections(spark.createDataFrame(texts, "id long, markdown string"))
+    assert rows(pages.empty_pages(found)) == [(1, 2), (2, 1), (5, 1), (6, 1), (7, 1)]
+    counts = spark.createDataFrame([(1, 3), (3, 2), (4, 2)], "id long, page_count int")
+    assert rows(pages.empty_pages(found, counts=counts)) == [(1, 2), (1, 3), (3, 2)]
+    made = pages.markdown_of_pages(spark.createDataFrame([(1, "T", 2, " \n"), (1, "T", 1, " a\n"), (2, "U", 1, "b"), (3, "V", 1, None)], "id long, title string, page int, text string"))
+    assert rows(made) == [(1, "# T\n\n## Seite 1\n\na\n\n## Seite 2\n\n_Kein Text erkannt._\n"), (2, "# U\n\nb\n"), (3, "# V\n\n_Kein Text erkannt._\n")]
+
+
+def test_vision_runs_go_on_where_they_were_cut_off(spark):
+    from aktarium.operators import vision
+
+    docs = spark.createDataFrame([(1, "A", "old", "s1", "v1", 5, ""), (2, "B", "old", "s2", "v1", 1, ""), (3, "C", "old", "s3", "v1", 2, "s3:v1"), (4, "D", "old", "s4", "v2", 1, "s4:v1")], "document_id long, title string, text string, sha256 string, prompt_version string, page_count int, vision_fingerprint string")
+    outcomes = spark.createDataFrame([(4, "s4:v1", 1, "of another prompt", None)], "document_id long, fingerprint string, page int, text string, error string")
+    due = vision.due_pages(docs, outcomes, most=3)
+    assert rows(due.select("document_id", "page")) == [(1, 1), (1, 2), (1, 3), (2, 1), (4, 1)]
+    first = spark.createDataFrame([(1, "s1:v1", 1, "```md\none\n```", None), (1, "s1:v1", 2, None, "Timeout"), (1, "s1:v1", 3, "three\x00", None), (2, "s2:v1", 1, None, "Refused"), (4, "s4:v2", 1, " ", None)], outcomes.schema)
+    outcomes = outcomes.unionByName(first)
+    got = {r.document_id: r for r in vision.fold_runs(docs, outcomes).collect()}
+    assert sorted(got) == [1, 2, 4]
+    assert (got[1].status, got[1].pages_processed, got[1].pages_failed, got[1].truncated, got[1].vision_fingerprint) == ("ready", 3, 1, True, "")
+    assert got[1].text == "# A\n\n## Seite 1\n\none\n\n## Seite 2\n\n_Seite konnte technisch nicht verarbeitet werden._\n\n## Seite 3\n\nthree\n"
+    assert (got[2].status, got[2].error, got[2].text) == ("failed", "Refused", "old")
+    assert (got[4].text, got[4].vision_fingerprint) == ("# D\n\n_Kein Text erkannt._\n", "s4:v2")
+    assert rows(vision.due_pages(docs, outcomes, most=3).select("document_id", "page")) == [(1, 2), (1, 4), (1, 5), (2, 1)]
+    second = spark.createDataFrame([(1, "s1:v1", p, f"page {p}", None) for p in (2, 4, 5)], outcomes.schema)
+    done = vision.fold_runs(docs, outcomes.unionByName(second)).filter("document_id = 1").first()
+    assert (done.pages_processed, done.pages_failed, done.truncated, done.vision_fingerprint) == (5, 0, False, "s1:v1")
 
 
 def test_staleness(spark):

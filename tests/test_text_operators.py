@@ -93,7 +93,8 @@ def test_texts(spark):
     split = values(spark, ["Art:Rechnung", ":x", "x:", "a:b:c", "x"], lambda c: F.array(*ft.split_tag(c, F.lit(""))))
     assert split == [["Rechnung", "Art"], [":x", ""], ["x:", ""], ["b:c", "a"], ["x", ""]]
     assert values(spark, ["Art:Rechnung"], lambda c: F.array(*ft.split_tag(c, F.lit("d")))) == [["Art:Rechnung", "d"]]
-    assert values(spark, ["```json\n{}\n```", "a ```\n{}\n```", "```\nx\n``` y"], ft.strip_code_fence) == ["{}", "a ```\n{}\n```", "```\nx\n``` y"]
+    fenced = ["```json\n{}\n```", "a ```\n{}\n```", "```\nx\n``` y", "\n```c++ code\n\n a\n```\nb\n``` \n", "```\nx```", "```\n```", " x "]
+    assert values(spark, fenced, ft.strip_code_fence) == ["{}", "a ```\n{}\n```", "```\nx\n``` y", "a\n```\nb", "```\nx```", "```\n```", " x "]
     assert values(spark, ["a.pdf", "noext", "x.tar.gz"], lambda c: ft.part_name(c, F.lit(2), F.lit(3))) == ["a-teil-2.pdf", "noext-teil-2", "x.tar-teil-2.gz"]
 
 
