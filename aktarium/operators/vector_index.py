@@ -177,7 +177,10 @@ class VectorIndex:
         read = lambda kept: Read(len(done), len(order), sum(held[c][0] for c in done), sum(x[0] for x in held.values()), kept)
         if not found:
             return none, read(0)
-        kept = whole.filter(F.col("high") >= reach).select("cell", "id")
+        kept = whole.filter(F.col("high") >= reach)
+        if by != "id":  # only what can be its document's best
+            kept = kept.join(kept.groupBy(by).agg(F.max("low").alias("best")), by).filter(F.col("high") >= F.col("best") - _MARGIN)
+        kept = kept.select("cell", "id")
         some = kept.limit(_LITERALS + 1).collect()
         if len(some) > _LITERALS:
             return self.rows().join(kept, ["cell", "id"], "left_semi"), read(kept.count())
