@@ -28,7 +28,7 @@ def letters(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
-def _grams(text: str) -> Iterator[np.ndarray]:
+def trigrams(text: str) -> Iterator[np.ndarray]:
     """The trigrams of a text as numbers, slice by slice."""
     for at in range(0, max(1, len(text) - 2), _SLICE):
         points = np.frombuffer(text[at : at + _SLICE + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -51,7 +51,7 @@ class LanguageModel:
     def weigh(self, text: str) -> tuple[np.ndarray, int]:
         """The sum of weights under each language, and the number of trigrams."""
         total, n = np.zeros(len(self.languages), np.int64), 0
-        for own in _grams(text):
+        for own in trigrams(text):
             if len(self.grams):
                 at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
                 at = np.where(self.grams[at] == own, at, len(self.grams))
@@ -67,7 +67,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         for b in batches:
             langs = b.column("lang").to_pylist()
             for lang in sorted(set(langs)):
-                found = [g for own, text in zip(langs, b.column("words").to_pylist(), strict=True) if own == lang for g in _grams(text)]
+                found = [g for own, text in zip(langs, b.column("words").to_pylist(), strict=True) if own == lang for g in trigrams(text)]
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 

@@ -12,7 +12,7 @@ from ..functions import letters as fl
 from ..functions import references as fr
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, repairs, retrieval, scope, stale, tree, vector_index
+from ..operators import aggregates, bindings, checks, chunking, classify, details, filters, graph, ingest, mail, ordering, repairs, retrieval, scope, stale, text_index, tree, vector_index
 from ..operators import references as refs
 from ..session import scratch
 from ..sources import readers
@@ -167,6 +167,17 @@ def admin_search(a: Archive) -> DataFrame:
     return filters.search_text(_visible(a), ["title", "correspondent"], "MENT 1").unionByName(filters.search_text(_visible(a), ["correspondent"], "SRC19")).select("id", "title").distinct()
 
 
+@query("SELECT id, title FROM vis WHERE contains(lower(title), 'ment 1') OR contains(lower(text_content), ', th')")
+def search_by_trigrams(a: Archive) -> DataFrame:
+    """Titles by the postings of titles, texts by those of texts."""
+    found = a.spark.createDataFrame([], "id long, title string")
+    for column, term in (("title", "MENT 1"), ("text_content", ", TH")):
+        index = text_index.TextIndex(a.spark, scratch(a.spark), [column])
+        index.extend(a.documents)
+        found = found.unionByName(index.search(_visible(a), term).select("id", "title"))
+    return found.distinct()
+
+
 @query("SELECT document_id, id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS BIGINT) AS place FROM com WHERE document_id IN (SELECT id FROM vis)")
 def doc_comments(a: Archive) -> DataFrame:
     seen = a.comments.join(_visible(a).select(F.col("id").alias("document_id")), "document_id", "left_semi")
