@@ -64,10 +64,16 @@ def last_reply_json(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
+def without_trailing_commas(json: Column) -> Column:
+    """JSON without commas between a value and the end of its object or list. Strings are passed over as a whole."""
+    return F.regexp_replace(json, r'(?s)("(?:[^"\\]++|\\.)*+")|(?<=["\w}\]])\s*+,(?=\s*+[}\]])', "$1")
+
+
 def reply_problem(reply: Column, truncated: Column, required: list[str]) -> Column:
-    """Why a model's reply can't be used: empty, cut_off, no_object, broken, missing:<key>; null if it can."""
+    """Why a model's reply can't be used: empty, cut_off, no_object, broken, missing:<key>; null if it can. A comma before the
+    end of an object or list does no harm."""
     body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    parsed = F.try_parse_json(body)
+    parsed = F.coalesce(F.try_parse_json(body), F.try_parse_json(without_trailing_commas(body)))
     out = F.lit(None).cast("string")
     for key in reversed(required):
         out = F.when(F.try_variant_get(parsed, f"$.{key}", "variant").isNull(), f"missing:{key}").otherwise(out)
