@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources.mail_stream import mailbox_stream
 from ..streaming import dedup_state, ingest_stream
 from .archive import Archive
@@ -19,17 +19,16 @@ BATCHES = 3
   g AS (SELECT *, first_value(id) OVER w AS first, row_number() OVER w AS p FROM f WINDOW w AS (PARTITION BY sha256 ORDER BY batch, path))
   SELECT id, CAST(batch AS INTEGER) AS batch, first, p > 1 AS repeated FROM g)""")
 def stream_first_seen(a: Archive) -> DataFrame:
-    """Texts come in three files, one a micro-batch; keyed state tells which repeat one of the same batch or of an earlier."""
+    """Texts come in three times, a micro-batch each; keyed state tells which repeat one of the same batch or of an earlier."""
     source, target = scratch(a.spark), scratch(a.spark)
-    files = a.documents.select(F.lpad(F.col("id").cast("string"), 12, "0").alias("path"), F.sha2("text_content", 256).alias("sha256"), (F.col("id") % BATCHES).alias("b"))
+    files = stored(a.documents.select(F.lpad(F.col("id").cast("string"), 12, "0").alias("path"), F.sha2("text_content", 256).alias("sha256"), (F.col("id") % BATCHES).alias("b")))
     for b in range(BATCHES):
-        # Files are taken in order of their times; those of one batch come together.
-        files.filter(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(f"{source}/in")
-    rows = a.spark.readStream.schema("path string, sha256 string").option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
-    marked = dedup_state.first_and_repeats(rows, "sha256")
-    with dedup_state.keyed_state(a.spark):
-        run = marked.writeStream.foreachBatch(lambda b, n: dedup_state.write_batch(b, n, target)).option("checkpointLocation", f"{source}/check").trigger(availableNow=True).start()
-    run.awaitTermination()
+        # What has come since last time is one batch, however many files it is.
+        files.filter(F.col("b") == b).drop("b").write.mode("append").parquet(f"{source}/in")
+        marked = dedup_state.first_and_repeats(a.spark.readStream.schema("path string, sha256 string").parquet(f"{source}/in"), "sha256")
+        with dedup_state.keyed_state(a.spark):
+            run = marked.writeStream.foreachBatch(lambda b, n: dedup_state.write_batch(b, n, target)).option("checkpointLocation", f"{source}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
     found = dedup_state.read_batches(a.spark, target, "path string, sha256 string, kind string")
     firsts = found.filter("kind = 'new'").select("sha256", F.col("path").cast("long").alias("first"))
     return found.join(firsts, "sha256").select(F.col("path").cast("long").alias("id"), "batch", "first", (F.col("kind") == "repeat").alias("repeated"))

@@ -41,3 +41,24 @@ def test_rows_beside_numbers_of_the_text(spark, tmp_path):
     far = "y" * 90
     texts = ["7 " + far, "9,99 " + far, far + " 999", far + "7", "3", "٣" + far, "100000000006" + far, "", None, far]
     assert same_as_sql(spark, tmp_path, "row_shift", list(enumerate(texts)))
+
+
+def test_streamed_texts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from aktarium.plans import stream_queries
+    from aktarium.plans.archive import Archive
+
+    paths, scratch = [], stream_queries.scratch
+    monkeypatch.setattr(stream_queries, "scratch", lambda s: paths.append(scratch(s)) or paths[-1])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = stream_queries.stream_first_seen(Archive(spark, str(tmp_path)))
+        assert found.filter("repeated").count() == 2500
+        assert found.select("batch").distinct().count() == 3
+        assert spark.read.parquet(f"{paths[0]}/in").select(F.input_file_name()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
