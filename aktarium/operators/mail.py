@@ -5,9 +5,11 @@ from __future__ import annotations
 import email
 import email.policy
 import re
-from collections.abc import Iterator
-from datetime import datetime
+from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
+from email.headerregistry import HeaderRegistry
 from email.utils import parseaddr, parsedate_to_datetime
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -152,11 +154,12 @@ def visible_text(mails: DataFrame, key: str, html: str) -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
-def clean_bodies(mails: DataFrame, key: str, body: str, html: bool = False) -> DataFrame:
-    """(key, text, n_words, has_substance) of mails whose bodies are plain text, or all of them HTML."""
-    texts = visible_text(mails, key, body) if html else mails.select(key, F.col(body).alias("text"))
-    cleaned = texts.select(key, own_text(F.col("text")).alias("text"))
-    return cleaned.select(key, "text", word_count(F.col("text")).alias("n_words"), (word_count(F.col("text")) >= MIN_WORDS).alias("has_substance"))
+def clean_bodies(mails: DataFrame, key: str, body: str, html: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, text, n_words, has_substance) of mails whose bodies are plain text, or all of them HTML. Of plain ones columns to
+    `keep` come along, so that mails needn't be read again to join them."""
+    texts = visible_text(mails, key, body) if html else mails.select(key, *keep, F.col(body).alias("text"))
+    cleaned = texts.select(key, *keep, own_text(F.col("text")).alias("text"))
+    return cleaned.select(key, *keep, "text", word_count(F.col("text")).alias("n_words"), (word_count(F.col("text")) >= MIN_WORDS).alias("has_substance"))
 
 
 def index_text(subject: Column, sender: Column, recipient: Column, date: Column, body: Column) -> Column:
@@ -189,10 +192,35 @@ EML = (
 )
 
 
+#: Values of headers that say what they say: the registry would take them apart and return them as they are.
+_PLAIN = {
+    "message-id": re.compile(r"<[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*>"),
+    "subject": re.compile(r"[A-Za-z0-9.,:;!()/&-]+(?: [A-Za-z0-9.,:;!()/&-]+)*"),
+}
+#: Plain headers are as short as that at most, so that none is ever folded; others up to so many characters are remembered, the
+#: last so many of them: mails that are read one after the other share most.
+_UNFOLDED, _SHORT, _REMEMBERED = 60, 200, 4096
+_registry = HeaderRegistry()
+_remembered = lru_cache(_REMEMBERED)(_registry)
+
+
+def _header(name: str, value: str) -> str:
+    """A header as the standard policy has it. The policy itself takes a header apart each time that it's asked for."""
+    plain = _PLAIN.get(name.lower())
+    if plain and len(value) <= _UNFOLDED and plain.fullmatch(value):
+        return value
+    return _remembered(name, value) if len(value) <= _SHORT else _registry(name, value)
+
+
+_POLICY = email.policy.default.clone(header_factory=_header)
+#: Mails that are read before they are passed on.
+_MAILS = 500
+
+
 def parse_eml(content: bytes | None) -> dict | None:
     """Headers, bodies and attachments of a raw mail; a broken date is none, what can't be read at all is null."""
     try:
-        mail = email.message_from_bytes(content or b"", policy=email.policy.default)
+        mail = email.message_from_bytes(content or b"", policy=_POLICY)
         sender_name, sender = parseaddr(str(mail.get("From", "")))
         try:
             sent = parsedate_to_datetime(str(mail["Date"])) if mail["Date"] else None
@@ -221,15 +249,26 @@ def parse_eml(content: bytes | None) -> dict | None:
 def read_eml(files: DataFrame) -> DataFrame:
     """Mails from a table of files (path, content): path, sha256, and the fields of `parse_eml`, `ok` false where unreadable."""
 
-    def run(batches):
-        import pandas as pd
+    text, attachment = pa.string(), pa.struct([("name", pa.string()), ("content_type", pa.string()), ("content_id", pa.string()), ("inline", pa.bool_()), ("content", pa.binary())])
+    kinds = dict.fromkeys(("message_id", "subject", "sender", "sender_name", "recipient"), text) | {"sent_at": pa.timestamp("us", "UTC"), "plain": text, "html": text, "attachments": pa.list_(attachment)}
 
-        for pdf in batches:
-            rows = [parse_eml(bytes(c) if c is not None else None) for c in pdf["content"]]
-            empty = {f.split()[0]: None for f in ("message_id", "subject", "sender", "sender_name", "recipient", "sent_at", "plain", "html", "attachments")}
-            out = pd.DataFrame([(r or empty) | {"path": p, "sha256": s, "ok": r is not None} for p, s, r in zip(pdf["path"], pdf["sha256"], rows, strict=True)])
-            out["sent_at"] = pd.to_datetime(out["sent_at"], utc=True)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _MAILS):
+                b = whole.slice(at, _MAILS)
+                rows = [parse_eml(c.as_py()) for c in b.column("content")]
+                columns = {n: pa.array([r and r[n] for r in rows], kind) for n, kind in kinds.items() if n != "sent_at"}
+                columns["sent_at"] = pa.array([r and _utc(r["sent_at"]) for r in rows], kinds["sent_at"])
+                ok = pa.array([r is not None for r in rows], pa.bool_())
+                yield pa.record_batch([b.column("path"), b.column("sha256"), ok, *(columns[n] for n in kinds)], ["path", "sha256", "ok", *kinds])
 
     hashed = files.select("path", F.sha2("content", 256).alias("sha256"), "content")
-    return hashed.mapInPandas(run, f"path string, sha256 string, ok boolean, {EML}")
+    return hashed.mapInArrow(run, f"path string, sha256 string, ok boolean, {EML}")
+
+
+def _utc(sent: datetime | None) -> datetime | None:
+    """A time in UTC; one without a zone is in UTC already, one that leaves the calendar is none."""
+    try:
+        return sent and (sent.replace(tzinfo=UTC) if sent.tzinfo is None else sent.astimezone(UTC))
+    except OverflowError:
+        return None

@@ -62,3 +62,29 @@ def test_streamed_texts_are_written_by_several_tasks(spark, tmp_path, monkeypatc
         assert spark.read.parquet(f"{paths[0]}/in").select(F.input_file_name()).distinct().count() > 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_headers_are_as_the_standard_policy_has_them(monkeypatch):
+    import email.policy
+
+    from aktarium.operators import mail
+
+    inner = "Subject: " + "long words " * 12 + "\r\nMessage-ID: <a.b@c>\r\n\r\nx"
+    heads = ["Subject: T 1\r\nMessage-ID: <1.2@mail>", "Subject: =?utf-8?q?=C3=A4?= b\r\nMessage-ID: <a..b@c> (x)", "Subject:  two  blanks\r\n\tfolded\r\nMessage-ID: none", "subject: " + "w " * 200]
+    raw = [f"From: A B <A@b.c>\r\nDate: {date}\r\n{head}\r\nContent-Type: message/rfc822\r\nContent-Disposition: attachment\r\n\r\n{inner}".encode() for head in heads for date in ("Mon, 03 Jun 2024 10:00:00 +0000", "x", "Mon, 03 Jun 2024 10:00:00 -0000")]
+    found = [mail.parse_eml(x) for x in raw]
+    monkeypatch.setattr(mail, "_POLICY", email.policy.default)
+    assert None not in found
+    assert found == [mail.parse_eml(x) for x in raw]
+
+
+def test_headers_are_taken_apart_once(monkeypatch):
+    from email.headerregistry import HeaderRegistry
+
+    from aktarium.operators import mail
+
+    calls, call = [], HeaderRegistry.__call__
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: calls.append(name) or call(self, name, value))
+    for k in range(100):
+        assert mail.parse_eml(f"From: once{k % 2}@b.c\r\nSubject: T {k}\r\nMessage-ID: <{k}@mail>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nx".encode())["plain"] == "x"
+    assert len(calls) < 20
