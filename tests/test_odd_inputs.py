@@ -93,3 +93,10 @@ def test_headers_are_taken_apart_once(monkeypatch):
 def test_documents_of_mails_read_each_mail_once(spark, tiny):
     plan = aq.QUERIES["eml_documents"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+
+
+def test_common_words_in_odd_places(spark, tmp_path):
+    texts = ["«der» hund, die katze!", "der-die das1und 1und2 x x x x", "THE\u00a0of\u2003and xxxxxxxxxxxx", "d'accord est-ce que le, (et) à", "--- ... --- ... --- ...", "de des dem der den del desde", "é́le les lés et. .et ..et..", "este sí sí. porque más pero", "ünd ist nicht\u0301 für das", "to " * 30_000]
+    assert same_as_sql(spark, tmp_path, "detect_language", list(enumerate(texts)))
+    plan = aq.QUERIES["detect_language"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "split(" not in plan
