@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
+#: Rows and bytes of prompts, pictures and replies that a worker has as Python values at once.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 class EmbeddingProvider(Protocol):
@@ -114,15 +116,29 @@ def describe(pages: DataFrame, make: Callable[[], VisionProvider]) -> DataFrame:
     return _replies(pages.select("key", "prompt", "image"), make, lambda provider, row: provider.describe(row["image"] or b"", row["prompt"] or ""))
 
 
-def _replies(rows: DataFrame, make: Callable, ask: Callable) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        provider = make()
-        for b in batches:
-            prompts = b.column("prompt").to_pylist()
-            got = [_called(lambda row=row: ask(provider, row)) for row in b.to_pylist()]
-            tokens = [len((p or "").split()) + len((reply or "").split()) for p, (reply, _) in zip(prompts, got, strict=True)]
+def _sliced(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most SLICE_ROWS rows and about SLICE_BYTES, so that the Python values of a few rows are there at once."""
+    rows = min(SLICE_ROWS, max(1, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], make: Callable, ask: Callable) -> Iterator[pa.RecordBatch]:
+    provider = make()
+    for whole in batches:
+        for b in _sliced(whole):
+            rows = b.to_pylist()
+            got = [_called(lambda row=row: ask(provider, row)) for row in rows]
+            tokens = [len((row["prompt"] or "").split()) + len((reply or "").split()) for row, (reply, _) in zip(rows, got, strict=True)]
             columns = [pa.array([x[0] for x in got], pa.string()), pa.array([provider.model] * len(got)), pa.array(tokens, pa.int64()), pa.array([x[1] for x in got], pa.string())]
             yield pa.record_batch([b.column("key"), *columns], ["key", "reply", "model", "tokens", "error"])
+    # Workers serve one task after the other: what a large batch took goes back.
+    pa.default_memory_pool().release_unused()
+
+
+def _replies(rows: DataFrame, make: Callable, ask: Callable) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _answered(batches, make, ask)
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, reply string, model string, tokens long, error string")
 

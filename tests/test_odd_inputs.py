@@ -100,3 +100,18 @@ def test_common_words_in_odd_places(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "detect_language", list(enumerate(texts)))
     plan = aq.QUERIES["detect_language"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and "split(" not in plan
+
+
+def test_replies_hold_few_prompts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from aktarium.sources import models
+
+    batch = pa.record_batch([pa.array(range(2000)), pa.array([f"{k} " + "w " * 10_000 for k in range(2000)])], ["key", "prompt"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in models._answered(iter([batch]), models.FakeGeneration, lambda p, row: p.generate(row["prompt"])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 and peak < batch.nbytes / 2
