@@ -115,3 +115,16 @@ def test_replies_hold_few_prompts_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 2000 and peak < batch.nbytes / 2
+
+
+def test_postings_are_lists(spark, tmp_path, monkeypatch):
+    from aktarium.operators import text_index
+
+    rows = spark.createDataFrame([(k, f"abc {'x' * (k % 3)} t{k}") for k in range(3000)] + [(9000, ""), (9001, None), (9002, "ab")], "id long, t string")
+    index = text_index.TextIndex(spark, f"{tmp_path}/index", ["t"])
+    index.extend(rows.coalesce(1))
+    stored = spark.read.parquet(index.path)
+    assert stored.filter(f"gram = {ord('a') << 42 | ord('b') << 21 | ord('c')}").count() == 1
+    assert sorted(r.id for r in index.search(rows, "T299").collect()) == [299, *range(2990, 3000)]
+    index.extend(rows.filter("id < 10"))
+    assert [r.id for r in index.search(rows, "t7").filter("id < 10").collect()] == [7]
