@@ -5,12 +5,14 @@ n - ceil(similarity * n) + 1 of each, whatever order the elements have, if it's
 entered into a table under these elements alone, and of these under the ones that two sets share; in order of rarity (as a sample of the texts shows it), which keeps
 passages that many texts hold out of the table. Texts that meet under a key are candidates. Sketches (the parity of the
 elements at each of 1,024 places) bound the elements that two sets don't share from below, and so reject candidates without
-error; those that stay are compared by their whole sets. Shingles stand for themselves by 64-bit hashes.
+error; those that stay are compared by their whole sets. Shingles stand for themselves by 64-bit hashes. Where SimHash
+fingerprints of the sets are looked up first, what they find needs no further comparison.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from .words import split_words
 _SKETCH, _WIDE, _POWER = 16, 256, np.uint64(0x9E3779B97F4A7C15)
 #: Texts that show which shingles are common, and most shingles that are remembered as common. They set the order only.
 SAMPLE, MOST_COMMON = 8192, 1 << 17
+#: Hashes whose bits are counted at once.
+_SLICE = 1 << 14
 #: A key with at most FEW sets is joined in the JVM; others are compared in blocks, each pair of blocks by itself.
 FEW, BLOCK = 8, 2048
 
@@ -62,6 +66,14 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 1)).view(np.int64)) if len(found) else 0
 
 
+def _fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes, its bits as a signed number: 1 where more than half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _SLICE):
+        ones += np.unpackbits(found[at : at + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def _sketch(found: np.ndarray, words: int = _SKETCH) -> bytes:
     return np.packbits(np.bincount((found % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8).tobytes()
 
@@ -135,10 +147,12 @@ def _pairs_in_blocks(crowded: DataFrame, num: int, den: int) -> DataFrame:
     return dense.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_texts(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_texts(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text", closest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per input row: id and `component_id`, the smallest id that links of similarity num / den or more reach.
 
-    Candidates are compared in two rounds. The first compares the least set of each key with the key's others, which is
+    `closest` gets the distinct SimHash fingerprints of the sets (`fp`, longs) and returns pairs (a, b) of near ones, stored.
+    Sets with such fingerprints, or with the same, are compared before all others; those found similar are joined.
+    What it doesn't find is compared in two rounds. The first compares the least set of each key with the key's others, which is
     all there is for most keys, and joins groups of near copies. The second compares all pairs of a key's sets that the
     first didn't join already; crowded keys do so in blocks. Nothing is capped, nor collected but the sample's common
     shingles, which only order elements. Copies are one node. Texts without words are equal, null included. Repeated rows
@@ -150,13 +164,13 @@ def near_texts(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5, id_co
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column("text"), size)
-        columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_sketch, sets), pa.binary())]
+        columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(_sketch, sets), pa.binary()), pa.array([_fingerprint(s) if closest else None for s in sets], pa.int64())]
         keys = pa.array([prefix(s, *common.value, num, den).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.record_batch([b.column("id"), *columns, keys], ["id", "node", "n", "sketch", "keys"])
+        return pa.record_batch([b.column("id"), *columns, keys], ["id", "node", "n", "sketch", "fp", "keys"])
 
     drop = functools.partial(discard, docs.sparkSession)
-    hashed = stored(in_batches(narrow, each, f"id {kind}, node long, n long, sketch binary, keys array<long>"))
-    keyed = stored(hashed.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    hashed = stored(in_batches(narrow, each, f"id {kind}, node long, n long, sketch binary, fp long, keys array<long>"))
+    keyed = stored(hashed.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     # The keys go where they're needed; ids and sets are kept without them.
     ids_of, nodes = stored(hashed.select("id", "node")), stored(keyed.drop("keys"))
     drop(hashed)
@@ -212,8 +226,29 @@ def near_texts(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5, id_co
         drop(sets, closer)
         return sure
 
+    def of_fingerprints() -> DataFrame:
+        """Pairs (a, b) of the least sets of near fingerprints, and of a fingerprint's least set and its others."""
+        firsts = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
+        near, first = closest(firsts.select("fp")), lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+        apart = near.join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+        same = nodes.join(firsts, "fp").select(F.col("first").alias("x"), F.struct("node", "n").alias("y"))
+        pairs = apart.unionByName(same).filter((F.col("x.node") != F.col("y.node")) & _sizes_allow(F.col("x.n"), F.col("y.n"), num, den))
+        pairs = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+        drop(firsts, near)
+        return pairs
+
     first = shared.filter((F.col("node") != F.col("first.node")) & _sizes_allow(F.col("n"), F.col("first.n"), num, den))
-    edges = confirmed(stored(first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()))
+    pairs = first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    known = None
+    if closest and not (likely := of_fingerprints()).isEmpty():
+        known = confirmed(likely)
+        labels = stored(components(known))
+        # Of what fingerprints have joined already nothing is compared again.
+        for c in "ab":
+            pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+        pairs = pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    edges = confirmed(stored(pairs))
+    edges = edges if known is None else edges.unionByName(known)
     labels = stored(components(edges))
 
     # What the first round left: keys with sets that aren't in one component. Their first set has met all others already.

@@ -119,13 +119,14 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 def similar_texts(docs: DataFrame, similarity: tuple[int, int] = (4, 5), size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and `component_id`, the smallest id that links of a Jaccard similarity reach.
 
-    This is the operator's form for a similarity of shingle sets (num, den). A fingerprint of 64 bits can't serve here: two
-    texts with four of five shingles in common differ in 10 of its bits on average and in up to 17, and balls of that radius
-    can't be enumerated. So segments are single rare shingles, looked up exactly, in place of 32 bits of a fingerprint; the
-    fingerprints whose distances are verified are sketches of 1,024 and 16,384 bits; and what they let pass is verified on the
-    whole sets. See `shingle_sets`.
+    This is the operator's form for a similarity of shingle sets (num, den). Fingerprints of 64 bits within 3 bits of each
+    other are found as ever, by their halves' balls, and their texts' whole sets compared: these are the closest texts. That
+    can't be all: two texts with four of five shingles in common differ in 10 bits on average and in up to 17, and balls of that
+    radius can't be enumerated. So what fingerprints didn't link is found by single rare shingles, looked up exactly, in place of
+    32 bits; the fingerprints whose distances are verified are sketches of 1,024 and 16,384 bits; and what they let pass is
+    verified on the whole sets. See `shingle_sets`.
     """
-    return near_texts(docs, *similarity, size, id_col, text_col)
+    return near_texts(docs, *similarity, size, id_col, text_col, closest=links)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

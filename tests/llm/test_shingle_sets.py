@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from aktarium.llm import shingle_sets
+from aktarium.llm import shingle_sets, simhash
 
 
 def plain_shingles(text, size=5):
@@ -50,6 +50,34 @@ def test_components_equal_brute_force(spark, monkeypatch, few, block, sample):
     assert got == want and 20 < len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize(("few", "block"), [(64, 2048), (3, 8)])
+def test_fingerprints_come_first_and_lose_nothing(spark, monkeypatch, few, block):
+    seen, links = [], simhash.links
+    monkeypatch.setattr(shingle_sets, "FEW", few)
+    monkeypatch.setattr(shingle_sets, "BLOCK", block)
+    monkeypatch.setattr(simhash, "links", lambda fps: seen.append(links(fps)) or seen[-1])
+    rows = made(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(seen) == 1 and got == plain_groups(rows)
+
+
+def test_fingerprints_link_the_closest_texts_by_themselves(spark, monkeypatch):
+    """Without any key texts are linked that differ little, and only where their sets are similar."""
+    monkeypatch.setattr(shingle_sets, "prefix", lambda found, *_: found[:0])
+    words = [f"word{k * k % 1009}x{k}" for k in range(3000)]
+    texts = [words, [*words[:2000], "other", *words[2001:]], [*words, "end"], [*words[:1500], *(f"new{k}" for k in range(1500))], words[:2], words[:2]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
+def test_fingerprints_count_bits():
+    sets = [np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)) for n in (1, 2, 7, 20_000)]
+    for s in sets:
+        want = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s))
+        assert shingle_sets._fingerprint(s) & ((1 << 64) - 1) == want
+    assert shingle_sets._fingerprint(np.zeros(0, np.uint64)) == 0
+
+
 def test_the_pipeline_drops_copies_with_changed_words(spark, tiny):
     words = [f"word{k * k % 1009}" for k in range(200)]
     texts = [words, [*words[:90], "other", *words[91:]], [*words[:50], "x", *words[51:150], "y", *words[151:]], words[100:]]
