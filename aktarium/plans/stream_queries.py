@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch, stored
-from ..sources.mail_stream import mailbox_stream
+from ..sources.mail_stream import TableBox, mailbox_stream
 from ..streaming import dedup_state, ingest_stream
 from .archive import Archive
 from .archive_queries import query
@@ -48,7 +48,7 @@ def stream_mailbox(a: Archive) -> DataFrame:
     uid = F.col("conv_id") * 1000 + F.col("turn")
     head = F.concat(F.lit("From: a@example.org\r\nMessage-ID: <"), (F.col("conv_id") % 500).cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("@mail>\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"))
     messages = a._table("conversations").select(uid.alias("uid"), F.encode(F.concat(head, "text"), "UTF-8").alias("content"))
-    messages.repartitionByRange("uid").sortWithinPartitions("uid").write.parquet(box)
+    messages.repartitionByRange("uid").sortWithinPartitions("uid").write.option("parquet.block.size", TableBox.ROW_GROUP).parquet(box)
     n = a.spark.read.parquet(box).count()
     options = {"box": "aktarium.sources.mail_stream:TableBox", "table": box, "marks": marks, "per_batch": str(max(1, -(-n // 4)))}
 
@@ -70,4 +70,5 @@ def stream_mailbox(a: Archive) -> DataFrame:
     repeats = dedup_state.read_batches(a.spark, f"{target}_repeated", "path string, key string")
     number = lambda: F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("uid")
     found = mails.select(number(), "message_id", F.lit(False).alias("repeated")).unionByName(repeats.select(number(), F.col("key").alias("message_id"), F.lit(True).alias("repeated")))
-    return found.join(messages.select("uid", F.decode("content", "UTF-8").alias("raw")), "uid").select("uid", "message_id", F.expr("substring(raw, position('\\r\\n\\r\\n' IN raw) + 4)").alias("plain"), "repeated")
+    # Merged, as texts that compress well would be broadcast by the size of their files.
+    return found.join(messages.select("uid", F.decode("content", "UTF-8").alias("raw")).hint("merge"), "uid").select("uid", "message_id", F.expr("substring(raw, position('\\r\\n\\r\\n' IN raw) + 4)").alias("plain"), "repeated")

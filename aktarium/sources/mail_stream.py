@@ -13,7 +13,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Messages that one task fetches, and messages of a batch, unless options say so.
+#: Messages that one task fetches, and messages of a batch, unless options (or the box's own PER_TASK) say so.
 PER_TASK, PER_BATCH = 200, 5000
 SHAPE = "uid long, path string, content binary"
 
@@ -68,7 +68,7 @@ class MailReader(DataSourceStreamReader):
 
     def __init__(self, options: Mapping[str, str]):
         self.options = dict(options)
-        self.per_task, self.per_batch = (int(options.get(k, n)) for k, n in (("per_task", PER_TASK), ("per_batch", PER_BATCH)))
+        self.per_task, self.per_batch = int(options.get("per_task", 0)), int(options.get("per_batch", PER_BATCH))
         self.position: int | None = None  # unknown after a start, until a batch is planned
         self.planned = Mark(options["marks"], "planned") if "marks" in options else None
 
@@ -90,11 +90,13 @@ class MailReader(DataSourceStreamReader):
         return {"uid": max(there if begin is None else there[: self.per_batch], default=-1 if begin is None else begin)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        uids = self._box().uids(start["uid"], end["uid"]) if end["uid"] > start["uid"] else []
+        box = self._box()
+        uids = box.uids(start["uid"], end["uid"]) if end["uid"] > start["uid"] else []
         self.position = max(start["uid"], end["uid"])
         if self.planned:
             self.planned.set(self.position)
-        return [MessageRange(uids[k : k + self.per_task]) for k in range(0, len(uids), self.per_task)]
+        size = self.per_task or getattr(box, "PER_TASK", PER_TASK)
+        return [MessageRange(uids[k : k + size]) for k in range(0, len(uids), size)]
 
     def read(self, partition: MessageRange) -> Iterator[tuple[int, str, bytes]]:
         for uid, raw in self._box().read(partition.uids):
@@ -126,7 +128,13 @@ def mailbox_stream(spark: SparkSession, box: str, **options: str) -> DataFrame:
 
 class TableBox:
     """A mailbox kept as a Parquet table of (uid long, content binary) in a store that pyarrow reads: an exported box. Options:
-    `table`, and `marks`, where the number of the last seen message is kept too."""
+    `table`, and `marks`, where the number of the last seen message is kept too.
+
+    A task opens the table and reads whole row groups, so it takes many messages; files are best written in the order of `uid`
+    with row groups of about ROW_GROUP bytes, of which a task reads its own alone.
+    """
+
+    PER_TASK, ROW_GROUP = 5000, 2 << 20
 
     def __init__(self, options: Mapping[str, str]):
         store, where = pyarrow.fs.FileSystem.from_uri(_uri(options["table"]))

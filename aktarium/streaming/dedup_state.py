@@ -62,10 +62,16 @@ def first_and_repeats(rows: DataFrame, key: str, order: str = "path", known: Dat
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside get the state store that keyed state needs; the session is as before afterwards."""
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+def keyed_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started inside get the state store that keyed state needs; the session is as before afterwards.
+
+    Each partition of the state is opened, asked and committed by a task of its own in every micro-batch, however few rows come.
+    So there are as many as cores (and no more than the session's shuffles have), or `partitions`: a checkpoint keeps its number.
+    """
+    name = "spark.sql.shuffle.partitions"
+    chosen = STORE | {name: str(partitions or min(int(spark.conf.get(name)), spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in chosen}
+    for k, v in chosen.items():
         spark.conf.set(k, v)
     try:
         yield

@@ -114,6 +114,32 @@ class Server:
         return "OK", []
 
 
+def test_a_table_of_messages_is_fetched_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Each task opens the table and reads whole row groups: as many tasks as for a server would read them over and over."""
+    options = box_of(spark, tmp_path, [(k, raw(k)) for k in range(1, 1001)])
+    name = "aktarium.sources.mail_stream:TableBox"
+    ranges = MailReader(options | {"box": name}).partitions({"uid": 0}, {"uid": 1000})
+    assert [r.uids for r in ranges] == [[*range(1, 1001)]]
+    assert [len(r.uids) for r in MailReader(options | {"box": name, "per_task": "300"}).partitions({"uid": 0}, {"uid": 1000})] == [300, 300, 300, 100]
+    monkeypatch.delattr(TableBox, "PER_TASK")
+    assert len(MailReader(options | {"box": name}).partitions({"uid": 0}, {"uid": 1000})) == 5
+
+
+def test_state_has_no_more_partitions_than_cores(spark, tmp_path):
+    """A partition of the state is a task of its own in each batch, so their number isn't that of the session's shuffles."""
+    name = "spark.sql.shuffle.partitions"
+    before, options = spark.conf.get(name), box_of(spark, tmp_path, [(k, raw(k, f"{k % 7}@x")) for k in range(1, 13)])
+    spark.conf.set(name, "48")
+    try:
+        assert run(spark, tmp_path, options, per_batch="5") and spark.conf.get(name) == "48"
+        with dedup_state.keyed_state(spark, partitions=9):
+            assert spark.conf.get(name) == "9"
+    finally:
+        spark.conf.set(name, before)
+    assert len([p for p in (tmp_path / "check/state/0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+    assert (len(taken(spark, tmp_path)), len(taken(spark, tmp_path, "_repeated"))) == (7, 5)
+
+
 def test_imap(monkeypatch):
     monkeypatch.setattr(imaplib, "IMAP4_SSL", Server)
     monkeypatch.setenv("MAIL_PASSWORD", "p")
